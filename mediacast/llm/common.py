@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +82,20 @@ def free_name(df: DataFrame, name: str) -> str:
 def blocks(df: DataFrame, least: int = 4) -> int:
     """How many blocks of rows to deal a table into: as many as its scan has partitions."""
     return max(least, df.rdd.getNumPartitions())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each application; Spark's file server carries it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="mediacast-ship-"))
+    with zipfile.ZipFile(folder / "mediacast_package.zip", "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(folder / "mediacast_package.zip"))
+    _shipped.add(sc.applicationId)

@@ -2,11 +2,54 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import table
+from . import byte_bpe, packing, quality_rules, url_filters, warc
+from .common import shared_dir, table
+
+#: The rule list of op2: (verdict, host/path).
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.fields(F.col("header"))
+    return warc.read(spark, path).select(
+        found["page_id"].alias("page_id"), "payload_bytes", "payload_digest",
+        found["record_type"].alias("record_type"), found["refers_to"].alias("refers_to"),
+    )
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +60,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {f.__name__: f for f in (op1_packing, op2_url_filters, op5_warc, op6_byte_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_warc": f"""
+            WITH base AS (
+                SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+            ), firsts AS (SELECT d, min(page_id) AS first FROM base WHERE n >= {warc.MIN_BYTES} GROUP BY d)
+            SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, base.d AS payload_digest,
+                   CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+            FROM base LEFT JOIN firsts ON base.d = firsts.d""",
+    }
