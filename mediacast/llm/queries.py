@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, packing, quality_rules, suffix_tree, topk, url_filters, warc
+from . import byte_bpe, html_text, jaccard_join, packing, quality_rules, suffix_tree, topk, url_filters, warc
 from .common import shared_dir, table
 
 #: The rule list of op2: (verdict, host/path).
@@ -66,6 +66,10 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -74,7 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_url_filters, op3_topk, op5_warc, op6_byte_bpe, op7_html_text, op8_suffix_tree, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filters, op3_topk, op5_warc, op6_byte_bpe, op7_html_text, op8_suffix_tree, op9_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
