@@ -7,17 +7,39 @@ of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacast.llm import quality_rules
+from mediacast.llm import jaccard_join, kneser_ney, packing, quality_rules
 from mediacast.llm.common import cut, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that pass the counting rules and the n-gram likelihood ratio."""
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality_rules_stage)]
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the trusted documents' model is usual for their language."""
+    return kneser_ney.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies: five-word shingles, similarity of 0.8 or more."""
+    return jaccard_join.one_of_each(docs, n=5, num=8, den=10)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequences: pieces of documents with their places."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("packing", packing_stage),
+]
 
 #: The stages fit models and search for near-duplicates, which SQL cannot express.
 ORACLE_SQL = None

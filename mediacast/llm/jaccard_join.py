@@ -306,3 +306,18 @@ def components(
     classes = classes.join(reach, "root", "left").select("mark", F.coalesce("reached", "least").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "mark").join(classes, "mark", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component; of rows that repeat there, one.
+
+    A row with a null id stays: nothing tells it from others, and it stands for no group.
+    """
+    found = cut(components(docs, **how), "jaccard-components")
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times"))
+    stay = F.col("doc_id").isNull() | F.col("kept_id").isNotNull()
+    out = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left").where(stay)
+    if kept.where("times > 1").isEmpty():
+        return out.select(*[docs[c] for c in docs.columns])
+    once = out.where("times is null or times = 1").select(*[docs[c] for c in docs.columns])
+    return once.union(out.where("times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"]))

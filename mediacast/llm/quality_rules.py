@@ -20,6 +20,8 @@ MAX_TRUSTED = 20_000
 #: Mean log ratio, in nats an n-gram, under which a document is rejected.
 THRESHOLD = -0.1
 ALPHA = 0.5
+#: Counts of the corpus' distribution that the target's starts from, a bucket: few trusted documents move it little.
+PRIOR = 16
 WINDOW = 8
 
 
@@ -127,15 +129,13 @@ def fit(docs: DataFrame, trusted: DataFrame, bits: int = BITS, alpha: float = AL
             F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"),
         )
     )
-    share = lambda x, n: (x + alpha) / (n + alpha * size)
-    return row.select(
-        F.transform(
-            "cells",
-            lambda x: F.round(
-                (F.log(share(x["target"], F.col("n_target"))) - F.log(share(x["raw"], F.col("n_raw")))) * 1e6
-            ).cast("long"),
-        ).alias("ratios")
-    )
+    prior = float(PRIOR * size)
+
+    def ratio(x: Column) -> Column:
+        raw = (x["raw"] + alpha) / (F.col("n_raw") + alpha * size)
+        return F.log((x["target"] + prior * raw) / ((F.col("n_target") + prior) * raw))
+
+    return row.select(F.transform("cells", lambda x: F.round(ratio(x) * 1e6).cast("long")).alias("ratios"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,8 +156,17 @@ def judge(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float
     total = F.aggregate(h[1], F.lit(0).cast("long"), add) + F.aggregate(h[2], F.lit(0).cast("long"), add)
     known = F.lit(not trusted.isEmpty())
     n = F.greatest(F.size(w) * 2 - 1, F.lit(1))
-    out = out.withColumns(
-        rule_columns(F.col("text"), F.col(w), F.col(h[WINDOW])) | {"score": F.when(known, total / 1e6 / n).otherwise(F.lit(0.0))}
-    ).drop(w, r, *h.values())
+    found = rule_columns(F.col("text"), F.col(w), F.col(h[WINDOW])) | {"score": F.when(known, total / 1e6 / n).otherwise(F.lit(0.0))}
+    own = [F.col(c) for c in docs.columns if c not in (*found, "base_failed", "kept")]
+    # inline() of one row is a barrier: a filter on the results isn't pushed into the arrays' expressions.
+    out = out.select(*own, F.inline(F.array(F.struct(*[c.alias(k) for k, c in found.items()]))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their own columns, whatever those are called."""
+    own = [(c, f"own_{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    safe = docs.select("doc_id", "text", *[docs[c].alias(a) for c, a in own])
+    kept = judge(safe, labels, **how).where("kept").select("doc_id", "text", *[F.col(a).alias(c) for c, a in own])
+    return kept.select(*docs.columns)

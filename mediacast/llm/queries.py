@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, jaccard_join, packing, quality_rules, suffix_tree, topk, url_filters, warc
+from . import byte_bpe, html_text, jaccard_join, kneser_ney, packing, quality_rules, suffix_tree, topk, url_filters, warc
 from .common import shared_dir, table
 
 #: The rule list of op2: (verdict, host/path).
@@ -36,6 +36,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return kneser_ney.judge(docs, table(spark, sf_dir, "labels")).drop("h")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -78,7 +83,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_url_filters, op3_topk, op5_warc, op6_byte_bpe, op7_html_text, op8_suffix_tree, op9_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filters, op3_topk, op4_kneser_ney, op5_warc, op6_byte_bpe, op7_html_text, op8_suffix_tree, op9_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
