@@ -31,7 +31,7 @@ from . import graph
 from .common import cut, ship
 
 #: Bytes of text after which a block of documents is full.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 5_000_000
 #: Members of a group, about.
 GROUP = 256
 REMEMBERED = 250_000
