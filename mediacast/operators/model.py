@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.stage import cut
 from . import decompose, response, seasonality
 from .prepare import Prepared
 
@@ -48,13 +49,13 @@ def fit_priors(p: Prepared) -> Model:
 
     A type's beta is the revenue-weighted mean of its segments', the global one their median.
     """
-    own = seasonality.profiles(seasonality.long_metrics(p.segment_daily))
+    own = cut(seasonality.profiles(seasonality.long_metrics(p.segment_daily)), "profiles")
     weights = _revenue(p).select("run_id", "segment_key", F.greatest("total", F.lit(1.0)).alias("weight"))
     own_rows = own.select("run_id", F.col("segment_key").alias("scope"), "metric", "kind", "slot", "factor")
     kind = F.split("segment_key", "::", 2)[1]
     typed = seasonality.pool(own, weights, kind).select(own_rows.columns)
     every = seasonality.pool(own, weights, F.lit("*")).select(own_rows.columns)
-    fits = response.fit_elasticity(p.segment_daily)
+    fits = cut(response.fit_elasticity(p.segment_daily), "elasticities")
     columns = ["run_id", "scope", "beta", "scale", "n", "r2", "spend_ref", "revenue_ref"]
     rows = fits.withColumn("scope", F.col("segment_key")).select(columns)
     none = [F.lit(None).cast("double").alias(c) for c in ("scale", "r2", "spend_ref", "revenue_ref")]
@@ -62,7 +63,7 @@ def fit_priors(p: Prepared) -> Model:
     by_type = pooled.groupBy("run_id", "scope").agg((F.sum(F.col("beta") * F.col("weight")) / F.sum("weight")).alias("beta"), F.sum("n").alias("n"))
     overall = fits.groupBy("run_id").agg(F.median("beta").alias("beta"), F.sum("n").alias("n")).withColumn("scope", F.lit("*"))
     order = ["run_id", "scope", "beta", none[0], "n", *none[1:]]
-    return Model(own_rows.union(typed).union(every), rows.union(by_type.select(*order)).union(overall.select(*order)))
+    return Model(cut(own_rows.union(typed).union(every), "seasonal"), rows.union(by_type.select(*order)).union(overall.select(*order)))
 
 
 def prior_for(keys: DataFrame, table: DataFrame, columns: list[str], on: list[str] | None = None) -> DataFrame:
@@ -78,14 +79,14 @@ def prior_for(keys: DataFrame, table: DataFrame, columns: list[str], on: list[st
 def build_segments(p: Prepared, priors: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(models, profile, betas): each segment's own profile blended with its prior, and its decompositions."""
     series = seasonality.long_metrics(p.segment_daily)
-    own = seasonality.profiles(series)
+    own = cut(seasonality.profiles(series), "profiles")
     slots = own.select("run_id", "segment_key", "metric", "kind", "slot")
     seasonal = priors.seasonal.drop("run_id")
     prior = prior_for(slots, seasonal, ["factor"], ["metric", "kind", "slot"])
-    profile = seasonality.blend(own, prior)
+    profile = cut(seasonality.blend(own, prior), "blended")
     parts = decompose.decompose(seasonality.factor_for_dates(series, profile))
     names = p.segment_daily.select("run_id", "segment_key", "platform", "campaign_type").distinct()
-    models = parts.join(names, ["run_id", "segment_key"]).withColumn("draw_id", F.col("run_id"))
+    models = cut(parts.join(names, ["run_id", "segment_key"]).withColumn("draw_id", F.col("run_id")), "models")
     betas = prior_for(p.segment_daily.select("run_id", "segment_key").distinct(), priors.elasticity.drop("run_id"), ["beta"])
     return models, profile, betas
 

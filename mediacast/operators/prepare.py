@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import scalars as S
+from ..functions.stage import cut
 
 SEGMENT = ["run_id", "segment_key", "platform", "campaign_type"]
 CAMPAIGN = [*SEGMENT, "campaign_uid", "campaign_id"]
@@ -59,10 +60,10 @@ def trim_edge(panel: DataFrame) -> DataFrame:
     last = active_series(panel).withColumn("k", F.row_number().over(latest)).where("k <= 3")
     bad = F.coalesce(F.col("n") < 0.5 * F.col("typical"), F.lit(False)).cast("int")
     unbroken = F.min(bad).over(latest.rowsBetween(Window.unboundedPreceding, 0))
-    cut = last.withColumn("gone", unbroken).groupBy("run_id").agg(
+    gone = last.withColumn("gone", unbroken).groupBy("run_id").agg(
         F.min(F.when(F.col("gone") == 1, F.col("date"))).alias("cutoff"), F.sum("gone").alias("dropped")
     )
-    return _origins(panel, cut)
+    return _origins(panel, gone)
 
 
 def _origins(panel: DataFrame, cut: DataFrame) -> DataFrame:
@@ -125,10 +126,13 @@ class Prepared:
 def prepare(panel: DataFrame) -> Prepared:
     """Sums come before the dense grid. A campaign with several names has the latest, and is one campaign."""
     panel = add_taxonomy(with_run(panel).where("date is not null"))
-    origins = trim_edge(panel)
-    cut = F.broadcast(origins.select("run_id", "cutoff"))
-    panel = panel.join(cut, "run_id").where("cutoff is null or date < cutoff").drop("cutoff")
-    segments = dense(daily(panel, SEGMENT), SEGMENT, origins)
+    keys = [*CAMPAIGN, "campaign_name", "channel_type_raw", "brand_intent", "date"]
+    # Days of campaigns from here on, however many rows the source has for them.
+    panel = cut(panel.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in config.METRICS]), "panel")
+    origins = cut(trim_edge(panel), "origins")
+    edge = F.broadcast(origins.select("run_id", "cutoff"))
+    panel = panel.join(edge, "run_id").where("cutoff is null or date < cutoff").drop("cutoff")
+    segments = cut(dense(daily(panel, SEGMENT), SEGMENT, origins), "segments")
     campaigns = dense(daily(panel, CAMPAIGN), CAMPAIGN, origins)
     names = panel.groupBy("run_id", "campaign_uid").agg(F.max_by("campaign_name", F.struct("date", "campaign_name")).alias("campaign_name"))
     return Prepared(panel, origins, segments, campaigns, campaign_meta(campaigns, names, origins))

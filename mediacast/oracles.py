@@ -155,7 +155,7 @@ nodes AS (SELECT CASE WHEN gp = 1 AND gt = 1 THEN 'aggregate' WHEN gt = 1 THEN '
     CASE WHEN gt = 1 THEN 'all' ELSE campaign_type END AS campaign_type, sim, revenue, spend, CASE WHEN spend > 0 THEN revenue / spend WHEN revenue <= 0 THEN 0 END AS roas
     FROM rolled WHERE NOT (gp = 1 AND gt = 0 AND c <= 1))"""
 ORIGINS = """,
-starts AS (SELECT origin - 90 - 30 * k AS at FROM edge, range(0, 8) r(k), (SELECT min(date) AS first FROM kept) WHERE (origin - 90 - 30 * k) - first >= 180)"""
+starts AS (SELECT origin - 90 - 30 * k::INT AS day0 FROM edge, range(0, 8) r(k), (SELECT min(date) AS first FROM kept) WHERE (origin - 90 - 30 * k::INT) - first >= 180)"""
 
 _dense_columns = "segment_key, date, round(spend, 4) AS spend, round(revenue, 4) AS revenue, clicks, impressions, conversions"
 _flat_select = f"""
@@ -197,8 +197,8 @@ ORACLES = {
         SELECT level, channel, metric, round(avg(x), 3) AS mean, round(stddev_pop(y), 3) AS std, """
     + ", ".join(f"round(quantile_cont(y, {q / 100}), 3) AS p{q:02d}" for q in (5, 10, 25, 50, 75, 90, 95))
     + " FROM y GROUP BY ALL",
-    "backtest_origins": f"{BASE}{ORIGINS} SELECT at::DATE AS origin FROM starts",
-    "backtest_actual_windows": f"{BASE}{ORIGINS}, w AS (SELECT at::DATE AS origin, h AS horizon, platform, revenue FROM starts JOIN (VALUES (30), (60), (90)) v(h) ON true JOIN kept ON date > at AND date <= at + h) SELECT origin, horizon, CASE WHEN platform IS NULL THEN 'aggregate' ELSE 'channel' END AS level, coalesce(platform, 'blended') AS channel, round(sum(revenue)::DOUBLE, 4) AS actual FROM w GROUP BY GROUPING SETS ((origin, horizon), (origin, horizon, platform))",
+    "backtest_origins": f"{BASE}{ORIGINS} SELECT day0::DATE AS origin FROM starts",
+    "backtest_actual_windows": f"{BASE}{ORIGINS}, w AS (SELECT day0::DATE AS origin, h AS horizon, platform, revenue FROM starts JOIN (VALUES (30), (60), (90)) v(h) ON true JOIN kept ON date > day0 AND date <= day0 + h) SELECT origin, horizon, CASE WHEN platform IS NULL THEN 'aggregate' ELSE 'channel' END AS level, coalesce(platform, 'blended') AS channel, round(sum(revenue)::DOUBLE, 4) AS actual FROM w GROUP BY GROUPING SETS ((origin, horizon), (origin, horizon, platform))",
     "trailing_actuals": f"{BASE} SELECT coalesce(platform, 'blended') AS channel, round(sum(revenue)::DOUBLE, 4) AS revenue, round(sum(spend)::DOUBLE, 4) AS spend, round(sum(revenue)::DOUBLE / sum(spend)::DOUBLE, 4) AS roas FROM kept, edge WHERE date > origin - 30 GROUP BY GROUPING SETS ((), (platform))",
     "roas_watch": f"{BASE} SELECT coalesce(platform, 'blended') AS channel FROM kept, edge WHERE date > origin - 30 GROUP BY GROUPING SETS ((), (platform)) HAVING sum(revenue)::DOUBLE / sum(spend)::DOUBLE < 25",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.stage import cut
 from ..operators import backtest, budget, hierarchy, model, prepare, simulate
 
 
@@ -24,16 +25,17 @@ class Result:
 def score(p: prepare.Prepared, priors: model.Model, cfg: config.Forecast, plan: DataFrame | None = None) -> Result:
     models, profile, betas = model.build_segments(p, priors)
     paths = simulate.simulate(models, profile, betas, p.origins, cfg, plan)
-    nodes = hierarchy.reconcile(simulate.periods(paths, cfg.horizons))
+    nodes = cut(hierarchy.reconcile(simulate.periods(paths, cfg.horizons)), "nodes")
     summary = hierarchy.summarise(nodes, priors.scales, cfg.quantiles)
     whole = summary.unionByName(hierarchy.campaigns(nodes, prepare.top_campaigns(p.meta), priors.scales, cfg.quantiles))
     return Result(p.origins, models, paths, nodes, whole, hierarchy.predictions(whole, p.origins, cfg.currency))
 
 
-def calibrate(panel: DataFrame, p: prepare.Prepared, priors: model.Model, cfg: config.Forecast) -> DataFrame:
+def calibrate(p: prepare.Prepared, priors: model.Model, cfg: config.Forecast) -> DataFrame:
     """Backtest records of all origins in one plan: each is a run, and its draws are named by it."""
     runs = backtest.origins(p.panel, p.origins)
-    past = prepare.prepare(prepare.as_of(panel, runs))
+    runs = cut(runs, "backtest-origins")
+    past = prepare.prepare(prepare.as_of(p.panel, runs))
     result = score(past, replace_scales(priors, None), replace(cfg, seed=cfg.seed + 7))
     return backtest.records(result.nodes, backtest.actuals(p.panel, runs, cfg.horizons))
 
@@ -45,7 +47,7 @@ def replace_scales(priors: model.Model, scales: DataFrame | None) -> model.Model
 def train(panel: DataFrame, cfg: config.Forecast) -> model.Model:
     p = prepare.prepare(panel)
     priors = model.fit_priors(p)
-    return replace_scales(priors, backtest.scales(calibrate(panel, p, priors, cfg)))
+    return replace_scales(priors, backtest.scales(calibrate(p, priors, cfg)))
 
 
 def what_if(p: prepare.Prepared, priors: model.Model, scenario: budget.Scenario, cfg: config.Forecast) -> tuple[Result, Result]:

@@ -243,7 +243,7 @@ def backtest_actual_windows(spark, sf_dir):
 
 def _records(spark, sf_dir):
     p = _prepared(spark, sf_dir)
-    return plans.calibrate(_panel(spark, sf_dir), p, model.fit_priors(p), config.Forecast(n_sims=50))
+    return plans.calibrate(p, model.fit_priors(p), config.Forecast(n_sims=50))
 
 
 def backtest_metrics(spark, sf_dir):
