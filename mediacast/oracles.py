@@ -179,6 +179,7 @@ ORACLES = {
     "campaign_meta_shares": f"{BASE}{CAMP}{META} SELECT campaign_uid, segment_key, campaign_name, round(total_spend, 4) AS total_spend, round(total_revenue, 4) AS total_revenue, n_days, first_day, last_day, last_active_day, round(recent_spend, 4) AS recent_spend, round(recent_revenue, 4) AS recent_revenue, round(rev_share, 6) AS rev_share, round(spend_share, 6) AS spend_share, origin - last_day AS days_since_active FROM meta",
     "top_campaigns_per_segment": f"{BASE}{CAMP}{META} SELECT segment_key, row_number() OVER (PARTITION BY segment_key ORDER BY recent_revenue DESC, campaign_uid) AS place, campaign_uid, round(recent_revenue, 4) AS recent_revenue FROM meta QUALIFY place <= 5",
     "calendar_events": f"{_DATED} SELECT date, e AS event_name, (CASE e WHEN 'black_friday_week' THEN 1.8 WHEN 'cyber_week' THEN 1.6 WHEN 'december_ramp' THEN 1.35 WHEN 'christmas_lull' THEN 0.6 WHEN 'january_hangover' THEN 0.85 ELSE 1.0 END)::DOUBLE AS event_uplift_prior, e = 'black_friday_week' AS black_friday_week, e = 'cyber_week' AS cyber_week, e = 'december_ramp' AS december_ramp, e = 'christmas_lull' AS christmas_lull, e = 'january_hangover' AS january_hangover FROM named",
+    "calendar_frame": f"{_DATED} SELECT date, month(date)::INT AS month, (isodow(date) - 1)::INT AS dow, dayofyear(date)::INT AS doy, weekofyear(date)::INT AS iso_week, year(date)::INT AS year, t AS thanksgiving FROM named",
     "window_events": f"{_DATED}, long_days AS (SELECT s.date AS start, e FROM days s JOIN named ON named.date BETWEEN s.date AND s.date + 89 WHERE day(s.date) = 1 AND s.date <= DATE '2027-10-01' UNION ALL SELECT s.date, CASE WHEN d BETWEEN t - 1 AND t + 2 THEN 'black_friday_week' WHEN d BETWEEN t + 4 AND t + 8 THEN 'cyber_week' WHEN month(d) = 12 AND day(d) <= 23 THEN 'december_ramp' WHEN month(d) = 12 THEN 'christmas_lull' WHEN month(d) = 1 AND day(d) <= 15 THEN 'january_hangover' ELSE '' END FROM (SELECT date, unnest(generate_series(date, date + 89, INTERVAL 1 DAY))::DATE AS d FROM days WHERE day(date) = 1 AND date > DATE '2027-10-01') s, LATERAL (SELECT {_FOURTH.format(y='year(s.d)')}::DATE AS t)) SELECT start, concat_ws(', ', CASE WHEN bool_or(e = 'black_friday_week') THEN 'Black Friday' END, CASE WHEN bool_or(e = 'cyber_week') THEN 'Cyber Monday week' END, CASE WHEN bool_or(e = 'december_ramp') THEN 'December gift-buying ramp' END, CASE WHEN bool_or(e = 'christmas_lull') THEN 'post-Christmas lull' END, CASE WHEN bool_or(e = 'january_hangover') THEN 'January slowdown' END) AS events FROM long_days GROUP BY start",
     "seasonal_week_profile": f"{BASE}{SEG}{PROFILE} SELECT {_K}, slot::INT AS slot, round(factor, 6) AS factor FROM week",
     "seasonal_dow_profile": f"{BASE}{SEG}{PROFILE} SELECT {_K}, slot::INT AS slot, round(factor, 6) AS factor FROM dow",

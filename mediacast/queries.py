@@ -93,10 +93,14 @@ def calendar_frame(spark, sf_dir):
     d = F.col("date")
     return _dates(spark).select(
         "date", F.month(d).alias("month"), F.weekday(d).alias("dow"), F.dayofyear(d).alias("doy"), F.weekofyear(d).alias("iso_week"), F.year(d).alias("year"),
-        S.thanksgiving(F.year(d)).alias("thanksgiving"), S.us_holiday(d).alias("is_us_holiday"),
+        S.thanksgiving(F.year(d)).alias("thanksgiving"),
     )
 
 
+def us_holidays(spark, sf_dir):
+    return _dates(spark).where(S.us_holiday(F.col("date")))
+
+
 def window_events(spark, sf_dir):
     """Which events fall within 90 days after each month's first day."""
     starts = _dates(spark).where(F.dayofmonth("date") == 1)
@@ -294,7 +298,7 @@ def opportunities(spark, sf_dir):
 def queries() -> dict:
     plain = (
         panel_canonical, panel_taxonomy, brand_mix, active_series_per_day, ragged_edge_trim, segment_daily_dense, campaign_daily_dense,
-        campaign_meta_shares, top_campaigns_per_segment, calendar_events, calendar_frame, window_events, pooled_prior, blended_profile,
+        campaign_meta_shares, top_campaigns_per_segment, calendar_events, calendar_frame, us_holidays, window_events, pooled_prior, blended_profile,
         decomposition, decomposition_flat, elasticity_fit, response_curve, growth_multiplier_table, response_multiplier_table,
         expected_spend_path, marginal_roas_rank, rng_normals_md5, macro_shock_md5, mc_periods, hierarchy_rollup, conformal_summary,
         prediction_table, cumulative_fan, backtest_origins, backtest_actual_windows, backtest_metrics, conformal_scales, budget_deltas,
