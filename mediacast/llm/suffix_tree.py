@@ -10,7 +10,9 @@ Documents are cut into blocks of some MB, in which words are numbers. A block se
 words, compressed, to the vocabulary's shards by their hash; these answer with ids that follow the
 words' counts in the whole corpus. Then every block sends its word triples,
 compressed, to the shards of their middle word; a shard holds the whole subtree of the contexts
-that end in its words, tests them, and answers with what each document gains over the root.
+that end in its words, tests them, and answers with what each document gains over the root. Words
+too frequent for one shard are dealt by the word before them; the counts of what follows such a
+word are summed over its shards first, so that its context is tested like any other.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import blocks as count_blocks
-from .common import cut, ship
+from .common import cut, free, ship
 
 #: Bytes of text after which a block is full.
 BLOCK_BYTES = 8_000_000
@@ -40,6 +42,8 @@ END = "\n"
 ADDED = 0.1
 #: The rank of a word that training doesn't have.
 UNSEEN = 0xFFFFFFFF
+#: What a message holds: a block's own sums, occurrences, counts of pairs that begin with a hot word, or all such pairs of a shard.
+OWN, OCCURRENCES, HOT, PAIRS = range(4)
 
 
 class _Numbers(dict):
@@ -201,18 +205,55 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def subtree(a: np.ndarray, b: np.ndarray, n: np.ndarray, count: np.ndarray, counts: Counts, hot: np.ndarray, min_gain: float):
+def _gains(p: np.ndarray, c: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """What next words seen ``c`` times gain over the parent's ``p`` in a context of ``total`` occurrences and ``kinds`` next words, each left out of its own count."""
+    own = (np.maximum(c - 1, 0) + kinds * p) / np.maximum(total - 1 + kinds, 1)
+    return c * np.log(np.where(c > 0, own / p, 1.0))
+
+
+def _smoothed(p: np.ndarray, c: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return (c + kinds * p) / np.maximum(total + kinds, 1)
+
+
+def _sent(k: np.ndarray, key: np.ndarray, c: np.ndarray) -> bytes:
+    """Counts of pairs by shard, sorted by both and packed."""
+    order = np.lexsort((key, k))
+    planes = [_planes(x) for x in (k[order].astype(np.uint32), np.diff(key[order], prepend=0), c[order].astype(np.int64))]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(planes))
+
+
+def _received(messages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shards, pairs and counts of several messages, the counts of the same pair and shard summed."""
+    parts = []
+    for data in messages:
+        planes = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        k, gaps, c = (_joined(x, t) for x, t in zip(planes, (np.uint32, np.int64, np.int64), strict=True))
+        parts.append((k.astype(np.int64), np.cumsum(gaps), c))
+    return _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _summed(k: np.ndarray, key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order, new = _groups(k, key)
+    at = order[new]
+    return k[at], key[at], np.bincount(np.cumsum(new) - 1, weights=c[order]).astype(np.int64)
+
+
+def subtree(
+    a: np.ndarray, b: np.ndarray, n: np.ndarray, count: np.ndarray, counts: Counts, hot: np.ndarray, min_gain: float, shared: np.ndarray | None = None
+):
     """For occurrences of word ``n`` after ``a b``, with training counts: the natural log of its probability, and of the root's.
 
     ``b`` and ``a b`` are kept by their test: the gain in log-likelihood of their own smoothed
     distribution over the parent's, each occurrence left out of the counts that predict it, so that
-    a context seen once gains nothing. A hot ``b`` isn't kept itself, only contexts that lengthen it.
+    a context seen once gains nothing. Of a hot ``b`` only some occurrences are here, so the
+    probability of ``n`` in its state is given by ``shared``.
     """
     order, new = _groups(b, a, n)
     triple = np.empty(len(order), np.int64)
     triple[order] = np.cumsum(new) - 1
     at = order[new]
     a, b, n, hot = a[at], b[at], n[at], hot[at]
+    shared = None if shared is None else shared[at]
     c = np.bincount(triple, weights=count, minlength=len(at))
     p = counts.root(n)
     root = p.copy()
@@ -221,10 +262,8 @@ def subtree(a: np.ndarray, b: np.ndarray, n: np.ndarray, count: np.ndarray, coun
         """``p`` moved to the contexts that pass; ``context`` numbers those of (next word, count) rows."""
         total = np.bincount(context, weights=c)[context]
         kinds = np.bincount(context, weights=c > 0)[context]
-        own = (np.maximum(c - 1, 0) + kinds * p) / np.maximum(total - 1 + kinds, 1)
-        logs = np.log(np.where(c > 0, own / p, 1.0))
-        gain = np.bincount(context, weights=c * logs)[context]
-        return np.where((gain >= min_gain) & (total > 1), (c + kinds * p) / np.maximum(total + kinds, 1), p)
+        gain = np.bincount(context, weights=_gains(p, c, total, kinds))[context]
+        return np.where((gain >= min_gain) & (total > 1), _smoothed(p, c, total, kinds), p)
 
     if len(at):
         by_pair, new_pair = _groups(b, n)
@@ -233,7 +272,7 @@ def subtree(a: np.ndarray, b: np.ndarray, n: np.ndarray, count: np.ndarray, coun
         one = by_pair[new_pair]
         words = np.cumsum(np.r_[True, b[one][1:] != b[one][:-1]]) - 1
         moved = state(p[one], np.bincount(pair, weights=c), words)
-        p = np.where(hot, p, moved[pair])
+        p = moved[pair] if shared is None else np.where(hot, shared, moved[pair])
         longer = np.cumsum(np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])]) - 1
         p = state(p, c, longer)
     return np.log(p)[triple], np.log(root)[triple]
@@ -246,7 +285,8 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
     alone. A null id counts as held out. Rows that repeat train and are scored as often. Without
     training rows every token is the unknown symbol, with probability 1. Texts may be of any length:
     a block holds at least one whole. A word that alone has more than one shard's share of all
-    tokens is hot: it is no context itself, and the contexts that lengthen it are dealt by both words.
+    tokens is hot: its occurrences are dealt by the word before too, and its own context is tested
+    on counts summed over them; which words are hot changes no result.
     """
     vocabulary_shards = max(4, count_blocks(docs) // 4)
     blocks = cut(make_blocks(docs, vocabulary_shards, block_bytes), "lm-blocks")
@@ -258,84 +298,162 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
     if counts.known + 2 >= UNSEEN:
         raise ValueError("ids of 32 bits cannot number so many distinct words")
     shards = max(4, blocks.count())
-    limit = max(1, counts.tokens // shards)
+    few = max(4, shards // 8)
+    # Ids follow the counts: the hot words are the first.
+    hottest = int(counts.starts(np.array(max(1, counts.tokens // shards))))
     unknown, before = counts.known, counts.known + 1
 
-    def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A block's own sums, and its triples for every shard."""
+    def renumber(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block with its tokens as ids."""
         out = []
         pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         for row in left.to_pylist():
-            flat = np.frombuffer(unpack(row["tokens"]), np.uint32)
-            lengths = np.array(row["lengths"])
-            starts = np.cumsum(lengths) - lengths
             parts = _joined(unpack(row["parts"]), np.uint32)
             places = _places(parts, vocabulary_shards)
-            number_of = np.full(len(parts), unknown, np.int64)
+            number_of = np.full(len(parts), unknown, np.uint32)
             for answer in right.to_pylist():
                 number_of[places[answer["k"]]] = _joined(unpack(answer["data"]), np.uint32)
-            n = number_of[flat]
-            b, a = np.roll(n, 1), np.roll(n, 2)
-            b[starts] = a[starts] = before
-            a[np.minimum(starts + 1, len(a) - 1)] = np.where(lengths > 1, before, a[np.minimum(starts + 1, len(a) - 1)])
-            c = counts.of(n)
-            logs = np.log10((c + ADDED) / counts.room)
-            held = np.array([held_out(x) for x in row["ids"]])
-            own = {"ids": row["ids"], "held": held, "lengths": lengths, "known": np.add.reduceat((c > 0).astype(np.int64), starts)}
-            own["base"] = np.add.reduceat(logs, starts)
-            out.append((int(row["block"] % shards), row["block"], True, pickle.dumps(own)))
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            # A context that training has less often than this is never kept.
-            use = np.flatnonzero((b == before) | (counts.of(b) >= LEAST))
-            del c, logs, flat
-            a, b, n, doc = a[use], b[use], n[use], doc[use]
-            hot = (b != before) & (counts.of(b) > limit)
-            shard = (_mixed(np.where(hot, b * np.int64(0x10001) + a, b)) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((n, a, b, shard))
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in range(shards):
-                at = order[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    # Sorted pairs as gaps, and bytes of one weight together: most high bytes are 0.
-                    gaps = np.diff(b[at] << 32 | a[at], prepend=0)
-                    planes = [_planes(x) for x in (gaps, n[at].astype(np.uint32), doc[at].astype(np.uint32))]
-                    out.append((k, row["block"], False, pack(pickle.dumps((planes, np.packbits(held))))))
+            out.append((row["block"], row["ids"], row["lengths"], pack(_planes(number_of[np.frombuffer(unpack(row["tokens"]), np.uint32)]))))
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "ids", "lengths", "tokens"])
+
+    def opened(row: dict) -> tuple[np.ndarray, ...]:
+        """A block's words with the two before each, the document of each, and whether that is held out."""
+        n = _joined(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint32).astype(np.int64)
+        lengths = np.array(row["lengths"])
+        starts = np.cumsum(lengths) - lengths
+        b, a = np.roll(n, 1), np.roll(n, 2)
+        b[starts] = a[starts] = before
+        a[np.minimum(starts + 1, len(a) - 1)] = np.where(lengths > 1, before, a[np.minimum(starts + 1, len(a) - 1)])
+        return a, b, n, np.repeat(np.arange(len(lengths)), lengths), np.array([held_out(x) for x in row["ids"]])
+
+    def dealt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (_mixed(np.where(b < hottest, b * np.int64(0x10001) + a, b)) % np.uint64(shards)).astype(np.int64)
+
+    def each(body):
+        """``body``, which makes (shard, block, kind, data) rows of one row, for mapInArrow."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    out = body(batch.slice(at, 1).to_pylist()[0])
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        return run
+
+    def send(row: dict) -> list[tuple]:
+        """A block's own sums, and its triples for every shard."""
+        out = []
+        pack = zstandard.ZstdCompressor(level=3).compress
+        a, b, n, doc, held = opened(row)
+        lengths = np.array(row["lengths"])
+        starts = np.cumsum(lengths) - lengths
+        c = counts.of(n)
+        own = {"ids": row["ids"], "held": held, "lengths": lengths, "known": np.add.reduceat((c > 0).astype(np.int64), starts)}
+        own["base"] = np.add.reduceat(np.log10((c + ADDED) / counts.room), starts)
+        out.append((int(row["block"] % shards), row["block"], OWN, pickle.dumps(own)))
+        # A context that training has less often than this is never kept.
+        use = np.flatnonzero((b == before) | (counts.of(b) >= LEAST))
+        del c
+        a, b, n, doc = a[use], b[use], n[use], doc[use]
+        shard = dealt(a, b)
+        order = np.lexsort((n, a, b, shard))
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for k in range(shards):
+            at = order[cuts[k] : cuts[k + 1]]
+            if len(at):
+                # Sorted pairs as gaps, and bytes of one weight together: most high bytes are 0.
+                gaps = np.diff(b[at] << 32 | a[at], prepend=0)
+                planes = [_planes(x) for x in (gaps, n[at].astype(np.uint32), doc[at].astype(np.uint32))]
+                out.append((k, row["block"], OCCURRENCES, pack(pickle.dumps((planes, np.packbits(held))))))
+        return out
+
+    def messages(to: np.ndarray, block: int, k: np.ndarray, key: np.ndarray, c: np.ndarray) -> list[tuple]:
+        return [(i, block, HOT, _sent(k[at], key[at], c[at])) for i, at in enumerate(_places(to, few)) if len(at)]
+
+    def ask(row: dict) -> list[tuple]:
+        """The pairs of a hot word and the next that each shard has from a block, with training counts."""
+        a, b, n, doc, held = opened(row)
+        use = np.flatnonzero(b < hottest)
+        k, key, c = _summed(dealt(a[use], b[use]), b[use] << 32 | n[use], ~held[doc[use]])
+        return messages(k % few, row["block"], k, key, c)
+
+    def gather(t: pa.Table) -> pa.Table:
+        """The same pairs of all blocks, sent on by pair."""
+        k, key, c = _received(t.column("data").to_pylist())
+        return as_table(messages((_mixed(key) % np.uint64(few)).astype(np.int64), int(k[0] % few), k, key, c))
+
+    def total(t: pa.Table) -> pa.Table:
+        """The pairs' counts over all shards: a row for each shard that asks, and one of all pairs."""
+        k, key, c = _received(t.column("data").to_pylist())
+        _, pairs, sums = _summed(np.zeros_like(k), key, c)
+        c = sums[np.searchsorted(pairs, key)]
+        out = [(0, -1, PAIRS, _sent(np.zeros_like(pairs), pairs, sums))]
+        ends = np.flatnonzero(np.r_[k[1:] != k[:-1], True]) + 1
+        out += [(int(k[i]), -1, HOT, _sent(k[i:j], key[i:j], c[i:j])) for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+        return as_table(out)
+
+    def as_table(out: list[tuple]) -> pa.Table:
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
+    def by_word(pairs: DataFrame, value) -> np.ndarray:
+        """For each hot word the sum of ``value`` over the words that follow it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    _, key, c = _received([data])
+                    sums = np.bincount(key >> 32, weights=value(key >> 32, key & 0xFFFFFFFF, c), minlength=hottest)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(hottest)), pa.array(sums)], ["b", "x"])
+
+        found = np.zeros(hottest)
+        for b, x in pairs.mapInArrow(run, "b long, x double").groupBy("b").agg(F.sum("x")).collect():
+            found[b] = x
+        return found
+
     def test(t: pa.Table) -> pa.Table:
         """A shard: passes the blocks' own sums on, and adds what their documents gain over the root."""
-        out, blobs, occurrences = [], [], []
+        out, blobs, occurrences, told = [], [], [], []
         for row in t.to_pylist():
-            if row["own"]:
-                out.append((row["shard"], row["block"], True, row["data"]))
-                continue
-            planes, held = pickle.loads(zstandard.ZstdDecompressor().decompress(row["data"]))
-            pairs = np.cumsum(_joined(planes[0], np.int64))
-            n, doc = (_joined(x, np.uint32) for x in planes[1:])
-            blobs.append((row["block"], doc))
-            occurrences.append((pairs, n, np.unpackbits(held)[doc] == 0))
+            if row["kind"] == OWN:
+                out.append((row["shard"], row["block"], OWN, row["data"]))
+            elif row["kind"] == HOT:
+                told.append(row["data"])
+            else:
+                planes, held = pickle.loads(zstandard.ZstdDecompressor().decompress(row["data"]))
+                pairs = np.cumsum(_joined(planes[0], np.int64))
+                n, doc = (_joined(x, np.uint32) for x in planes[1:])
+                blobs.append((row["block"], doc))
+                occurrences.append((pairs, n, np.unpackbits(held)[doc] == 0))
         if blobs:
             pairs, n, train = (np.concatenate(x) for x in zip(*occurrences, strict=True))
             occurrences.clear()
             a, b, n = pairs & 0xFFFFFFFF, pairs >> 32, n.astype(np.int64)
             del pairs
-            hot = (b != before) & (counts.of(b) > limit)
-            lp, root = subtree(a, b, n, train.astype(np.float64), counts, hot, min_gain)
+            hot, shared = b < hottest, None
+            if told:
+                _, key, c = _received(told)
+                of, p = key >> 32, counts.root(key & 0xFFFFFFFF)
+                p = np.where(hot_kept[of], _smoothed(p, c, counts.of(of), hot_kinds[of]), p)
+                shared = np.zeros(len(b))
+                shared[hot] = p[np.searchsorted(key, b[hot] << 32 | n[hot])]
+            lp, root = subtree(a, b, n, train.astype(np.float64), counts, hot, min_gain, shared)
             gain = (lp - root) / np.log(10)
             at = 0
             for block, doc in blobs:
                 sums = np.bincount(doc, weights=gain[at : at + len(doc)])
                 at += len(doc)
                 some = np.flatnonzero(sums)
-                out.append((0, block, False, pickle.dumps((some.astype(np.uint32), sums[some]))))
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out.append((0, block, OCCURRENCES, pickle.dumps((some.astype(np.uint32), sums[some]))))
+        return as_table(out)
 
     def finish(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        own = pickle.loads(next(r["data"] for r in rows if r["own"]))
+        own = pickle.loads(next(r["data"] for r in rows if r["kind"] == OWN))
         # In the order of the shards' answers the sum could differ in its last digits.
         total = own["base"].copy()
-        for data in sorted(r["data"] for r in rows if not r["own"]):
+        for data in sorted(r["data"] for r in rows if r["kind"] != OWN):
             some, sums = pickle.loads(data)
             total[some] += sums
         n = len(own["lengths"])
@@ -345,10 +463,22 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    names, kinds = ["shard", "block", "own", "data"], [pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-    schema = "shard int, block long, own boolean, data binary"
+    names, kinds = ["shard", "block", "kind", "data"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    schema = "shard int, block long, kind int, data binary"
     texts = blocks.select("block", "ids", "lengths", "tokens", "parts")
-    sent = texts.groupBy("block").cogroup(number(merged, counts).groupBy("b")).applyInArrow(send, schema)
+    texts = texts.groupBy("block").cogroup(number(merged, counts).groupBy("b"))
+    numbered = cut(texts.applyInArrow(renumber, "block long, ids array<long>, lengths array<int>, tokens binary"), "lm-numbered")
+    free(blocks)
+    sent = numbered.mapInArrow(each(send), schema)
+    hot_kinds = hot_kept = np.zeros(0)
+    if hottest:
+        asked = numbered.mapInArrow(each(ask), schema).groupBy("shard").applyInArrow(gather, schema)
+        told = cut(asked.groupBy("shard").applyInArrow(total, schema), "lm-hot")
+        pairs = told.where(F.col("kind") == PAIRS).select("data")
+        sums = counts.of(np.arange(hottest))
+        hot_kinds = by_word(pairs, lambda b, n, c: c > 0)
+        hot_kept = (by_word(pairs, lambda b, n, c: _gains(counts.root(n), c, sums[b], hot_kinds[b])) >= min_gain) & (sums > 1)
+        sent = sent.unionByName(told.where(F.col("kind") == HOT))
     return sent.groupBy("shard").applyInArrow(test, schema).groupBy("block").applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
