@@ -36,8 +36,6 @@ from .common import cut, free, ship
 BLOCK_BYTES = 8_000_000
 #: Least gain in log-likelihood, in nats over the training documents, of a context over its parent.
 MIN_GAIN = 3.0
-#: Least training count of a context's latest word.
-LEAST = 3
 END = "\n"
 ADDED = 0.1
 #: The rank of a word that training doesn't have.
@@ -330,6 +328,23 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
     def dealt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (_mixed(np.where(b < hottest, b * np.int64(0x10001) + a, b)) % np.uint64(shards)).astype(np.int64)
 
+    def useful(b: np.ndarray, n: np.ndarray, c: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """Which of a block's occurrences a context of words can be kept on or change; the others have the root's probability.
+
+        No context that training has once passes the test, and none whose next words all differ: it
+        loses by its own distribution. So a word that training has twice needs the same next word
+        twice, and one that training has in this block only needs a next word that repeats here.
+        """
+        times = counts.of(b)
+        use = times > 1
+        if min_gain > 0 and train.any():
+            use &= ~(train & (times == 2) & (c < 2))
+            pairs, repeats = np.unique(b[train] << 32 | n[train], return_counts=True)
+            words, first = np.unique(pairs >> 32, return_index=True)
+            here = np.add.reduceat(repeats, first) == counts.of(words)
+            use &= ~np.isin(b, words[here & (np.maximum.reduceat(repeats, first) == 1)])
+        return use
+
     def each(body):
         """``body``, which makes (shard, block, kind, data) rows of one row, for mapInArrow."""
 
@@ -353,8 +368,7 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
         own = {"ids": row["ids"], "held": held, "lengths": lengths, "known": np.add.reduceat((c > 0).astype(np.int64), starts)}
         own["base"] = np.add.reduceat(np.log10((c + ADDED) / counts.room), starts)
         out.append((int(row["block"] % shards), row["block"], OWN, pickle.dumps(own)))
-        # A context that training has less often than this is never kept.
-        use = np.flatnonzero((b == before) | (counts.of(b) >= LEAST))
+        use = np.flatnonzero((b == before) | useful(b, n, c, ~held[doc]))
         del c
         a, b, n, doc = a[use], b[use], n[use], doc[use]
         shard = dealt(a, b)

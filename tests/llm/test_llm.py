@@ -219,6 +219,33 @@ def test_suffix_tree_keeps_contexts_of_frequent_words(spark):
     assert many == {i: pytest.approx(x) for i, x in one.items()}
 
 
+def test_suffix_tree_equals_the_tree_of_all_occurrences(spark):
+    """Words that training has twice are contexts too: two near copies of rare words, beside frequent and single ones."""
+    random.seed(9)
+    rare = [" ".join(f"r{i}x{j}" for j in range(12)) for i in range(30)]
+    say = lambda n: " ".join(random.choice([*WORDS, "the", "the", f"s{random.randint(0, 999)}"]) for _ in range(n))
+    texts = [*(f"{say(5)} {r} {say(5)}" for r in rare * 2), *(say(random.randint(0, 40)) for _ in range(100))]
+    words = [[*t.encode().split(), b"\n"] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    count = {}
+    for w, h in zip(words, held, strict=True):
+        for x in w:
+            count[x] = count.get(x, 0) + (not h)
+    order = sorted((x for x in count if count[x]), key=lambda x: -count[x])
+    ids = {x: i for i, x in enumerate(order)}
+    counts = suffix_tree.Counts([(c, sum(count[x] == c for x in order)) for c in {count[x] for x in order}])
+    rows = []
+    for i, w in enumerate(words):
+        n = [counts.known + 1] * 2 + [ids.get(x, counts.known) for x in w]
+        rows += [(*n[k - 2 : k + 1], not held[i], i) for k in range(2, len(n))]
+    a, b, n, train, doc = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    lp, _ = suffix_tree.subtree(a, b, n, train.astype(float), counts, np.zeros(len(a), bool), 3.0)
+    expected = np.bincount(doc, weights=lp / np.log(10))
+    found = {r.doc_id: r for r in suffix_tree.score(make(spark, texts), block_bytes=1500).collect()}
+    assert [found[i].score for i in range(len(texts))] == pytest.approx(list(expected))
+    assert sum(found[i].score - found[i].base_score > 5 for i in range(60)) > 40
+
+
 def test_suffix_tree_is_a_distribution():
     rng = np.random.default_rng(0)
     n = rng.integers(0, 5, 4000)
