@@ -5,7 +5,8 @@ paths, each with much text and punctuation a node; menus and notices share paths
 each path the text length and the punctuation a node are summed over the page, smoothed with the
 sums of the nearest enclosing section, fused into one score and compared with the page's own mean.
 Regions whose tag or class says what they are (menus, adverts, comments and the like) hold no
-candidates, and within a page that marks its article only the article does.
+candidates. What a page marks as its article has a bonus on its score, but the scores decide there
+too. A block of nothing but links has no bonus and is smoothed with such blocks alone.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ SKIP_WORDS = frozenset(
 SECTIONS = frozenset("article main section div td body blockquote".split())
 #: A path stays if its smoothed score reaches this share of the page's mean.
 SHARE = 0.25
+#: Factor on the score of a path inside a marked article.
+MARK = 4.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"""[.,;:!?。，；！？…]""")
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
@@ -126,24 +130,23 @@ def text_nodes(html: str) -> Iterator[tuple[str, tuple[str, ...], int, bool]]:
 def extract(html: str | None, share: float = SHARE) -> str:
     """The main text: blocks in page order, white space within and between them made one space."""
     nodes = [(unescape(t), path, block, body) for t, path, block, body in text_nodes(html or "")]
-    if any(body and not t.isspace() for t, _, _, body in nodes):
-        nodes = [x for x in nodes if x[3]]
-        marked = True
-    else:
-        marked = False
-    sums: dict[tuple[str, ...], list[int]] = {}
-    around: dict[tuple[str, ...], list[int]] = {}
-    section_of: dict[tuple[str, ...], tuple[str, ...]] = {}
-    for t, path, _, _ in nodes:
+    said = {block for t, path, block, _ in nodes if not t.isspace() and ("a" not in path or HEADINGS.intersection(path))}
+    nodes = [(t, (path, body, block not in said), block) for t, path, block, body in nodes]
+    # Keys: a path or section, whether it is in a marked article, whether its blocks are links alone.
+    sums: dict[tuple[tuple[str, ...], bool, bool], list[int]] = {}
+    around: dict[tuple[tuple[str, ...], bool, bool], list[int]] = {}
+    section_of: dict[tuple[tuple[str, ...], bool, bool], tuple[tuple[str, ...], bool, bool]] = {}
+    for t, key, _ in nodes:
         n = len(t.strip())
         if not n:
             continue
         marks = len(PUNCTUATION.findall(t))
-        if path not in section_of:
+        if key not in section_of:
+            path = key[0]
             k = next((k for k in range(len(path) - 1, -1, -1) if path[k] in SECTIONS), -1)
-            section_of[path] = path[: k + 1]
-        for held, key in ((sums, path), (around, section_of[path])):
-            x = held.setdefault(key, [0, 0, 0])
+            section_of[key] = (path[: k + 1], *key[1:])
+        for held, at in ((sums, key), (around, section_of[key])):
+            x = held.setdefault(at, [0, 0, 0])
             x[0] += n
             x[1] += marks
             x[2] += 1
@@ -155,11 +158,11 @@ def extract(html: str | None, share: float = SHARE) -> str:
 
     scores = {p: (ratio(x) + ratio(around[section_of[p]])) / 2 for p, x in sums.items()}
     mean = sum(scores[p] * x[2] for p, x in sums.items()) / sum(x[2] for x in sums.values())
-    # Of a marked article everything that isn't boilerplate is text, its short paragraphs too.
-    least = 0.0 if marked else share * mean
+    least = share * mean
+    stays = {key for key, score in scores.items() if score * (MARK if key[1] and not key[2] else 1.0) >= least}
     blocks: dict[int, list[str]] = {}
-    for t, path, block, _ in nodes:
-        if scores.get(path, least) >= least:
+    for t, key, block in nodes:
+        if key in stays or key not in scores:
             blocks.setdefault(block, []).append(t)
     return " ".join(" ".join(" ".join("".join(parts).split()) for parts in blocks.values()).split())
 

@@ -195,6 +195,16 @@ def test_html():
     assert "Home" not in html_text.extract(plain) and html_text.extract(plain).startswith("A long")
 
 
+def test_html_scores_decide_in_marked_pages():
+    long = "A long sentence, with marks, and more. " * 5
+    cards = "".join(f"<article><h2><a href=x>Card {i}</a></h2><p>Short</p></article>" for i in range(4))
+    found = html_text.extract(f"<body><div><p>{long}<p>{long}<p>{long}</div><section>{cards}</section></body>")
+    assert found == " ".join((long * 3).split())
+    menu = "<ul><li><a>Home</a><li><a>About</a><li><a>Contact</a></ul>"
+    found = html_text.extract(f"<main>{menu}<h1><a>Title</a></h1><p>{long}<p>See <a>this</a> and <a>that</a>.<p>{long}<ul><li>One<li>Two</ul></main><div>Copyright</div>")
+    assert found == " ".join(f"Title {long} See this and that. {long} One Two".split())
+
+
 def test_suffix_tree(spark, texts):
     rows = {r.doc_id: r for r in suffix_tree.score(make(spark, texts), block_bytes=4000).collect()}
     words = {i: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), b"\n"] for i, t in enumerate(texts)}
