@@ -15,10 +15,10 @@ from .plans import score as plans
 from .sources import star
 
 FLAGSHIP = "prediction_table"
-#: Draws a segment in the registered Monte-Carlo queries; production takes config.N_SIMS.
-QUERY_SIMS = 200
+#: Few draws, for what SQL recomputes; all else takes production's.
 MD5 = config.Forecast(n_sims=20, rng="md5")
-FAST = config.Forecast(n_sims=QUERY_SIMS)
+FULL = config.Forecast()
+BACKTEST = config.Forecast(n_sims=config.BACKTEST_SIMS)
 
 
 def _panel(spark: SparkSession, sf_dir: str, short: bool = False) -> DataFrame:
@@ -196,14 +196,15 @@ def macro_shock_md5(spark, sf_dir):
     return _rounded(simulate.common_shock(runs, MD5, 90).select("sim", "day", "shock"), 8, "shock")
 
 
-def _score(spark, sf_dir, cfg=FAST, short=False):
-    p = _prepared(spark, sf_dir, short)
-    return plans.score(p, model.fit_priors(p), cfg)
+def _score(spark, sf_dir, short=False):
+    """The forecast with intervals calibrated by the backtest."""
+    panel = _panel(spark, sf_dir, short)
+    return plans.score(prepare.prepare(panel), plans.train(panel, BACKTEST), FULL)
 
 
 def mc_periods(spark, sf_dir):
     p, models, profile, betas = _segments(spark, sf_dir)
-    rows = simulate.periods(simulate.simulate(models, profile, betas, p.origins, MD5), config.HORIZONS)
+    rows = simulate.periods(simulate.simulate(models, profile, betas, p.origins, FULL), config.HORIZONS)
     return _rounded(rows.select("segment_key", "sim", "horizon", "revenue", "spend"), 4, "revenue", "spend")
 
 
@@ -231,7 +232,8 @@ def prediction_table(spark, sf_dir, short=False):
 
 
 def cumulative_fan(spark, sf_dir):
-    return simulate.cumulative_fan(_score(spark, sf_dir).paths).drop("run_id")
+    p, models, profile, betas = _segments(spark, sf_dir)
+    return simulate.cumulative_fan(simulate.simulate(models, profile, betas, p.origins, FULL)).drop("run_id")
 
 
 def backtest_origins(spark, sf_dir):
@@ -247,7 +249,7 @@ def backtest_actual_windows(spark, sf_dir):
 
 def _records(spark, sf_dir):
     p = _prepared(spark, sf_dir)
-    return plans.calibrate(p, model.fit_priors(p), config.Forecast(n_sims=50))
+    return plans.calibrate(p, model.fit_priors(p), BACKTEST)
 
 
 def backtest_metrics(spark, sf_dir):
@@ -267,7 +269,7 @@ def budget_plan(spark, sf_dir, scenario):
 def budget_deltas(spark, sf_dir):
     p = _prepared(spark, sf_dir)
     scenario = budget.Scenario(30, channels={"meta": 5000.0})
-    first, second = plans.what_if(p, model.fit_priors(p), scenario, config.Forecast(n_sims=50, horizons=(30,)))
+    first, second = plans.what_if(p, plans.train(_panel(spark, sf_dir), BACKTEST), scenario, config.Forecast(horizons=(30,)))
     return budget.deltas(first.summary.where("level <> 'campaign'"), second.summary.where("level <> 'campaign'"))
 
 

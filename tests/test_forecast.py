@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from mediacast import config
+from mediacast import config, queries
 from mediacast.functions import scalars as S
 from mediacast.operators import budget, hierarchy, model, prepare, simulate
 from mediacast.plans import score as plans
@@ -114,6 +114,34 @@ def test_model_round_trip(spark, panel, tmp_path):
     assert model.Model.load(spark, str(tmp_path / "m")).elasticity.count() == priors.elasticity.count()
 
 
+def test_registered_forecasts_are_calibrated_and_take_all_draws(monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args):
+        seen.append([x for x in args if x == "trained" or isinstance(x, config.Forecast)])
+        raise Stop
+
+    monkeypatch.setattr(queries, "_panel", lambda *a: None)
+    monkeypatch.setattr(prepare, "prepare", lambda panel: prepare.Prepared(*[None] * len(prepare.Prepared.__dataclass_fields__)))
+    monkeypatch.setattr(model, "fit_priors", lambda p: None)
+    monkeypatch.setattr(model, "build_segments", lambda p, priors: (None, None, None))
+    monkeypatch.setattr(plans, "train", lambda panel, cfg: "trained" if cfg.n_sims == 1500 else None)
+    for owner, name in ((plans, "score"), (plans, "what_if"), (plans, "calibrate"), (simulate, "simulate")):
+        monkeypatch.setattr(owner, name, stop)
+    found = queries.queries()
+    for name, draws, trained in [
+        *((x, 4000, True) for x in ("prediction_table", "prediction_table_short", "channel_summary", "budget_deltas")),
+        ("cumulative_fan", 4000, False), ("mc_periods", 4000, False), ("backtest_metrics", 1500, False), ("conformal_scales", 1500, False),
+    ]:
+        with pytest.raises(Stop):
+            found[name](None, "")
+        *priors, cfg = seen[-1]
+        assert (name, cfg.n_sims, priors == ["trained"]) == (name, draws, trained)
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
