@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Parquet under ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only a local session, as in tests, gets a folder of its own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="mediacast-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again; the files go when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session has ended already; the shared folder's owner cleans up
+        pass
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each application; Spark's file server carries it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="mediacast-ship-"))
+    with zipfile.ZipFile(folder / "mediacast_core.zip", "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(folder / "mediacast_core.zip"))
+    _shipped.add(sc.applicationId)

@@ -29,6 +29,11 @@ def winsorised(values: Column, p: float = 0.10) -> Column:
     return F.coalesce(F.get(F.transform(F.array(F.sort_array(values)), lambda s: F.when(F.size(s) > 0, mean(s))), F.lit(0)), F.lit(0.0))
 
 
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with these columns behind a barrier: an expression that a later lambda names is not evaluated anew for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def decompose(seasonal: DataFrame) -> DataFrame:
     """One row for each key of ``seasonal`` (keys, date, value, season): level, growth and residual columns.
 
@@ -38,22 +43,22 @@ def decompose(seasonal: DataFrame) -> DataFrame:
     days = seasonal.groupBy(*KEY).agg(
         F.sort_array(F.collect_list(F.struct("date", "value", (F.col("value") / F.col("season")).alias("d"), "season"))).alias("h")
     )
-    smooth = _slope(seasonal)
     h = F.col("h")
     part = lambda a, f: F.transform(a, lambda x: x[f])
     last = lambda n: F.slice(h, F.greatest(F.size(h) - (n - 1), F.lit(1)), n)
-    out = days.withColumns({"n_days": F.size(h), "all": part(h, "value"), "recent": part(last(config.LEVEL_WINDOW), "d"), "end": F.element_at(h, -1)["date"]})
+    out = _settled(days, n_days=F.size(h), all=part(h, "value"), recent=part(last(config.LEVEL_WINDOW), "d"), end=F.element_at(h, -1)["date"])
     total = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + x)
-    out = out.withColumns({"n_positive": F.size(F.filter("all", lambda x: x > 0)), "mean_value": total / F.col("n_days"), "total": total})
+    year = F.filter(h, lambda x: x["date"].between(F.date_sub("end", 393), F.date_sub("end", 337)))
+    out = _settled(
+        out, total=total, n_positive=F.size(F.filter("all", lambda x: x > 0)), first=winsorised(F.col("recent")), every=winsorised(part(h, "d")),
+        raw=winsorised(F.col("all")), before=winsorised(part(year, "d")),
+    )
     sparse = (F.col("n_days") < config.MIN_SEGMENT_DAYS) | (F.col("n_positive") < 8) | (F.col("total") <= 0)
-    first = winsorised(F.col("recent"))
-    out = out.withColumns({"sparse": sparse, "first": first, "every": winsorised(part(h, "d")), "raw": winsorised(F.col("all"))})
-    level = F.when(F.col("sparse"), F.col("raw")).when(F.col("first") > 0, F.col("first")).otherwise(F.greatest("every", F.lit(1e-6)))
-    out = out.withColumn("level", level)
+    level = F.when(sparse, F.col("raw")).when(F.col("first") > 0, F.col("first")).otherwise(F.greatest("every", F.lit(1e-6)))
+    out = _settled(out, mean_value=F.col("total") / F.col("n_days"), sparse=sparse, level=level)
     logs = F.transform(F.filter("recent", lambda x: x > 0), lambda x: F.log(x / F.col("level")))
-    out = out.withColumn("logs", F.when(F.col("level") > 0, logs).otherwise(F.array().cast("array<double>")))
-    mean = F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size("logs"), F.lit(1))
-    out = out.withColumn("mean_log", mean)
+    out = _settled(out, logs=F.when(F.col("level") > 0, logs).otherwise(F.array().cast("array<double>")))
+    out = _settled(out, mean_log=F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size("logs"), F.lit(1)))
     spread = F.sqrt(F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + (x - F.col("mean_log")) * (x - F.col("mean_log"))) / F.size("logs"))
     sigma = F.when(F.col("sparse"), 0.7).when(F.size("logs") >= 5, S.clip(spread, 0.05, 2.0)).otherwise(0.5)
     out = out.withColumn("resid_log_sigma", sigma)
@@ -61,8 +66,7 @@ def decompose(seasonal: DataFrame) -> DataFrame:
     out = out.withColumn("level_log_sigma", F.when(F.col("sparse"), 0.5).otherwise(S.clip(F.col("resid_log_sigma") / F.sqrt(effective), 0.02, 0.6)))
     block = F.transform(last(BLOCK), lambda x: x["value"] / (x["season"] * F.col("level")))
     out = out.withColumn("resid_block", F.when(F.col("sparse") | (F.col("n_days") < 10), F.array(F.lit(1.0))).otherwise(block))
-    year = F.filter(h, lambda x: x["date"].between(F.date_sub("end", 393), F.date_sub("end", 337)))
-    out = out.withColumn("before", winsorised(part(year, "d"))).join(smooth, KEY, "left")
+    out = out.join(_slope(seasonal), KEY, "left")
     yearly = ~F.col("sparse") & (F.col("n_days") >= 400) & (F.col("before") > 0) & (F.col("first") > 0)
     sloped = ~F.col("sparse") & (F.col("n_days") >= 120)
     trend = S.clip(F.expm1(365.0 * F.coalesce("slope", F.lit(0.0))) * F.least(F.col("n_days") / 400.0, F.lit(1.0)), -0.4, 0.6)
@@ -80,9 +84,6 @@ def _slope(seasonal: DataFrame) -> DataFrame:
     near = order.rowsBetween(-13, 0)
     d = F.greatest(F.col("value") / F.col("season"), F.lit(1e-9))
     m = seasonal.withColumns({"t": F.row_number().over(order).cast("double"), "m": F.when(F.count(d).over(near) >= 5, F.avg(d).over(near))})
-    filled = m.withColumn("y", F.log(F.first("m", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filled = m.withColumn("y", F.log(F.coalesce("m", F.first("m", ignorenulls=True).over(whole))))
     return filled.groupBy(*KEY).agg(F.regr_slope("y", "t").alias("slope"))
-
-
-def expected_path(level: Column, days: Column, growth: Column, season: Column) -> Column:
-    return level * S.growth_multiplier(days, growth) * season

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import scalars as S
+from ..functions.stage import ship
 
 NODE = ["run_id", "level", "channel", "campaign_type", "campaign_id", "campaign_name"]
+METRICS = ["revenue", "spend", "roas"]
 
 
 def reconcile(period: DataFrame) -> DataFrame:
@@ -22,10 +25,10 @@ def reconcile(period: DataFrame) -> DataFrame:
     summed = period.groupingSets(
         [[*base, *map(F.col, s)] for s in sets], *base, F.col("platform"), F.col("campaign_type")
     ).agg(
-        F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"), F.count_distinct(F.col("platform")).alias("channels"),
+        F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"), (F.min("platform") < F.max("platform")).alias("several"),
         F.grouping("platform").alias("gp"), F.grouping("campaign_type").alias("gt"),
     )
-    summed = summed.where("not (gp = 1 and gt = 0 and channels <= 1)")
+    summed = summed.where("not (gp = 1 and gt = 0 and not several)")
     level = F.when((F.col("gp") == 1) & (F.col("gt") == 1), "aggregate").when(F.col("gt") == 1, "channel").otherwise("campaign_type")
     return summed.select(
         "run_id", level.alias("level"), F.when(F.col("gp") == 1, "blended").otherwise(F.col("platform")).alias("channel"),
@@ -52,25 +55,52 @@ def with_scale(nodes: DataFrame, scales: DataFrame | None) -> DataFrame:
 
 
 def summarise(nodes: DataFrame, scales: DataFrame | None, quantiles: tuple[float, ...] = config.QUANTILES) -> DataFrame:
-    """(NODE, horizon, metric, mean, std, p05 ...): the mean of the raw draws, the rest after calibration."""
-    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("revenue", "spend", "roas")])
-    long = with_scale(nodes, scales).select(*NODE, "horizon", "sim", "scale", F.inline(metrics))
-    by = Window.partitionBy(*NODE, "horizon", "metric")
-    spread = long.withColumn("middle", F.percentile("x", F.lit(0.5)).over(by)).withColumn("y", conformal(F.col("x"), F.col("middle"), F.col("scale")))
-    spread = spread.withColumn("y", F.when(F.col("x").isNotNull(), F.col("y")))
-    out = spread.groupBy(*NODE, "horizon", "metric").agg(F.avg("x").alias("mean"), F.stddev_pop("y").alias("std"), F.percentile("y", F.array(*map(F.lit, quantiles))).alias("q"))
-    return out.select(*NODE, "horizon", "metric", "mean", "std", *[F.get("q", F.lit(k)).alias(f"p{round(100 * q):02d}") for k, q in enumerate(quantiles)])
+    """(NODE, horizon, metric, mean, std, p05 ...): the mean of the raw draws, the rest after calibration.
 
+    A group is the draws of one node and horizon, as many as there are simulations. Draws without a
+    value (a return without spend) are left out; a metric without any is null throughout.
+    """
+    names = ["mean", "std", *[f"p{round(100 * q):02d}" for q in quantiles]]
+
+    def run(t: pa.Table) -> pa.Table:
+        scale = t["scale"][0].as_py()
+        found = [_summary(t[m].drop_null().to_numpy(), scale, quantiles) for m in METRICS]
+        own = {c: pa.array([t[c][0].as_py()] * len(METRICS), t.schema.field(c).type) for c in (*NODE, "horizon")}
+        values = {name: pa.array([x[k] for x in found], pa.float64()) for k, name in enumerate(names)}
+        return pa.table(own | {"metric": pa.array(METRICS)} | values)
+
+    ship(nodes.sparkSession)
+    scaled = with_scale(nodes, scales).select(*NODE, "horizon", "scale", *METRICS)
+    schema = ", ".join([*(f"{c} string" for c in NODE), "horizon int", "metric string", *(f"{c} double" for c in names)])
+    return scaled.groupBy(*NODE, "horizon").applyInArrow(run, schema)
+
+
+def _summary(x: np.ndarray, scale: float, quantiles: tuple[float, ...]) -> list[float | None]:
+    """Mean of the draws; spread and quantiles of ``conformal``'s values, as one array."""
+    if not len(x):
+        return [None] * (2 + len(quantiles))
+    middle = float(np.median(x))
+    if scale == 1 or not middle > 0:
+        y = np.maximum(x, 0.0)
+    else:
+        y = middle * np.power(np.where(x > 0, x / middle, 1e-9), scale)
+    return [float(x.mean()), float(y.std()), *np.quantile(y, quantiles).tolist()]
 
-def campaigns(segment_nodes: DataFrame, meta: DataFrame, scales: DataFrame | None, quantiles: tuple[float, ...] = config.QUANTILES) -> DataFrame:
-    """Campaign rows by pushing shares through the segment's summary.
+
+def as_campaigns(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with segments' draws once more as those of campaigns, which are calibrated by a scale of their own."""
+    own = nodes.where("level = 'campaign_type' and channel <> 'blended'").withColumn("level", F.lit("campaign"))
+    return nodes.unionByName(own)
+
+
+def campaigns(summary: DataFrame, meta: DataFrame, quantiles: tuple[float, ...] = config.QUANTILES) -> DataFrame:
+    """Campaign rows by pushing shares through the summary of ``as_campaigns``.
 
     Shares are constants, and mean, spread, quantiles and calibration all scale with their
     argument; so a campaign is its segment, calibrated as a campaign, times its share. No
     campaign x simulation rows exist. Returns of a campaign without spend share are 0 or null.
     """
-    relabelled = segment_nodes.where("level = 'campaign_type' and channel <> 'blended'").withColumn("level", F.lit("campaign"))
-    parts = summarise(relabelled, scales, quantiles).drop("campaign_id", "campaign_name")
+    parts = summary.where("level = 'campaign'").drop("campaign_id", "campaign_name")
     shares = meta.select(
         "run_id", F.col("platform").alias("channel"), "campaign_type", "campaign_id", "campaign_name", F.coalesce("rev_share", F.lit(0.0)).alias("wr"),
         F.coalesce("spend_share", "rev_share", F.lit(0.0)).alias("ws"),
@@ -92,7 +122,3 @@ def predictions(summary: DataFrame, origins: DataFrame, currency: str = "USD") -
         "currency": F.when(F.col("metric") == "roas", "ratio").otherwise(currency),
     })
     return out.orderBy(rank, "channel", "campaign_type", "campaign_id", "horizon_days", "metric").select("run_id", *config.PREDICTION_COLUMNS)
-
-
-def fallback_quantile(x: Column, q: float) -> Column:
-    return F.percentile(F.when(F.abs(x) < float("inf"), x), F.lit(q))

@@ -40,6 +40,13 @@ class Model:
         return Model(read("seasonal"), read("elasticity"), read("scales"))
 
 
+def own_profiles(p: Prepared) -> DataFrame:
+    """Every segment's own profiles, computed once for each ``Prepared``."""
+    if p.profiles is None:
+        p.profiles = cut(seasonality.profiles(seasonality.long_metrics(p.segment_daily)), "profiles")
+    return p.profiles
+
+
 def _revenue(p: Prepared) -> DataFrame:
     return p.segment_daily.groupBy("run_id", "segment_key", "campaign_type").agg(F.sum("revenue").alias("total"), F.count(F.lit(1)).alias("n_days"))
 
@@ -49,7 +56,7 @@ def fit_priors(p: Prepared) -> Model:
 
     A type's beta is the revenue-weighted mean of its segments', the global one their median.
     """
-    own = cut(seasonality.profiles(seasonality.long_metrics(p.segment_daily)), "profiles")
+    own = own_profiles(p)
     weights = _revenue(p).select("run_id", "segment_key", F.greatest("total", F.lit(1.0)).alias("weight"))
     own_rows = own.select("run_id", F.col("segment_key").alias("scope"), "metric", "kind", "slot", "factor")
     kind = F.split("segment_key", "::", 2)[1]
@@ -79,7 +86,7 @@ def prior_for(keys: DataFrame, table: DataFrame, columns: list[str], on: list[st
 def build_segments(p: Prepared, priors: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(models, profile, betas): each segment's own profile blended with its prior, and its decompositions."""
     series = seasonality.long_metrics(p.segment_daily)
-    own = cut(seasonality.profiles(series), "profiles")
+    own = own_profiles(p)
     slots = own.select("run_id", "segment_key", "metric", "kind", "slot")
     seasonal = priors.seasonal.drop("run_id")
     prior = prior_for(slots, seasonal, ["factor"], ["metric", "kind", "slot"])
@@ -89,8 +96,3 @@ def build_segments(p: Prepared, priors: Model) -> tuple[DataFrame, DataFrame, Da
     models = cut(parts.join(names, ["run_id", "segment_key"]).withColumn("draw_id", F.col("run_id")), "models")
     betas = prior_for(p.segment_daily.select("run_id", "segment_key").distinct(), priors.elasticity.drop("run_id"), ["beta"])
     return models, profile, betas
-
-
-def recent_spend(p: Prepared) -> DataFrame:
-    dated = p.segment_daily.join(F.broadcast(p.origins.select("run_id", "origin")), "run_id")
-    return dated.where(F.col("date") > F.date_sub("origin", config.LEVEL_WINDOW)).groupBy("run_id", "segment_key").agg(F.avg("spend").alias("recent_spend"))

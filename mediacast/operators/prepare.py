@@ -56,19 +56,19 @@ def trim_edge(panel: DataFrame) -> DataFrame:
     A date is incomplete with fewer than half the typical series. ``cutoff`` is the first date
     dropped, null if none is; ``origin`` the last date left.
     """
+    return edges(active_series(panel), panel.groupBy("run_id", "date").count().drop("count"))
+
+
+def edges(active: DataFrame, dates: DataFrame) -> DataFrame:
+    """``trim_edge`` from the active series of each run and date, and each run's dates."""
     latest = Window.partitionBy("run_id").orderBy(F.desc("date"))
-    last = active_series(panel).withColumn("k", F.row_number().over(latest)).where("k <= 3")
+    last = active.withColumn("k", F.row_number().over(latest)).where("k <= 3")
     bad = F.coalesce(F.col("n") < 0.5 * F.col("typical"), F.lit(False)).cast("int")
     unbroken = F.min(bad).over(latest.rowsBetween(Window.unboundedPreceding, 0))
     gone = last.withColumn("gone", unbroken).groupBy("run_id").agg(
         F.min(F.when(F.col("gone") == 1, F.col("date"))).alias("cutoff"), F.sum("gone").alias("dropped")
     )
-    return _origins(panel, gone)
-
-
-def _origins(panel: DataFrame, cut: DataFrame) -> DataFrame:
-    dates = panel.groupBy("run_id", "date").count().drop("count")
-    kept = dates.join(cut, "run_id", "left").where("cutoff is null or date < cutoff")
+    kept = dates.join(gone, "run_id", "left").where("cutoff is null or date < cutoff")
     return kept.groupBy("run_id").agg(F.max("cutoff").alias("cutoff"), F.max("date").alias("origin"), F.coalesce(F.max("dropped"), F.lit(0)).alias("dropped"))
 
 
@@ -121,6 +121,7 @@ class Prepared:
     segment_daily: DataFrame
     campaign_daily: DataFrame
     meta: DataFrame
+    profiles: DataFrame | None = None
 
 
 def prepare(panel: DataFrame) -> Prepared:
@@ -134,5 +135,24 @@ def prepare(panel: DataFrame) -> Prepared:
     panel = panel.join(edge, "run_id").where("cutoff is null or date < cutoff").drop("cutoff")
     segments = cut(dense(daily(panel, SEGMENT), SEGMENT, origins), "segments")
     campaigns = dense(daily(panel, CAMPAIGN), CAMPAIGN, origins)
-    names = panel.groupBy("run_id", "campaign_uid").agg(F.max_by("campaign_name", F.struct("date", "campaign_name")).alias("campaign_name"))
-    return Prepared(panel, origins, segments, campaigns, campaign_meta(campaigns, names, origins))
+    return Prepared(panel, origins, segments, campaigns, campaign_meta(campaigns, _names(panel), origins))
+
+
+def replay(p: Prepared, runs: DataFrame) -> Prepared:
+    """``p`` as each of ``runs`` (run_id, origin) saw it.
+
+    Days are summed and active series counted once, and only these short tables are repeated for each run.
+    """
+    active = cut(active_series(p.panel), "active")
+    dates = p.panel.select("date").distinct()
+    origins = cut(edges(as_of(active, runs), as_of(dates, runs)), "origins")
+    edge = F.broadcast(origins.select("run_id", F.col("origin").alias("last")))
+    kept = lambda df: df.drop("run_id").join(edge, F.col("date") <= F.col("last")).drop("last")
+    segments = cut(dense(kept(daily(p.panel, SEGMENT)), SEGMENT, origins), "segments")
+    panel = kept(p.panel)
+    campaigns = dense(kept(daily(p.panel, CAMPAIGN)), CAMPAIGN, origins)
+    return Prepared(panel, origins, segments, campaigns, campaign_meta(campaigns, _names(panel), origins))
+
+
+def _names(panel: DataFrame) -> DataFrame:
+    return panel.groupBy("run_id", "campaign_uid").agg(F.max_by("campaign_name", F.struct("date", "campaign_name")).alias("campaign_name"))

@@ -13,6 +13,7 @@ from .. import config
 from ..functions import scalars as S
 
 KEY = ["run_id", "segment_key", "metric"]
+HALF_YEAR = 182
 
 
 def long_metrics(segments: DataFrame) -> DataFrame:
@@ -29,13 +30,25 @@ def normalised(factors: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _ratios(series: DataFrame) -> DataFrame:
-    """Series with their centred 365-row mean (90 rows at least, else the mean of positive values)."""
-    around = Window.partitionBy(*KEY).orderBy("date").rowsBetween(-182, 182)
-    whole = Window.partitionBy(*KEY)
-    positive = F.avg(F.when(F.col("value") > 0, F.col("value"))).over(whole)
-    mean = F.when((F.count("value").over(around) >= 90) & (F.avg("value").over(around) > 0), F.avg("value").over(around)).otherwise(positive)
-    fits = (F.count(F.lit(1)).over(whole) >= 14) & (F.sum("value").over(whole) > 0)
-    return series.select("*", mean.alias("mean"), fits.alias("fits"), F.count(F.lit(1)).over(whole).alias("n_days"))
+    """Series with their centred 365-row mean (90 rows at least, else the mean of positive values).
+
+    The moving mean is a difference of running sums: a sliding frame would add up 365 rows for each.
+    """
+    by = Window.partitionBy(*KEY)
+    order = by.orderBy("date")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    one = (F.col("value") > 0).cast("int")
+    run = series.withColumns({
+        "i": F.row_number().over(order), "n_days": F.count(F.lit(1)).over(by), "sum": F.sum("value").over(upto), "pos": F.sum(one).over(upto),
+        "total": F.sum("value").over(by), "n_pos": F.sum(one).over(by),
+    })
+    around = lambda c, whole: F.coalesce(F.lead(c, HALF_YEAR).over(order), F.col(whole)) - F.coalesce(F.lag(c, HALF_YEAR + 1).over(order), F.lit(0))
+    rows = F.least(F.col("i") + HALF_YEAR, F.col("n_days")) - F.greatest(F.col("i") - HALF_YEAR - 1, F.lit(0))
+    near = run.withColumns({"near": around("sum", "total"), "near_pos": around("pos", "n_pos"), "rows": rows})
+    positive = F.try_divide("total", "n_pos")
+    mean = F.when((F.col("rows") >= 90) & (F.col("near_pos") > 0), F.col("near") / F.col("rows")).otherwise(positive)
+    fits = (F.col("n_days") >= 14) & (F.col("total") > 0)
+    return near.select(*series.columns, mean.alias("mean"), fits.alias("fits"), "n_days")
 
 
 def _slots(keys: DataFrame, n: int, first: int) -> DataFrame:

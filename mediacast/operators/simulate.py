@@ -1,24 +1,36 @@
 """Monte-Carlo paths on a counter-based generator: a draw is a hash of what it is for.
 
 No draw depends on partitions, order or other segments. The scenario isn't part of a draw's name,
-so the two runs of a comparison share their random numbers; a backtest's origin is.
+so the two runs of a comparison share their random numbers; a backtest's origin is. A task gets
+segments' parameters and a range of simulations, and sums their daily paths before they leave it.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import scalars as S
+from ..functions.stage import ship
 from .seasonality import factor_for_dates
 
 STEP = 7
+#: Simulations of one segment in a row of work.
+CHUNK = 500
+SIGMA = 0.08
+GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+NAMES = ["run_id", "segment_key", "platform", "campaign_type"]
 
 
 def uniform(rng: str, seed: int, stream: str, *names: Column) -> Column:
-    """In (0, 1). ``xxhash64`` is fast; ``md5`` can be recomputed by any SQL engine."""
+    """In (0, 1), as a column. ``md5`` can be recomputed by any SQL engine."""
     if rng == "md5":
         text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[n.cast("string") for n in names])
         return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -31,6 +43,35 @@ def normal(rng: str, seed: int, stream: str, *names: Column) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
 
 
+def key(seed: int, stream: str, *names: str) -> int:
+    """The 64-bit key of a stream of draws: the head of the MD5 of its name."""
+    return int(hashlib.md5("|".join([str(seed), stream, *names]).encode()).hexdigest()[:16], 16)
+
+
+def uniforms(stream: int, *counters: np.ndarray) -> np.ndarray:
+    """In (0, 1), one for each combination of counters (from -1 on): a 64-bit finaliser after each of them."""
+    with np.errstate(over="ignore"):
+        x = np.uint64(stream)
+        for c in counters:
+            x = x + (np.asarray(c, np.int64) + 1).astype(np.uint64) * np.uint64(GOLDEN)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(MIX_A)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(MIX_B)
+            x = x ^ x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def normals(seed: int, stream: str, names: tuple[str, ...], *counters: np.ndarray) -> np.ndarray:
+    u, v = (uniforms(key(seed, stream + end, *names), *counters) for end in ("-r", "-a"))
+    return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+
+
+def walks(cfg: config.Forecast, draw_id: str, sims: np.ndarray, days: int) -> np.ndarray:
+    """A random walk a simulation, less its mean, shared by all segments: the market's common shock."""
+    step = normals(cfg.seed, "macro", (draw_id,), sims[:, None], np.arange(1, days + 1)[None, :]) * (SIGMA / 30.0**0.5)
+    walk = np.cumsum(step, axis=1)
+    return walk - walk.mean(axis=1, keepdims=True)
+
+
 def future(origins: DataFrame, keys: DataFrame, days: int) -> DataFrame:
     """``keys`` (run_id, segment_key, metric) for each day 1..days after the run's origin: day, date."""
     dated = keys.join(F.broadcast(origins.select("run_id", "origin")), "run_id")
@@ -47,82 +88,120 @@ def expected(models: DataFrame, profile: DataFrame, origins: DataFrame, days: in
     return joined.select("run_id", "segment_key", "metric", "day", "season", path.alias("path"))
 
 
-def common_shock(runs: DataFrame, cfg: config.Forecast, days: int, sigma: float = 0.08) -> DataFrame:
-    """(run_id, sim, day, shock): a random walk a simulation, less its mean, shared by all segments."""
-    grid = _grid(runs, cfg, days)
+def common_shock(runs: DataFrame, cfg: config.Forecast, days: int, sigma: float = SIGMA) -> DataFrame:
+    """(run_id, sim, day, shock): ``walks`` as a table, with draws from the generator of ``cfg.rng``."""
+    sims = F.explode(F.sequence(F.lit(0), F.lit(cfg.n_sims - 1)))
+    grid = runs.select("run_id", "draw_id").distinct().select("*", sims.alias("sim"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
     step = normal(cfg.rng, cfg.seed, "macro", F.col("draw_id"), F.col("sim"), F.col("day")) * (sigma / 30.0**0.5)
     by = Window.partitionBy("run_id", "sim")
     walk = grid.withColumn("step", step).withColumn("walk", F.sum("step").over(by.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
     return walk.select("run_id", "sim", "day", (F.col("walk") - F.avg("walk").over(by)).alias("shock"))
 
 
-def _grid(runs: DataFrame, cfg: config.Forecast, days: int) -> DataFrame:
-    sims = F.explode(F.sequence(F.lit(0), F.lit(cfg.n_sims - 1)))
-    return runs.select("run_id", "draw_id").distinct().select("*", sims.alias("sim")).select("*", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
-
-
 def simulate(
     models: DataFrame, profile: DataFrame, betas: DataFrame, origins: DataFrame, cfg: config.Forecast, overrides: DataFrame | None = None
 ) -> DataFrame:
-    """(run_id, segment_key, platform, campaign_type, sim, day, revenue, spend).
+    """The work of a run: a row for each segment and range of ``CHUNK`` simulations, with all that its paths need.
 
     ``models``: decompositions with platform, campaign_type and ``draw_id`` (what names the draws).
     ``overrides`` (run_id, segment_key, day, plan) replace the free spend paths of their segments.
+    ``periods`` and ``cumulative_fan`` draw the paths and sum them.
     """
-    days = max(cfg.horizons)
-    path = expected(models, profile, origins, days)
-    wide = path.groupBy("run_id", "segment_key", "day").agg(
-        *[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in ("revenue", "spend") for c in ("season", "path")]
+    keys = ["run_id", "segment_key"]
+    by_day = lambda value: F.sort_array(F.collect_list(F.struct("day", value)))
+    held = F.struct("level", "level_log_sigma", "growth_annual", "growth_sigma", "resid_block")
+    path = expected(models, profile, origins, max(cfg.horizons)).groupBy(*keys, "metric").agg(
+        by_day("season")["season"].alias("season"), by_day("path")["path"].alias("path")
     )
-    columns = ("level", "level_log_sigma", "growth_annual", "growth_sigma", "resid_block")
-    model = models.groupBy("run_id", "segment_key", "platform", "campaign_type", "draw_id").agg(
-        *[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in ("revenue", "spend") for c in columns]
-    )
-    per = model.join(betas.select("run_id", "segment_key", "beta"), ["run_id", "segment_key"])
-    per = per.join(wide, ["run_id", "segment_key"])
+    one = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
+    per = models.select(*NAMES, "draw_id", "metric", held.alias("model")).join(path, [*keys, "metric"])
+    per = per.groupBy(*NAMES, "draw_id").agg(*[one(m, c) for m in ("revenue", "spend") for c in ("model", "season")], one("spend", "path"))
+    per = per.join(betas.select(*keys, "beta"), keys)
     if overrides is not None:
-        per = per.join(overrides.select("run_id", "segment_key", "day", "plan"), ["run_id", "segment_key", "day"], "left")
+        per = per.join(overrides.groupBy(*keys).agg(by_day("plan")["plan"].alias("plan")), keys, "left")
     else:
-        per = per.withColumn("plan", F.lit(None).cast("double"))
-    grid = per.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_sims - 1))))
-
-    name = [F.col("draw_id"), F.col("segment_key")]
-    draw = lambda stream, *more: normal(cfg.rng, cfg.seed, stream, *name, *more)
-
-    def drawn(m: str, sim: Column) -> Column:
-        level = F.col(f"{m}_level") * F.exp(draw(f"{m}-level", sim) * F.col(f"{m}_level_log_sigma"))
-        growth = S.clip(F.col(f"{m}_growth_annual") + draw(f"{m}-growth", sim) * F.col(f"{m}_growth_sigma"), -0.6, 0.9)
-        return level * S.growth_multiplier(F.col("day").cast("double"), growth) * F.col(f"{m}_season")
-
-    def block(m: str) -> Column:
+        per = per.withColumn("plan", F.lit(None).cast("array<double>"))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(cfg.n_sims - 1), F.lit(CHUNK)))
+    # By number: few bytes are much work here, and would be coalesced into one task.
+    tasks = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return per.withColumn("first", starts).repartition(tasks, *NAMES, "first")
+
+
+def paths(row: dict, cfg: config.Forecast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(simulations, revenue, spend) of a row of work; the latter have a line a simulation and a column a day."""
+    sims = np.arange(row["first"], min(row["first"] + CHUNK, cfg.n_sims))
+    days = np.arange(1, max(cfg.horizons) + 1)
+    names = (row["draw_id"], row["segment_key"])
+    months = (1 - config.DAMPING ** (days / 30.0)) / (1 - config.DAMPING)
+
+    def drawn(m: str, sim: np.ndarray) -> np.ndarray:
+        x = row[f"{m}_model"]
+        level = x["level"] * np.exp(normals(cfg.seed, f"{m}-level", names, sim) * x["level_log_sigma"])
+        growth = np.clip(x["growth_annual"] + normals(cfg.seed, f"{m}-growth", names, sim) * x["growth_sigma"], -0.6, 0.9)
+        grown = np.clip((1 + growth[:, None]) ** (months / 12)[None, :], 0.4, 2.5)
+        return level[:, None] * grown * np.array(row[f"{m}_season"])[None, :]
+
+    def block(m: str) -> np.ndarray:
         """Blocks of seven days from a random start, in a circle; single days where the block is shorter."""
-        held, size = F.col(f"{m}_resid_block"), F.size(f"{m}_resid_block")
-        week = F.when(size >= STEP, F.floor((F.col("day") - 1) / STEP)).otherwise(F.col("day") - 1)
-        offset = F.when(size >= STEP, (F.col("day") - 1) % STEP).otherwise(0)
-        start = F.floor(uniform(cfg.rng, cfg.seed, f"{m}-block", *name, F.col("sim"), week.cast("int")) * size)
-        return F.get(held, F.pmod(start + offset, size).cast("int"))
-
-    anchor = F.col("spend_path") if cfg.anchor == "expected" else drawn("spend", F.lit(-1))
-    free = F.greatest(drawn("spend", F.col("sim")) * (1 + 0.5 * (block("spend") - 1)), F.lit(0.0))
-    planned = F.col("plan") * F.exp(draw("execution", F.col("sim"), F.col("day")) * 0.03)
-    paths = grid.withColumns({"base": F.greatest(anchor, F.lit(1e-9)), "spend": F.greatest(F.coalesce(planned, free), F.lit(0.0))})
-    paths = paths.join(common_shock(models, cfg, days), ["run_id", "sim", "day"])
-    revenue = drawn("revenue", F.col("sim")) * block("revenue") * S.response_multiplier(F.col("spend"), F.col("base"), F.col("beta")) * F.exp("shock")
-    return paths.select("run_id", "segment_key", "platform", "campaign_type", "sim", "day", F.greatest(revenue, F.lit(0.0)).alias("revenue"), "spend")
-
-
-def periods(paths: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """(run_id, segment, sim, horizon, revenue, spend): sums of the first days, all horizons in one pass."""
-    keys = ["run_id", "segment_key", "platform", "campaign_type", "sim"]
-    first = lambda c, h: F.sum(F.when(F.col("day") <= h, F.col(c)))
-    sums = paths.groupBy(*keys).agg(*[first(c, h).alias(f"{c}_{h}") for h in horizons for c in ("revenue", "spend")])
-    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"revenue_{h}").alias("revenue"), F.col(f"spend_{h}").alias("spend")) for h in horizons])
-    return sums.select(*keys, F.inline(rows))
-
-
-def cumulative_fan(paths: DataFrame) -> DataFrame:
-    """(run_id, day, cum_rev_p10, cum_rev_p50, cum_rev_p90) of total revenue, not calibrated."""
-    total = paths.groupBy("run_id", "sim", "day").agg(F.sum("revenue").alias("revenue"))
-    upto = Window.partitionBy("run_id", "sim").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    run = total.withColumn("cum", F.sum("revenue").over(upto))
-    return run.groupBy("run_id", "day").agg(*[F.percentile("cum", F.lit(q / 100)).alias(f"cum_rev_p{q}") for q in (10, 50, 90)])
+        held = np.array(row[f"{m}_model"]["resid_block"])
+        step = STEP if len(held) >= STEP else 1
+        week, offset = (days - 1) // step, (days - 1) % step
+        start = np.floor(uniforms(key(cfg.seed, f"{m}-block", *names), sims[:, None], np.arange(week[-1] + 1)[None, :]) * len(held))
+        return held[(start.astype(np.int64)[:, week] + offset) % len(held)]
+
+    base = np.array(row["spend_path"])[None, :] if cfg.anchor == "expected" else drawn("spend", np.array([-1]))
+    base = np.maximum(base, 1e-9)
+    if row["plan"] is None:
+        spend = drawn("spend", sims) * (1 + 0.5 * (block("spend") - 1))
+    else:
+        spend = np.array(row["plan"])[None, :] * np.exp(normals(cfg.seed, "execution", names, sims[:, None], days[None, :]) * 0.03)
+    spend = np.maximum(spend, 0.0)
+    ratio = spend / base
+    response = np.where(ratio > 0, np.power(np.where(ratio > 0, ratio, 1.0), row["beta"]), 1.0)
+    revenue = drawn("revenue", sims) * block("revenue") * response * np.exp(walks(cfg, row["draw_id"], sims, len(days)))
+    return sims, np.maximum(revenue, 0.0), spend
+
+
+def periods(work: DataFrame, cfg: config.Forecast) -> DataFrame:
+    """(run_id, segment, sim, horizon, revenue, spend): sums of each path's first days, all horizons in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                sims, revenue, spend = paths(row, cfg)
+                for h in cfg.horizons:
+                    n = len(sims)
+                    own = [pa.array([row[c]] * n, pa.string()) for c in NAMES]
+                    sums = [pa.array(x[:, :h].sum(axis=1)) for x in (revenue, spend)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, pa.array(sims.astype(np.int32)), pa.array(np.full(n, h, np.int32)), *sums], [*NAMES, "sim", "horizon", "revenue", "spend"]
+                    )
+
+    ship(work.sparkSession)
+    schema = ", ".join(f"{c} string" for c in NAMES)
+    return work.mapInArrow(run, f"{schema}, sim int, horizon int, revenue double, spend double")
+
+
+def cumulative_fan(work: DataFrame, cfg: config.Forecast) -> DataFrame:
+    """(run_id, day, cum_rev_p10, cum_rev_p50, cum_rev_p90) of total revenue, not calibrated.
+
+    A group is all segments of a run in one range of simulations: taxonomy bounds their number.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        total = 0.0
+        for row in t.to_pylist():
+            sims, revenue, _ = paths(row, cfg)
+            total = total + revenue
+        cum = np.cumsum(total, axis=1)
+        n, days = cum.shape
+        return pa.table({
+            "run_id": pa.array(t["run_id"].to_pylist()[:1] * (n * days), pa.string()), "sim": np.repeat(sims, days).astype(np.int32),
+            "day": np.tile(np.arange(1, days + 1), n).astype(np.int32), "cum": cum.ravel(),
+        })
+
+    ship(work.sparkSession)
+    found = work.groupBy("run_id", "first").applyInArrow(run, "run_id string, sim int, day int, cum double")
+    return found.groupBy("run_id", "day").agg(*[F.percentile("cum", F.lit(q / 100)).alias(f"cum_rev_p{q}") for q in (10, 50, 90)])

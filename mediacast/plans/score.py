@@ -16,7 +16,7 @@ from ..operators import backtest, budget, hierarchy, model, prepare, simulate
 class Result:
     origins: DataFrame
     models: DataFrame
-    paths: DataFrame
+    work: DataFrame
     nodes: DataFrame
     summary: DataFrame
     predictions: DataFrame
@@ -24,28 +24,30 @@ class Result:
 
 def score(p: prepare.Prepared, priors: model.Model, cfg: config.Forecast, plan: DataFrame | None = None) -> Result:
     models, profile, betas = model.build_segments(p, priors)
-    paths = simulate.simulate(models, profile, betas, p.origins, cfg, plan)
-    nodes = cut(hierarchy.reconcile(simulate.periods(paths, cfg.horizons)), "nodes")
-    summary = hierarchy.summarise(nodes, priors.scales, cfg.quantiles)
-    whole = summary.unionByName(hierarchy.campaigns(nodes, prepare.top_campaigns(p.meta), priors.scales, cfg.quantiles))
-    return Result(p.origins, models, paths, nodes, whole, hierarchy.predictions(whole, p.origins, cfg.currency))
+    work = simulate.simulate(models, profile, betas, p.origins, cfg, plan)
+    nodes = cut(hierarchy.reconcile(simulate.periods(work, cfg)), "nodes")
+    summary = cut(hierarchy.summarise(hierarchy.as_campaigns(nodes), priors.scales, cfg.quantiles), "summary")
+    shared = hierarchy.campaigns(summary, prepare.top_campaigns(p.meta), cfg.quantiles)
+    whole = summary.where("level <> 'campaign'").unionByName(shared)
+    return Result(p.origins, models, work, nodes, whole, hierarchy.predictions(whole, p.origins, cfg.currency))
 
 
 def calibrate(p: prepare.Prepared, priors: model.Model, cfg: config.Forecast) -> DataFrame:
     """Backtest records of all origins in one plan: each is a run, and its draws are named by it."""
     runs = backtest.origins(p.panel, p.origins)
     runs = cut(runs, "backtest-origins")
-    past = prepare.prepare(prepare.as_of(p.panel, runs))
-    result = score(past, replace_scales(priors, None), replace(cfg, seed=cfg.seed + 7))
-    return backtest.records(result.nodes, backtest.actuals(p.panel, runs, cfg.horizons))
+    past = prepare.replay(p, runs)
+    models, profile, betas = model.build_segments(past, replace_scales(priors, None))
+    work = simulate.simulate(models, profile, betas, past.origins, replace(cfg, seed=cfg.seed + 7))
+    nodes = cut(hierarchy.reconcile(simulate.periods(work, cfg)), "nodes")
+    return backtest.records(nodes, backtest.actuals(p.panel, runs, cfg.horizons))
 
 
 def replace_scales(priors: model.Model, scales: DataFrame | None) -> model.Model:
     return model.Model(priors.seasonal, priors.elasticity, scales)
 
 
-def train(panel: DataFrame, cfg: config.Forecast) -> model.Model:
-    p = prepare.prepare(panel)
+def train(p: prepare.Prepared, cfg: config.Forecast) -> model.Model:
     priors = model.fit_priors(p)
     return replace_scales(priors, backtest.scales(calibrate(p, priors, cfg)))
 

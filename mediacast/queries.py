@@ -198,13 +198,13 @@ def macro_shock_md5(spark, sf_dir):
 
 def _score(spark, sf_dir, short=False):
     """The forecast with intervals calibrated by the backtest."""
-    panel = _panel(spark, sf_dir, short)
-    return plans.score(prepare.prepare(panel), plans.train(panel, BACKTEST), FULL)
+    p = _prepared(spark, sf_dir, short)
+    return plans.score(p, plans.train(p, BACKTEST), FULL)
 
 
 def mc_periods(spark, sf_dir):
     p, models, profile, betas = _segments(spark, sf_dir)
-    rows = simulate.periods(simulate.simulate(models, profile, betas, p.origins, FULL), config.HORIZONS)
+    rows = simulate.periods(simulate.simulate(models, profile, betas, p.origins, FULL), FULL)
     return _rounded(rows.select("segment_key", "sim", "horizon", "revenue", "spend"), 4, "revenue", "spend")
 
 
@@ -233,7 +233,7 @@ def prediction_table(spark, sf_dir, short=False):
 
 def cumulative_fan(spark, sf_dir):
     p, models, profile, betas = _segments(spark, sf_dir)
-    return simulate.cumulative_fan(simulate.simulate(models, profile, betas, p.origins, FULL)).drop("run_id")
+    return simulate.cumulative_fan(simulate.simulate(models, profile, betas, p.origins, FULL), FULL).drop("run_id")
 
 
 def backtest_origins(spark, sf_dir):
@@ -269,7 +269,7 @@ def budget_plan(spark, sf_dir, scenario):
 def budget_deltas(spark, sf_dir):
     p = _prepared(spark, sf_dir)
     scenario = budget.Scenario(30, channels={"meta": 5000.0})
-    first, second = plans.what_if(p, plans.train(_panel(spark, sf_dir), BACKTEST), scenario, config.Forecast(horizons=(30,)))
+    first, second = plans.what_if(p, plans.train(p, BACKTEST), scenario, config.Forecast(horizons=(30,)))
     return budget.deltas(first.summary.where("level <> 'campaign'"), second.summary.where("level <> 'campaign'"))
 
 
