@@ -275,12 +275,65 @@ def test_suffix_tree_is_a_distribution():
             assert np.exp(lp[-6:]).sum() == pytest.approx(1.0)
 
 
+def brute_kneser_ney(train, texts):
+    """log10 probabilities by modified Kneser-Ney as it is defined, with dictionaries."""
+    from collections import Counter
+
+    words = {w for t in train for w in kneser_ney._tokens(t)}
+    tri = Counter()
+    for t in train:
+        w = ["", "", *kneser_ney._tokens(t)]
+        tri.update(zip(w, w[1:], w[2:], strict=False))
+    bi = Counter((b, n) for _, b, n in tri)
+    uni = Counter(n for _, n in bi)
+
+    def share(table, key, context):
+        d = kneser_ney.discounts([sum(c == k for c in table.values()) for k in (1, 2, 3, 4)])
+        inside = {k: c for k, c in table.items() if k[:-1] == context} if context is not None else table
+        total = sum(inside.values())
+        if not total:
+            return 0.0, 1.0
+        c = table.get(key, 0)
+        return (c - d[min(c, 3)]) / total, sum(d[min(x, 3)] for x in inside.values()) / total
+
+    def p(a, b, n):
+        s1, w1 = share(uni, n, None)
+        s2, w2 = share(bi, (b, n), (b,))
+        s3, w3 = share(tri, (a, b, n), (a, b))
+        return s3 + w3 * (s2 + w2 * (s1 + w1 / (len(words) + 1)))
+
+    out = []
+    for t in texts:
+        w = ["", "", *[x if x in words else "?" for x in kneser_ney._tokens(t)]]
+        out.append(sum(math.log10(p(*x)) for x in zip(w, w[1:], w[2:], strict=False)))
+    return out
+
+
+def test_kneser_ney_probabilities(spark):
+    random.seed(6)
+    texts = [" ".join(random.choices(WORDS[:8], weights=range(1, 9), k=random.randint(1, 40))) for _ in range(60)]
+    texts += [None, "", "alpha unseen beta Alpha", texts[0]]
+    docs = make(spark, texts)
+    model = kneser_ney.fit(docs, list(range(40)))
+    expected = brute_kneser_ney(texts[:40], texts)
+    for sizes in ((600, 1500), (8_000_000, 256_000_000)):
+        found = {r.doc_id: r for r in kneser_ney.scores(docs.repartition(3), model, *sizes).collect()}
+        assert [found[i].log10_prob for i in range(len(texts))] == pytest.approx(expected)
+        assert [found[i].n_tokens for i in range(len(texts))] == [len((t or "").split()) for t in texts]
+
+
 def test_kneser_ney(spark):
     random.seed(4)
     good = [" ".join(random.choices(WORDS, k=50)) for _ in range(200)]
     bad = [" ".join(f"q{random.randint(0, 9999)}" for _ in range(50)) for _ in range(20)]
-    docs = make(spark, [*good, *bad, None, "short"])
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)], LABELS)
-    kept = {r.doc_id for r in kneser_ney.keep(docs, labels, max_docs=40).collect()}
-    assert kept == {*range(200), 220, 221}
+    docs = make(spark, [*good, *bad, None, "short", good[0], bad[0]], [*range(222), 0, 200])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)] + [(None, 1, 0), (999, 1, 0), (200, 0, 0), (200, 1, 0)], LABELS)
+    for bounds in ({}, {"max_docs": 40}):
+        judged = kneser_ney.judge(docs, labels, **bounds).collect()
+        assert all(r.threshold is not None for r in judged) and len(judged) == 224
+        kept = kneser_ney.keep(docs, labels, **bounds)
+        assert kept.columns == docs.columns
+        kept = sorted(r.doc_id for r in kept.collect())
+        assert not {*range(200, 220)} & {*kept} and len({*range(200)} & {*kept}) >= 185 and {220, 221} <= {*kept}
     assert kneser_ney.judge(docs, spark.createDataFrame([], LABELS)).where("not kept").count() == 0
+    assert kneser_ney.judge(docs.limit(0), labels).count() == 0
