@@ -4,7 +4,9 @@ A document's tokens are its distinct word shingles. Every query is bounded by th
 shares with a group of documents, and only groups that can still hold a partner are opened:
 
 1. The first group is the whole rest of the corpus. A token that no other text has can't be in an
-   intersection; a document with too many of them has no partner and is done.
+   intersection; a document with too many of them has no partner and is done. A fixed share of all
+   token values, the same in every document, mostly holds enough of them; what it leaves open goes
+   on, so the share changes no result.
 2. The others are partitioned into small groups of similar documents by the least hash of their
    shared tokens. The matrix has a row for each token and group; documents and groups meet over
    their rarest tokens alone, of which linked documents share one at least.
@@ -28,10 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import cut, ship
-
-#: Bytes of text after which a block of documents is full.
-BLOCK_BYTES = 5_000_000
+from .common import cut, free, free_name, ship
+
+#: Bytes of text after which a block of documents is full, and whose tokens a shard holds, about.
+BLOCK_BYTES, SHARD_BYTES = 5_000_000, 16_000_000
+#: Step 1 looks at this many times the share of tokens that linked documents may differ in.
+LOOK = 2.5
+#: Copies of each class' answer that its rows are dealt to, so that the rows of a hot class spread.
+SALTS = 8
 #: Members of a group, about.
 GROUP = 256
 REMEMBERED = 250_000
@@ -80,7 +86,7 @@ def _cut_up(shard: np.ndarray, shards: int, *columns: np.ndarray):
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
@@ -97,37 +103,42 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
-def _exchange(docs: DataFrame, n: int, shards: int, bits: int, reply, block_bytes: int) -> DataFrame:
+def _exchange(docs: DataFrame, n: int, shards: int, bits: int, share: float, reply, block_bytes: int) -> DataFrame:
     """Sends each block's (token, document) pairs to the tokens' shards, and ``reply``'s answers and the block's own row back.
 
-    Tokens are cut to their top ``bits`` bits. Rows of the result: shard, block, own, data.
+    ``docs``: id, h, text; no text leaves its task. Only ``share`` of the token values are sent, cut
+    to their top ``bits`` bits. Rows of the result: shard, block, own, data.
     """
-    drop = np.uint64(64 - bits)
+    drop, below = np.uint64(64 - bits), np.uint64(min(int(share * 2**32), 2**32))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         block, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
         def full() -> pa.Table:
-            sets = [tokens(text, n) for _, text in rows]
+            sets = [tokens(text, n) for _, _, text in rows]
             marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            own = {"ids": [i for i, _ in rows], "texts": [t for _, t in rows], "n": np.array([len(s) for s in sets]), "marks": marks}
+            own = {"ids": [r[0] for r in rows], "h": [r[1] for r in rows], "n": np.array([len(s) for s in sets]), "marks": marks}
             out = [(block % shards, block, True, pack(pickle.dumps(own)))]
             flat = np.concatenate(sets) >> drop
             doc = np.repeat(np.arange(len(sets), dtype=np.uint32), own["n"])
-            short = np.array([int.from_bytes(m[:8], "little") for m in marks], np.uint64)
-            shard = (_mix(flat) % np.uint64(shards)).astype(np.int64)
+            mixed = _mix(flat)
+            if share < 1:
+                at = np.flatnonzero(mixed >> np.uint64(32) < below)
+                flat, doc, mixed = flat[at], doc[at], mixed[at]
+            # Forty bits tell a text from its copies.
+            short = np.array([int.from_bytes(m[:5], "little") for m in marks], np.uint64)
+            shard = (mixed % np.uint64(shards)).astype(np.int64)
             for k, (t, d) in _cut_up(shard, shards, flat, doc):
-                gaps = np.diff(t, prepend=np.uint64(0))
-                out.append((k, block, False, pack(pickle.dumps((_packed(gaps), _packed(d), short[np.unique(d)], np.unique(d))))))
+                gaps, of = np.diff(t, prepend=np.uint64(0)), np.unique(d)
+                out.append((k, block, False, pack(pickle.dumps((_packed(gaps), _packed(d), _packed(short[of])[: 5 * len(of)], _packed(of))))))
             return _table(out)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    rows.append((i, text))
-                    size += len(text or "") + 8
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    rows.append(row)
+                    size += len(row[2] or "") + 8
                     if size >= block_bytes:
                         yield from full().to_batches()
                         block, rows, size = block + 1, [], 0
@@ -141,7 +152,8 @@ def _exchange(docs: DataFrame, n: int, shards: int, bits: int, reply, block_byte
                 out.append((row["shard"], row["block"], True, row["data"]))
                 continue
             gaps, doc, short, of = pickle.loads(zstandard.ZstdDecompressor().decompress(row["data"]))
-            doc = _unpacked(doc, np.uint32)
+            doc, of = _unpacked(doc, np.uint32), _unpacked(of, np.uint32)
+            short = _unpacked(short + bytes(3 * len(of)), np.uint64)
             held.append((row["block"], np.cumsum(_unpacked(gaps, np.uint64), dtype=np.uint64), doc, short[np.searchsorted(of, doc)]))
         if held:
             token = np.concatenate([x[1] for x in held])
@@ -158,12 +170,11 @@ def _exchange(docs: DataFrame, n: int, shards: int, bits: int, reply, block_byte
         return _table(out)
 
     ship(docs.sparkSession)
-    sent = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(send, _SCHEMA)
-    return sent.groupBy("shard").applyInArrow(meet, _SCHEMA)
+    return docs.select("id", "h", "text").mapInArrow(send, _SCHEMA).groupBy("shard").applyInArrow(meet, _SCHEMA)
 
 
-def _bounded(docs: DataFrame, n: int, num: int, den: int, shards: int, bits: int, block_bytes: int) -> DataFrame:
-    """Step 1: (doc_id, mark, n, text) of every row; text is null unless partners other than copies are possible."""
+def _bounded(docs: DataFrame, n: int, num: int, den: int, shards: int, bits: int, share: float, block_bytes: int) -> DataFrame:
+    """Step 1: (doc_id, h, mark, n, open) of every row; ``open`` unless no partners other than copies are possible."""
 
     def reply(token: np.ndarray, doc: np.ndarray, df: np.ndarray) -> bytes:
         return pickle.dumps(np.bincount(doc[df == 1]).astype(np.uint32))
@@ -177,18 +188,16 @@ def _bounded(docs: DataFrame, n: int, num: int, den: int, shards: int, bits: int
                 x = pickle.loads(r["data"])
                 alone[: len(x)] += x
         open_ = (own["n"] > 0) & (den * (own["n"] - alone) >= num * own["n"])
-        return pa.table(
-            [pa.array(own["ids"], pa.int64()), pa.array([m.hex() if k else None for m, k in zip(own["marks"], own["n"], strict=True)], pa.string()),
-             pa.array(own["n"], pa.int64()), pa.array([x if o else None for x, o in zip(own["texts"], open_, strict=True)], pa.string())],
-            names=["doc_id", "mark", "n", "text"],
-        )
+        marks = [m if k else None for m, k in zip(own["marks"], own["n"], strict=True)]
+        columns = zip([own["ids"], own["h"], marks, own["n"], open_], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()], strict=True)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in columns], names=["doc_id", "h", "mark", "n", "open"])
 
-    met = _exchange(docs, n, shards, bits, reply, block_bytes)
-    return met.groupBy("block").applyInArrow(bound, "doc_id long, mark string, n long, text string")
+    met = _exchange(docs, n, shards, bits, share, reply, block_bytes)
+    return met.groupBy("block").applyInArrow(bound, "doc_id long, h long, mark binary, n long, open boolean")
 
 
 def _shared(left: DataFrame, n: int, num: int, den: int, shards: int, block_bytes: int) -> DataFrame:
-    """Step 2 for the documents left: (mark, n, key, tokens, rare): their shared tokens, sorted and as packed integers, and the rarest."""
+    """Step 2 for the documents left: (id, mark, n, key, tokens, rare): their shared tokens, sorted and as packed integers, and the rarest."""
 
     def reply(token: np.ndarray, doc: np.ndarray, df: np.ndarray) -> bytes:
         keep = df > 1
@@ -213,17 +222,18 @@ def _shared(left: DataFrame, n: int, num: int, den: int, shards: int, block_byte
             least = -(-num * size // den)
             if size and len(mine) >= least:
                 rare = mine[: len(mine) - least + 1]
-                out.append((own["marks"][k].hex(), size, int(_mix(mine).min() >> np.uint64(1)), np.sort(mine).tobytes(), rare.view(np.int64).tolist()))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=["mark", "n", "key", "tokens", "rare"])
+                key = int(_mix(mine).min() >> np.uint64(1))
+                out.append((own["ids"][k], own["marks"][k], size, key, np.sort(mine).tobytes(), rare.view(np.int64).tolist()))
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=["id", "mark", "n", "key", "tokens", "rare"])
 
-    met = _exchange(left, n, shards, 64, reply, block_bytes)
-    return met.groupBy("block").applyInArrow(gather, "mark string, n long, key long, tokens binary, rare array<long>")
+    met = _exchange(left, n, shards, 64, 1.0, reply, block_bytes)
+    return met.groupBy("block").applyInArrow(gather, "id long, mark binary, n long, key long, tokens binary, rare array<long>")
 
 
-def compare(left: list[tuple], right: list[tuple] | None, num: int, den: int) -> list[tuple[str, str]]:
-    """Spanning links of members (mark, n, tokens) of two groups, or within one (``right`` None)."""
+def compare(left: list[tuple], right: list[tuple] | None, num: int, den: int) -> list[tuple]:
+    """Spanning links of members (name, n, tokens) of two groups, or within one (``right`` None)."""
     members = left + (right or [])
     root = list(range(len(members)))
 
@@ -254,7 +264,7 @@ def compare(left: list[tuple], right: list[tuple] | None, num: int, den: int) ->
 
 
 def _links(shared: DataFrame, num: int, den: int, group: int) -> DataFrame:
-    """Step 3: spanning links (u, v) between the marks of linked documents."""
+    """Step 3: spanning links (u, v) between classes, named by (whether the least id is null, it, mark): in the order of ids."""
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     part = F.pmod(F.xxhash64("mark"), F.ceil(F.col("size") / group).cast("long"))
     grouped = cut(shared.join(sizes, "key").withColumn("g", F.xxhash64("key", part)).drop("key", "size"), "jaccard-groups")
@@ -262,23 +272,42 @@ def _links(shared: DataFrame, num: int, den: int, group: int) -> DataFrame:
     pairs = matrix.join(matrix.select("token", F.col("g").alias("h")), "token").where("g < h").select("g", "h").distinct()
     within = grouped.groupBy("g").count().where("count > 1").select("g", F.col("g").alias("h"))
     units = cut(pairs.union(within).withColumn("unit", F.xxhash64("g", "h")), "jaccard-units")
+    free(matrix)
     sides = units.select("unit", "g", F.lit(0).alias("side")).union(units.where("g <> h").select("unit", "h", F.lit(1)))
 
     def open_(t: pa.Table) -> pa.Table:
         sides = [[], []]
         for row in t.to_pylist():
-            sides[row["side"]].append((row["mark"], row["n"], np.frombuffer(row["tokens"], np.uint64)))
+            sides[row["side"]].append(((row["id"], row["mark"]), row["n"], np.frombuffer(row["tokens"], np.uint64)))
         for side in sides:
-            side.sort(key=lambda x: x[0])
+            side.sort(key=lambda x: x[0][1])
         found = compare(sides[0], sides[1] or None, num, den)
-        return pa.table({"u": pa.array([u for u, _ in found], pa.string()), "v": pa.array([v for _, v in found], pa.string())})
+        ends = [pa.array([link[end][k] for link in found], kind) for end in (0, 1) for k, kind in ((0, pa.int64()), (1, pa.binary()))]
+        return pa.Table.from_arrays(ends, names=["u_id", "u_mark", "v_id", "v_mark"])
+
+    met = sides.join(grouped.select("g", "id", "mark", "n", "tokens"), "g")
+    found = met.groupBy("unit").applyInArrow(open_, "u_id long, u_mark binary, v_id long, v_mark binary")
+    node = lambda x: F.struct(F.isnull(f"{x}_id").alias("none"), F.col(f"{x}_id").alias("id"), F.col(f"{x}_mark").alias("mark"))
+    return found.select(node("u").alias("u"), node("v").alias("v"))
 
-    met = sides.join(grouped.select("g", "mark", "n", "tokens"), "g")
-    return met.groupBy("unit").applyInArrow(open_, "u string, v string")
+
+def _representatives(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, h, text) of one row for each open class, that with the least id; texts are read again, not carried along.
+
+    The list of representatives is a table with a known size: Spark broadcasts it where it is small
+    and otherwise shuffles both sides by id and text hash.
+    """
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("x")
+    chosen = rows.where("open").groupBy("mark").agg(first)
+    chosen = cut(chosen.select(F.col("x.doc_id").alias("i"), F.col("x.h").alias("x")), "jaccard-chosen")
+    left = docs.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("x")), "left_semi")
+    # Only rows that repeat whole can be chosen more than once.
+    repeats = rows.where("open").groupBy("doc_id", "h").count().where("count > 1")
+    return left if repeats.isEmpty() else left.dropDuplicates(["id", "h"])
 
 
 def components(
-    docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, group: int = GROUP, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, group: int = GROUP, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -289,35 +318,59 @@ def components(
     rows come back as often. Texts are read whole. Shingles are compared by 64-bit hashes, classes by
     128-bit ones.
     """
-    slim = docs.select("doc_id", "text")
-    shards = max(4, 2 * docs.rdd.getNumPartitions())
-    size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return _labelled(docs, n, num, den, group, block_bytes, shard_bytes).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, n: int, num: int, den: int, group: int, block_bytes: int, shard_bytes: int) -> DataFrame:
+    """``components`` with ``h``, the hash of the row's text, ``name``, the class that names the component, and ``first``: whether it is the row's."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+    size = int(slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     # In step 1 chance agreements only keep a document longer; 13 bits beyond the tokens make them rare.
-    bits = min(64, max(32, int(size // 4).bit_length() + 13))
-    rows = cut(_bounded(slim, n, num, den, shards, bits, block_bytes), "jaccard-rows")
-    left = rows.where("text is not null").select("mark", "text").dropDuplicates(["mark"])
-    left = left.select(F.lit(None).cast("long").alias("doc_id"), "text")
-    shared = cut(_shared(left, n, num, den, shards, block_bytes), "jaccard-shared")
-    roots = graph.components(_links(shared, num, den, group))
-    classes = rows.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots, F.col("mark") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
-    joined = classes.where("root <> mark").select("root").distinct()
-    reach = classes.join(joined, "root").groupBy("root").agg(F.min("least").alias("reached"))
-    classes = classes.join(reach, "root", "left").select("mark", F.coalesce("reached", "least").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "mark").join(classes, "mark", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component; of rows that repeat there, one.
-
-    A row with a null id stays: nothing tells it from others, and it stands for no group.
+    bits = min(64, max(32, (size // 4).bit_length() + 13))
+    share = min(1.0, LOOK * (den - num) / den)
+    rows = cut(_bounded(slim, n, num, den, max(8, int(size * share / shard_bytes)), bits, share, block_bytes), "jaccard-rows")
+    left = cut(_representatives(slim, rows), "jaccard-left")
+    size = int(left.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    shared = cut(_shared(left, n, num, den, max(8, size // shard_bytes), block_bytes), "jaccard-shared")
+    free(left)
+    linked = graph.components(_links(shared, num, den, group))
+    linked = linked.select(F.col("node.mark").alias("mark"), F.col("root").alias("root"))
+    classes = rows.where("mark is not null").groupBy("mark").agg(
+        F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "mark")).alias("least"), F.count(F.lit(1)).alias("copies")
+    )
+    # A row alone with its text and without links needs no answer; the others' rows are dealt over copies of it.
+    named = classes.join(linked, "mark", "left").where("copies > 1 or root is not null")
+    named = named.select("mark", F.coalesce("root", "least").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int")
+    out = rows.withColumn("salt", salt).join(cut(named, "jaccard-named"), ["mark", "salt"], "left")
+    return out.select(
+        "doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("root.id")).alias("component_id"),
+        (F.col("root").isNull() | (F.col("root.mark") == F.col("mark"))).alias("first"), F.coalesce("root.mark", "mark").alias("name"),
+    )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: the least id's, with that of its texts which the component is named by.
+
+    Rows that repeat there, and several texts of one id in a component, leave one. A row with a null
+    id stays: nothing tells it from others, and it stands for no group.
     """
-    found = cut(components(docs, **how), "jaccard-components")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times"))
-    stay = F.col("doc_id").isNull() | F.col("kept_id").isNotNull()
-    out = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left").where(stay)
-    if kept.where("times > 1").isEmpty():
-        return out.select(*[docs[c] for c in docs.columns])
-    once = out.where("times is null or times = 1").select(*[docs[c] for c in docs.columns])
-    return once.union(out.where("times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"]))
+    found = _labelled(docs, n, num, den, GROUP, BLOCK_BYTES, SHARD_BYTES)
+    gone = "doc_id is not null and not (first and doc_id <=> component_id)"
+    found = cut(found.withColumn("gone", F.expr(gone)), "jaccard-components")
+    own = docs.columns
+    dropped = cut(found.where("gone").select(F.col("doc_id").alias("i"), F.col("h").alias("x")).distinct(), "jaccard-dropped")
+    i, x = F.col("doc_id").cast("long"), F.xxhash64("text")
+    out = docs.join(dropped, (i == F.col("i")) & (x == F.col("x")), "left_anti")
+    # Only rows that repeat, whole or but for case and white space, stand for a component more than once.
+    kept = found.where("not gone and doc_id is not null and n_shingles > 0")
+    again = kept.groupBy(F.col("doc_id").alias("j"), F.col("name").alias("m")).agg(F.min("h").alias("least"), F.count(F.lit(1)).alias("times"))
+    again = cut(again.where("times > 1").drop("times"), "jaccard-again")
+    if again.isEmpty():
+        return out
+    extra = kept.join(again, (F.col("doc_id") == F.col("j")) & (F.col("name") == F.col("m"))).where("h <> least").select("j", "h").distinct()
+    text = free_name(docs, "h")
+    out = out.withColumn(text, x).join(cut(extra.withColumnRenamed("h", "y"), "jaccard-extra"), (i == F.col("j")) & (F.col(text) == F.col("y")), "left_anti")
+    same = (i == F.col("j")) & (F.col(text) == F.col("least"))
+    some = out.join(again, same, "left_semi").dropDuplicates(["doc_id", text])
+    return out.join(again, same, "left_anti").union(some).select(*own)

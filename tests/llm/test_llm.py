@@ -61,6 +61,12 @@ def test_jaccard_edges(spark):
     got = jaccard_join.components(make(spark, ["a b c", "a b c", "a b c", ""], [7, None, 7, None]), n=3).collect()
     assert sorted((r.n_shingles, r.component_id) for r in got if r.n_shingles) == [(1, 7)] * 3
     assert jaccard_join.one_of_each(make(spark, ["a b c", "a b c", "a b c", "z"], [7, 8, 7, 9]), n=3).count() == 2
+    # One id with two texts, copies that differ in case, a row that repeats, a null id, empty texts.
+    texts = ["a b c d", "p q r s", "A b c d", "a b c d", "a b c d", "P q r s", None, "", "", "x y z"]
+    kept = jaccard_join.one_of_each(make(spark, texts, [5, 5, 5, 5, 6, 7, 8, 9, 9, None]), n=3).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "").lower()) for r in kept) == [
+        (False, 5, "a b c d"), (False, 5, "p q r s"), (False, 8, ""), (False, 9, ""), (False, 9, ""), (True, 0, "x y z"),
+    ]
 
 
 def test_components(spark):
