@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Pieces remembered in a Python worker; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Pieces of up to so many characters that a Python worker remembers, and pairs of tokens; beyond it the memory starts anew.
+REMEMBERED, SHORT = 250_000, 64
 
 
 class Vocabulary:
@@ -29,7 +29,12 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in lines if x.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        # By the last two bytes: the lengths of the tokens that end so, longest first.
+        ends: dict[bytes, set[int]] = {}
+        for t in self.ranks:
+            if len(t) > 1:
+                ends.setdefault(t[-2:], set()).add(len(t))
+        self.lengths = {end: (*sorted(found, reverse=True), 1) for end, found in ends.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._edges: dict[int, tuple[bool, list, list]] = {}
 
@@ -55,13 +60,12 @@ class Vocabulary:
     def edges(self, token: int) -> tuple[bool, list, list]:
         """Whether merging the token's bytes gives the token; its first and its last parts on the way,
 
-        each with the rank at which it appears and that at which the next replaces it.
+        each with the rank at which the next replaces it.
         """
         if (found := self._edges.get(token)) is None:
             parts, firsts, lasts = self.merged(self.bytes_of[token])
             spans = [
-                [(p, self.ranks[p] if len(p) > 1 else -1, self.ranks[q] if q else 1 << 60) for p, q in zip(x, [*x[1:], b""], strict=True)]
-                for x in (firsts, lasts)
+                [(p, self.ranks[q] if q else 1 << 60) for p, q in zip(x, [*x[1:], b""], strict=True)] for x in (firsts, lasts)
             ]
             found = self._edges[token] = (len(parts) == 1, *spans)
         return found
@@ -70,15 +74,30 @@ class Vocabulary:
         return self.edges(token)[0]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether no merge across the border comes before those inside ``a`` and ``b``."""
+        """Whether no merge across the border comes before those inside ``a`` and ``b``.
+
+        The parts that touch at the border are followed through both tokens' merges, in the order of ranks.
+        """
         if (found := self._pairs.get((a, b))) is None:
             if len(self._pairs) > REMEMBERED:
                 self._pairs.clear()
-            ranks, found = self.ranks, True
-            for right, since, until in self.edges(a)[2]:
-                for left, since_b, until_b in self.edges(b)[1]:
-                    if since < until_b and since_b < until and (rank := ranks.get(right + left)) is not None and rank < until and rank <= until_b:
-                        found = False
+            rank_of, found = self.ranks.get, self.reachable(b)
+            rights, lefts = self.edges(a)[2], self.edges(b)[1]
+            i = j = 0
+            while found:
+                right, until = rights[i]
+                left, until_b = lefts[j]
+                rank = rank_of(right + left)
+                if rank is not None and rank < until and rank <= until_b:
+                    found = False
+                    break
+                # Of equal ranks the one further left merges first.
+                if until <= until_b:
+                    i += 1
+                else:
+                    j += 1
+                if i == len(rights) or j == len(lefts):
+                    break
             self._pairs[a, b] = found
         return found
 
@@ -93,28 +112,37 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         v, last = self.vocabulary, self.last
         start, self.data = len(self.data), self.data + more
-        data, ranks, pairs, compatible = self.data, v.ranks, v._pairs, v.compatible
+        data, rank_of, lengths_of, pair_of, one = self.data, v.ranks.get, v.lengths.get, v._pairs.get, (1,)
         for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - v.longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None:
-                    if begin:
-                        fits = pairs.get((last[begin - 1], token))
-                        if fits is None:
-                            fits = v.reachable(token) and compatible(last[begin - 1], token)
-                    else:
-                        fits = v.reachable(token)
-                    if fits:
-                        last.append(token)
-                        break
+            for length in lengths_of(data[end - 2 : end], one) if end > 1 else one:
+                if length < end:
+                    token = rank_of(data[end - length : end])
+                    if token is None:
+                        continue
+                    before = last[end - length - 1]
+                    fits = pair_of((before, token))
+                    if fits is None:
+                        fits = v.compatible(before, token)
+                elif length == end:
+                    token = rank_of(data[:end])
+                    fits = token is not None and v.reachable(token)
+                else:
+                    continue
+                if fits:
+                    last.append(token)
+                    break
             else:
                 raise ValueError("the vocabulary lacks a byte")
 
+    def cut(self, end: int) -> None:
+        """Keep the first ``end`` bytes, whose encodings are known."""
+        self.data = self.data[:end]
+        del self.last[end:]
+
     def replace(self, begin: int, end: int, new: bytes) -> None:
         """Edit bytes ``begin:end``; prefixes before the edit are kept as they are."""
         rest = self.data[end:]
-        self.data = self.data[:begin]
-        del self.last[begin:]
+        self.cut(begin)
         self.append(new + rest)
 
     def ids(self) -> list[int]:
@@ -132,19 +160,37 @@ class Encoder:
         self.vocabulary, self.find = Vocabulary(path), regex.compile(pattern).findall
         self._known: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. A piece that is a token whole stays whole."""
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = Prefixes(self.vocabulary, data).ids() if whole is None else [whole]
-        self._known[piece] = out = b"".join(i.to_bytes(4, "little") for i in ids)
-        return out
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces into memory, in byte order: each starts from the prefix that it shares with the one before.
 
-    def encode(self, text: str) -> bytes:
-        known, piece = self._known, self.piece
-        return b"".join([known.get(x) or piece(x) for x in self.find(text)])
+        Ids are little-endian unsigned 32-bit integers. A piece that is a token whole stays whole.
+        """
+        ranks, known = self.vocabulary.ranks, self._known
+        at = Prefixes(self.vocabulary)
+        for data, piece in sorted((p.encode(), p) for p in pieces):
+            token = ranks.get(data)
+            if token is None:
+                same, held = min(len(data), len(at.data)), at.data
+                while data[:same] != held[:same]:
+                    same -= 1
+                at.cut(same)
+                at.append(data[same:])
+                known[piece] = b"".join([i.to_bytes(4, "little") for i in at.ids()])
+            else:
+                known[piece] = token.to_bytes(4, "little")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = [self.find(t) for t in texts]
+        known = self._known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = {x for pieces in found for x in pieces if x not in known}
+        self.learn(list(new))
+        out = [b"".join([known[x] for x in pieces]) for pieces in found]
+        for x in new:
+            if len(x) > SHORT:
+                del known[x]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
@@ -172,7 +218,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id") ->
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [enc.encode(t) if t else b"" for t in part.column(1).to_pylist()]
+                ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary()), pa.array(map(enc.decode, ids), pa.binary())], [id_col, "ids", "decoded"]
                 )
