@@ -38,6 +38,8 @@ BLOCK_BYTES = 8_000_000
 MIN_GAIN = 3.0
 END = "\n"
 ADDED = 0.1
+#: Gains are rounded to so many parts of a unit of log10, a word: whole numbers add up to the same sum in any order and dealing.
+UNIT = 2**20
 #: The rank of a word that training doesn't have.
 UNSEEN = 0xFFFFFFFF
 #: What a message holds: a block's own sums, occurrences, counts of pairs that begin with a hot word, or all such pairs of a shard.
@@ -453,23 +455,25 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
                 shared = np.zeros(len(b))
                 shared[hot] = p[np.searchsorted(key, b[hot] << 32 | n[hot])]
             lp, root = subtree(a, b, n, train.astype(np.float64), counts, hot, min_gain, shared)
-            gain = (lp - root) / np.log(10)
+            gain = np.rint((lp - root) / np.log(10) * UNIT)
             at = 0
             for block, doc in blobs:
-                sums = np.bincount(doc, weights=gain[at : at + len(doc)])
+                sums = np.bincount(doc, weights=gain[at : at + len(doc)]).astype(np.int64)
                 at += len(doc)
                 some = np.flatnonzero(sums)
-                out.append((0, block, OCCURRENCES, pickle.dumps((some.astype(np.uint32), sums[some]))))
+                planes = _planes(np.diff(some, prepend=0).astype(np.uint32)), _planes(sums[some] << 1 ^ sums[some] >> 63)
+                out.append((0, block, OCCURRENCES, zstandard.ZstdCompressor(level=3).compress(pickle.dumps(planes))))
         return as_table(out)
 
     def finish(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         own = pickle.loads(next(r["data"] for r in rows if r["kind"] == OWN))
-        # In the order of the shards' answers the sum could differ in its last digits.
-        total = own["base"].copy()
-        for data in sorted(r["data"] for r in rows if r["kind"] != OWN):
-            some, sums = pickle.loads(data)
-            total[some] += sums
+        gained = np.zeros(len(own["lengths"]), np.int64)
+        for data in (r["data"] for r in rows if r["kind"] != OWN):
+            planes = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+            sums = _joined(planes[1], np.int64)
+            gained[np.cumsum(_joined(planes[0], np.uint32))] += sums >> 1 ^ -(sums & 1)
+        total = own["base"] + gained / UNIT
         n = len(own["lengths"])
         return pa.table(
             [pa.array(own["ids"], pa.int64()), pa.array(own["held"]), pa.array(own["lengths"], pa.int64()), pa.array(own["known"]),
