@@ -3,10 +3,10 @@
 Every text node lies under a root-to-leaf path of tags. Text of a page's main article shares few
 paths, each with much text and punctuation a node; menus and notices share paths with little. For
 each path the text length and the punctuation a node are summed over the page, smoothed with the
-sums of the nearest enclosing section, fused into one score and compared with the page's own mean.
-Regions whose tag or class says what they are (menus, adverts, comments and the like) hold no
-candidates. What a page marks as its article has a bonus on its score, but the scores decide there
-too. A block of nothing but links has no bonus and is smoothed with such blocks alone.
+sums of the nearest enclosing section, and fused with what the path says of itself: a factor for
+regions whose tag or class names them as menus, adverts, comments and the like, and one for what the
+page marks as its article. The product is compared with the mean ratio of all the page's text; no
+text is left out before. A block of nothing but links has no bonus and is smoothed with such blocks alone.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ INLINE = frozenset(
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-#: Regions that are never article text, by tag, by role and by word in class or id.
+#: Names of regions that are rarely article text, by tag, by role and by word in class or id.
 SKIP_TAGS = frozenset("nav header footer aside form button select option menu dialog svg canvas object audio video head".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 SKIP_WORDS = frozenset(
@@ -42,8 +42,8 @@ SKIP_WORDS = frozenset(
 SECTIONS = frozenset("article main section div td body blockquote".split())
 #: A path stays if its smoothed score reaches this share of the page's mean.
 SHARE = 0.25
-#: Factor on the score of a path inside a marked article.
-MARK = 4.0
+#: Factors on the score of a path inside a marked article, and inside a region that is named as boilerplate.
+MARK, NAMED = 4.0, 0.001
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"""[.,;:!?。，；！？…]""")
 TOKEN = re.compile(
@@ -75,15 +75,16 @@ def _skipped(tag: str, attributes: str) -> tuple[bool, bool]:
     return skip, body
 
 
-def text_nodes(html: str) -> Iterator[tuple[str, tuple[str, ...], int, bool]]:
-    """(text, path, block number, inside a marked article) of the text outside boilerplate, in page order."""
+def text_nodes(html: str) -> Iterator[tuple[str, tuple[str, ...], int, int]]:
+    """(text, path, block number, mark) of all text in page order; the mark is 1 inside a marked article, -1 inside named boilerplate."""
     stack: list[tuple[str, bool, bool]] = []  # tag, skipped, in the article
     block, at, size = 0, 0, len(html)
     while at < size:
         found = TOKEN.search(html, at)
         end = found.start() if found else size
-        if end > at and not (stack and stack[-1][1]):
-            yield html[at:end], tuple(x[0] for x in stack), block, bool(stack) and stack[-1][2]
+        if end > at:
+            above = stack[-1] if stack else ("", False, False)
+            yield html[at:end], tuple(x[0] for x in stack), block, -1 if above[1] else int(above[2])
         if not found:
             return
         at = found.end()
@@ -127,15 +128,15 @@ def text_nodes(html: str) -> Iterator[tuple[str, tuple[str, ...], int, bool]]:
         stack.append((tag, above[1] or skip, above[2] or body))
 
 
-def extract(html: str | None, share: float = SHARE) -> str:
+def extract(html: str | None, share: float = SHARE, named: float = NAMED) -> str:
     """The main text: blocks in page order, white space within and between them made one space."""
-    nodes = [(unescape(t), path, block, body) for t, path, block, body in text_nodes(html or "")]
+    nodes = [(unescape(t), path, block, mark) for t, path, block, mark in text_nodes(html or "")]
     said = {block for t, path, block, _ in nodes if not t.isspace() and ("a" not in path or HEADINGS.intersection(path))}
-    nodes = [(t, (path, body, block not in said), block) for t, path, block, body in nodes]
-    # Keys: a path or section, whether it is in a marked article, whether its blocks are links alone.
-    sums: dict[tuple[tuple[str, ...], bool, bool], list[int]] = {}
-    around: dict[tuple[tuple[str, ...], bool, bool], list[int]] = {}
-    section_of: dict[tuple[tuple[str, ...], bool, bool], tuple[tuple[str, ...], bool, bool]] = {}
+    nodes = [(t, (path, mark, block not in said), block) for t, path, block, mark in nodes]
+    # Keys: a path or section, its mark, whether its blocks are links alone.
+    sums: dict[tuple[tuple[str, ...], int, bool], list[int]] = {}
+    around: dict[tuple[tuple[str, ...], int, bool], list[int]] = {}
+    section_of: dict[tuple[tuple[str, ...], int, bool], tuple[tuple[str, ...], int, bool]] = {}
     for t, key, _ in nodes:
         n = len(t.strip())
         if not n:
@@ -156,10 +157,13 @@ def extract(html: str | None, share: float = SHARE) -> str:
     def ratio(x: list[int]) -> float:
         return (x[0] / x[2]) * (1 + x[1] / x[2])
 
+    def factor(key: tuple[tuple[str, ...], int, bool]) -> float:
+        return named if key[1] < 0 else MARK if key[1] > 0 and not key[2] else 1.0
+
     scores = {p: (ratio(x) + ratio(around[section_of[p]])) / 2 for p, x in sums.items()}
     mean = sum(scores[p] * x[2] for p, x in sums.items()) / sum(x[2] for x in sums.values())
-    least = share * mean
-    stays = {key for key, score in scores.items() if score * (MARK if key[1] and not key[2] else 1.0) >= least}
+    stays = {key for key, score in scores.items() if score * factor(key) >= share * mean}
+    # White space alone goes with the paths that it stands between.
     blocks: dict[int, list[str]] = {}
     for t, key, block in nodes:
         if key in stays or key not in scores:

@@ -211,6 +211,20 @@ def test_html_scores_decide_in_marked_pages():
     assert found == " ".join(f"Title {long} See this and that. {long} One Two".split())
 
 
+def test_html_ratios_decide_without_names(spark):
+    """Neither an article nor telling classes: short nodes with few marks go, in any column order; nulls and repeats stay rows."""
+    say = "One sentence, then another; and so on. " * 6
+    links = "".join(f"<div class=x{i % 3}><span>Item {i}</span></div>" for i in range(30))
+    page = f"<body><div class=c1>{links}</div><div class=c2><p>{say}</p><p>{say}</p></div><div class=c3><span>Note</span></div></body>"
+    assert html_text.extract(page) == " ".join((say * 2).split())
+    rows = [(None, page, "u", 1), (7, page, None, 2), (7, page, None, 2), (8, None, "v", 3), (9, "", "v", 4)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string, text int")
+    found = sorted(((r.page_id or 0, r.url, r.text) for r in html_text.extract_pages(pages).collect()), key=str)
+    body = " ".join((say * 2).split())
+    assert found == sorted([(0, "u", body), (7, None, body), (7, None, body), (8, "v", ""), (9, "v", "")], key=str)
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_suffix_tree(spark, texts):
     rows = {r.doc_id: r for r in suffix_tree.score(make(spark, texts), block_bytes=4000).collect()}
     words = {i: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), b"\n"] for i, t in enumerate(texts)}
