@@ -215,7 +215,7 @@ def test_html_ratios_decide_without_names(spark):
     """Neither an article nor telling classes: short nodes with few marks go, in any column order; nulls and repeats stay rows."""
     say = "One sentence, then another; and so on. " * 6
     links = "".join(f"<div class=x{i % 3}><span>Item {i}</span></div>" for i in range(30))
-    page = f"<body><div class=c1>{links}</div><div class=c2><p>{say}</p><p>{say}</p></div><div class=c3><span>Note</span></div></body>"
+    page = f"<body><div class=c1>{links}</div><div class=c2><p>{say}</p><p>{say}</p></div><section class=c3><span>Note</span></section></body>"
     assert html_text.extract(page) == " ".join((say * 2).split())
     rows = [(None, page, "u", 1), (7, page, None, 2), (7, page, None, 2), (8, None, "v", 3), (9, "", "v", 4)]
     pages = spark.createDataFrame(rows, "page_id long, html string, url string, text int")
