@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .. import config
 
 
-def pattern(template: str) -> str:
-    """A case-insensitive pattern; a word in braces must not touch another letter."""
-    return "(?i)" + template.replace("{", "(?<![a-z])").replace("}", "(?![a-z])")
+def matches(name: Column, *patterns: str) -> Column:
+    """Whether one of the patterns occurs in the name, in any case."""
+    return name.rlike("(?i)" + "|".join(patterns))
 
 
 def _chosen(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -25,13 +25,13 @@ def campaign_type(raw: Column, name: Column) -> Column:
     trimmed = F.trim(raw)
     known = F.create_map(*[F.lit(x) for pair in config.NATIVE_TYPES.items() for x in pair])
     normal = F.replace(F.upper(trimmed), F.lit(" "), F.lit("_"))
-    named = _chosen([(F.coalesce(name, F.lit("")).rlike(pattern(p)), F.lit(t)) for p, t in config.NAME_TYPES], F.lit("Other"))
+    named = _chosen([(matches(F.coalesce(name, F.lit("")), p), F.lit(t)) for p, t in config.NAME_TYPES], F.lit("Other"))
     return F.coalesce(F.try_element_at(known, trimmed), F.try_element_at(known, normal), named)
 
 
 def brand_intent(name: Column) -> Column:
     name = F.coalesce(name, F.lit(""))
-    return F.when(name.rlike(pattern(config.NON_BRAND)), "Non-Brand").when(name.rlike(pattern(config.BRAND)), "Brand").otherwise("Unknown")
+    return F.when(matches(name, *config.NON_BRAND), "Non-Brand").when(matches(name, *config.BRAND), "Brand").otherwise("Unknown")
 
 
 def roas(revenue: Column, spend: Column) -> Column:

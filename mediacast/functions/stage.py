@@ -39,6 +39,33 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """What the driver holds as one file, replacing what is there, in any store that Hadoop knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a header at ``path``, replacing what is there. For results of a bounded size: one task writes."""
+    spark = df.sparkSession
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", True).csv(folder)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(make(folder)) if f.getPath().getName().startswith("part-"))
+    fs.delete(make(path), True)
+    fs.rename(part, make(path))
+    fs.delete(make(folder), True)
+
+
 _shipped: set[str] = set()
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -112,6 +112,9 @@ def top_campaigns(meta: DataFrame, n: int = config.MAX_CAMPAIGNS) -> DataFrame:
     return meta.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
 
 
+TABLES = ("panel", "origins", "segment_daily", "campaign_daily", "meta")
+
+
 @dataclass
 class Prepared:
     """What the later steps read, all keyed by run_id."""
@@ -123,6 +126,19 @@ class Prepared:
     meta: DataFrame
     profiles: DataFrame | None = None
 
+    def series(self, segment_key: str) -> DataFrame:
+        """One segment's days, in order."""
+        return self.segment_daily.where(F.col("segment_key") == segment_key).orderBy("run_id", "date")
+
+    def save(self, path: str) -> None:
+        """The features artifact: a Parquet table for each field."""
+        for name in TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Prepared:
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
+
 
 def prepare(panel: DataFrame) -> Prepared:
     """Sums come before the dense grid. A campaign with several names has the latest, and is one campaign."""

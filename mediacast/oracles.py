@@ -201,5 +201,5 @@ ORACLES = {
     "backtest_origins": f"{BASE}{ORIGINS} SELECT day0::DATE AS origin FROM starts",
     "backtest_actual_windows": f"{BASE}{ORIGINS}, w AS (SELECT day0::DATE AS origin, h AS horizon, platform, revenue FROM starts JOIN (VALUES (30), (60), (90)) v(h) ON true JOIN kept ON date > day0 AND date <= day0 + h) SELECT origin, horizon, CASE WHEN platform IS NULL THEN 'aggregate' ELSE 'channel' END AS level, coalesce(platform, 'blended') AS channel, round(sum(revenue)::DOUBLE, 4) AS actual FROM w GROUP BY GROUPING SETS ((origin, horizon), (origin, horizon, platform))",
     "trailing_actuals": f"{BASE} SELECT coalesce(platform, 'blended') AS channel, round(sum(revenue)::DOUBLE, 4) AS revenue, round(sum(spend)::DOUBLE, 4) AS spend, round(sum(revenue)::DOUBLE / sum(spend)::DOUBLE, 4) AS roas FROM kept, edge WHERE date > origin - 30 GROUP BY GROUPING SETS ((), (platform))",
-    "roas_watch": f"{BASE} SELECT coalesce(platform, 'blended') AS channel FROM kept, edge WHERE date > origin - 30 GROUP BY GROUPING SETS ((), (platform)) HAVING sum(revenue)::DOUBLE / sum(spend)::DOUBLE < 25",
+    "trailing_roas_watch": f"{BASE} SELECT coalesce(platform, 'blended') AS channel FROM kept, edge WHERE date > origin - 30 GROUP BY GROUPING SETS ((), (platform)) HAVING sum(revenue)::DOUBLE / sum(spend)::DOUBLE < 25",
 }

@@ -199,7 +199,7 @@ def macro_shock_md5(spark, sf_dir):
 def _score(spark, sf_dir, short=False):
     """The forecast with intervals calibrated by the backtest."""
     p = _prepared(spark, sf_dir, short)
-    return plans.score(p, plans.train(p, BACKTEST), FULL)
+    return p, plans.score(p, plans.train(p, BACKTEST), FULL)
 
 
 def mc_periods(spark, sf_dir):
@@ -228,7 +228,7 @@ def conformal_summary(spark, sf_dir):
 
 
 def prediction_table(spark, sf_dir, short=False):
-    return _score(spark, sf_dir, short=short).predictions.drop("run_id")
+    return _score(spark, sf_dir, short=short)[1].predictions.drop("run_id")
 
 
 def cumulative_fan(spark, sf_dir):
@@ -278,17 +278,35 @@ def trailing_actuals(spark, sf_dir):
     return _rounded(_rounded(insights.trailing_actuals(p.panel, p.origins, 30).drop("run_id"), 4, "revenue", "spend"), 4, "roas")
 
 
-def roas_watch(spark, sf_dir):
+def trailing_roas_watch(spark, sf_dir):
     p = _prepared(spark, sf_dir)
     return insights.roas_watch(insights.trailing_actuals(p.panel, p.origins, 30), 25.0).select("channel")
 
 
+def roas_watch(spark, sf_dir):
+    p, result = _score(spark, sf_dir)
+    return insights.roas_watch(insights.channel_summary(result.nodes, p, 30)).select("channel", "roas")
+
+
+def outlook(spark, sf_dir):
+    """The briefing's numbers: quantiles of the total, trailing actuals, attributed change, events ahead."""
+    p, result = _score(spark, sf_dir)
+    return insights.outlook(result.nodes, p, result.models, result.profile, config.HORIZONS).drop("run_id")
+
+
+def seasonal_index(spark, sf_dir):
+    p, models, profile, _ = _segments(spark, sf_dir)
+    rows = insights.seasonal_index(p, models, profile, config.HORIZONS).join(insights.trend_index(models, config.HORIZONS), ["run_id", "horizon"])
+    return _rounded(rows.select("horizon", "season_next", "season_last", "growth"), 5, "season_next", "season_last", "growth")
+
+
 def movers(spark, sf_dir):
     return _rounded(insights.movers(_segments(spark, sf_dir)[1]).drop("run_id"), 4, "growth_annual", "level")
 
 
 def channel_summary(spark, sf_dir):
-    return insights.channel_summary(_score(spark, sf_dir).summary, 30).drop("run_id")
+    p, result = _score(spark, sf_dir)
+    return insights.channel_summary(result.nodes, p, 30).drop("run_id")
 
 
 def opportunities(spark, sf_dir):
@@ -304,7 +322,7 @@ def queries() -> dict:
         decomposition, decomposition_flat, elasticity_fit, response_curve, growth_multiplier_table, response_multiplier_table,
         expected_spend_path, marginal_roas_rank, rng_normals_md5, macro_shock_md5, mc_periods, hierarchy_rollup, conformal_summary,
         prediction_table, cumulative_fan, backtest_origins, backtest_actual_windows, backtest_metrics, conformal_scales, budget_deltas,
-        trailing_actuals, roas_watch, movers, channel_summary, opportunities,
+        trailing_actuals, trailing_roas_watch, roas_watch, outlook, seasonal_index, movers, channel_summary, opportunities,
     )
     scenarios = {
         "multiplier": budget.Scenario(30, multiplier=1.3), "channel": budget.Scenario(30, channels={"meta": 5000.0}),

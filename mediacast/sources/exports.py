@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import logging
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.stage import shared_dir, write_bytes
 
 log = logging.getLogger(__name__)
 #: What counts as missing, as data-frame readers take it.
@@ -94,17 +97,53 @@ def from_frames(frames: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
-    """All exports under ``folder``. Everything is read as text and typed by ``normalise``."""
-    spark.conf.set("spark.sql.caseSensitive", "true")
+def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
+    """The column names in a file's first line; no Spark job."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
     try:
-        frames = []
-        for path in find_files(spark, folder):
-            sep = "\t" if path.lower().endswith(".tsv") else ","
-            try:
-                frames.append((path.rsplit("/", 1)[-1], spark.read.csv(path, header=True, sep=sep)))
-            except Exception as why:  # noqa: BLE001  one broken file doesn't stop the others
-                log.warning("%s: %s, skipped", path, why)
-        return from_frames(frames)
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
     finally:
-        spark.conf.unset("spark.sql.caseSensitive")
+        stream.close()
+    return tuple(next(csv.reader([(line or "").lstrip("\ufeff")], delimiter=sep), []))
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """All exports under ``folder``: one read for each kind of header, as text, which ``normalise`` types.
+
+    Files of an unknown format and unreadable ones are skipped with a warning.
+    """
+    alike: dict[tuple, list[str]] = {}
+    for path in find_files(spark, folder):
+        sep = "\t" if path.lower().endswith(".tsv") else ","
+        try:
+            header = _header(spark, path, sep)
+        except Exception as why:  # noqa: BLE001  one broken file doesn't stop the others
+            log.warning("%s: %s, skipped", path, why)
+            continue
+        if (platform := detect(list(header), path.rsplit("/", 1)[-1])) is None:
+            log.warning("%s: unknown format, skipped", path)
+        else:
+            alike.setdefault((platform.name, header, sep), []).append(path)
+    if not alike:
+        raise ValueError("no file has a known format")
+    out = None
+    for (name, header, sep), paths in alike.items():
+        platform = next(p for p in config.PLATFORMS if p.name == name)
+        # Columns by place: headers may hold names that differ in case alone.
+        schema = ", ".join(f"c{k} string" for k in range(len(header)))
+        raw = spark.read.csv(paths, schema=schema, header=True, sep=sep, enforceSchema=True)
+        wanted = [*platform.names, *([platform.micros] if platform.micros else [])]
+        raw = raw.select(*[F.col(f"c{header.index(c)}").alias(c) for c in wanted if c in header])
+        panel = normalise(raw, platform)
+        out = panel if out is None else out.unionByName(panel)
+    return out
+
+
+def from_bytes(spark: SparkSession, files: dict[str, bytes]) -> DataFrame:
+    """Uploaded files (name, content), by way of the shared folder."""
+    folder = f"{shared_dir(spark)}/upload-{uuid.uuid4().hex}"
+    for name, content in files.items():
+        write_bytes(spark, f"{folder}/{name.rsplit('/', 1)[-1]}", content)
+    return load(spark, folder)

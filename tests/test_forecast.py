@@ -1,13 +1,16 @@
 """Scalars, ingest, preparation and invariants of the forecast."""
 
+import csv
 import datetime as dt
+import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediacast import config, queries
+from mediacast import cli, config, queries
 from mediacast.functions import scalars as S
-from mediacast.operators import budget, hierarchy, model, prepare, simulate
+from mediacast.operators import budget, hierarchy, insights, model, prepare, simulate
 from mediacast.plans import score as plans
 from mediacast.sources import exports
 
@@ -133,7 +136,7 @@ def test_registered_forecasts_are_calibrated_and_take_all_draws(monkeypatch):
         monkeypatch.setattr(owner, name, stop)
     found = queries.queries()
     for name, draws, trained in [
-        *((x, 4000, True) for x in ("prediction_table", "prediction_table_short", "channel_summary", "budget_deltas")),
+        *((x, 4000, True) for x in ("prediction_table", "prediction_table_short", "channel_summary", "roas_watch", "outlook", "budget_deltas")),
         ("cumulative_fan", 4000, False), ("mc_periods", 4000, False), ("backtest_metrics", 1500, False), ("conformal_scales", 1500, False),
     ]:
         with pytest.raises(Stop):
@@ -142,6 +145,73 @@ def test_registered_forecasts_are_calibrated_and_take_all_draws(monkeypatch):
         assert (name, cfg.n_sims, priors == ["trained"]) == (name, draws, trained)
 
 
+def _exports(folder):
+    """Two platforms' exports of 260 days."""
+    day = lambda k: (dt.date(2024, 1, 1) + dt.timedelta(k)).isoformat()
+    meta = "".join(f"m1,{day(k)},{20 + k % 5},3,30,{60 + k % 7},,Remarketing_TM_1\n" for k in range(260))
+    (folder / "meta.csv").write_text("campaign_id,date_start,spend,clicks,impressions,conversion,daily_budget,campaign_name,cpc,cpm,ctr\n" + meta.replace("\n", ",1,1,1\n"))
+    for part in range(2):
+        rows = "".join(f"g{part},{day(k)},Search_NTM_{part},SEARCH,{1e7 + k},{30 + k % 3}\n" for k in range(260))
+        head = "campaign_id,segments_date,campaign_name,campaign_advertising_channel_type,metrics_cost_micros,metrics_conversions_value\n"
+        (folder / f"google{part}.csv").write_text(head + rows)
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    """Train, predict and brief from exports: one CSV in the fixed column order, a summary, and the briefing's two files."""
+    monkeypatch.setenv("MEDIACAST_SIMS", "60")
+    data = tmp_path / "data"
+    data.mkdir()
+    _exports(data)
+    model_dir, out = str(tmp_path / "model"), str(tmp_path / "out" / "predictions.csv")
+    monkeypatch.setattr(cli, "SparkSession", type("Own", (), {"builder": type("B", (), {"appName": lambda self, n: self, "getOrCreate": lambda self: spark})()}))
+    assert cli.main(["train", str(data), model_dir]) == 0
+    assert cli.main(["run", str(data), model_dir, out]) == 0
+    rows = list(csv.DictReader(open(out)))
+    assert list(rows[0]) == config.PREDICTION_COLUMNS and {r["level"] for r in rows} == set(config.LEVELS)
+    summary = json.loads((tmp_path / "out" / "forecast_summary.json").read_text())
+    assert list(summary["headline"]) == ["30d", "60d", "90d"] and summary["headline"]["30d"]["revenue_p50"] > 0
+    assert cli.main(["briefing", out + ".features", model_dir, str(tmp_path / "brief")]) == 0
+    text, found = (tmp_path / "brief.md").read_text(), json.loads((tmp_path / "brief.json").read_text())
+    assert [x for x in ("Outlook", "Drivers", "Channels", "Movers", "Actions", "Data") if f"## {x}" in text] == "Outlook Drivers Channels Movers Actions Data".split()
+    for r in found["outlook"]:
+        if r["season"] is not None:
+            assert (1 + r["season"]) * (1 + r["trend"]) * (1 + r["spend_and_mix"]) == pytest.approx(1 + r["total"])
+    p = prepare.Prepared.load(spark, out + ".features")
+    assert p.series("google::Search").count() == p.segment_daily.where("segment_key = 'google::Search'").count() > 200
+    result = plans.score(p, model.Model.load(spark, model_dir), config.Forecast(n_sims=10, horizons=(30,)))
+    assert result.group("channel", "google").count() == 10
+
+
+def test_uploads_and_headers_that_differ_in_case(spark):
+    head = b"campaign_id,date_start,spend,Spend,clicks,impressions,conversion,cpc,cpm,ctr\n"
+    panel = exports.from_bytes(spark, {"meta.csv": head + b"1,2024-01-01,5,7,1,1,9,1,1,1\n"})
+    assert [(r.platform, r.spend, r.revenue) for r in panel.collect()] == [("meta", 5.0, 9.0)]
+
+
+def test_opportunities_need_a_known_return(spark):
+    rows = [("score", "a", 1, 3.0), ("score", "b", 2, 2.0), ("score", "c", 3, 1.0), ("score", "d", 4, None)]
+    ranked = spark.createDataFrame(rows, "run_id string, segment_key string, place int, marginal_roas double")
+    found = sorted((r.action, r.segment_key) for r in insights.opportunities(ranked).collect())
+    assert found == [("review", "b"), ("review", "c"), ("scale_up", "a"), ("scale_up", "b"), ("scale_up", "c")]
+
+
+def test_replay_equals_preparing_each_run(spark, panel):
+    p = prepare.prepare(panel)
+    runs = spark.createDataFrame([("x", dt.date(2023, 4, 1)), ("y", dt.date(2023, 6, 1))], "run_id string, origin date")
+    a, b = prepare.replay(p, runs), prepare.prepare(prepare.as_of(p.panel.drop("campaign_type", "brand_intent", "segment_key", "campaign_uid").withColumn("budget_raw", F.lit(None).cast("double")), runs))
+    for name in ("origins", "segment_daily", "meta"):
+        one, other = (getattr(x, name) for x in (a, b))
+        assert sorted(map(str, one.select(*other.columns).collect())) == sorted(map(str, other.collect()))
+
+
+def test_draws_depend_on_names_alone():
+    z = simulate.normals(1, "s", ("a", "b"), np.arange(4000)[:, None], np.arange(3)[None, :])
+    assert (z[10:20] == simulate.normals(1, "s", ("a", "b"), np.arange(10, 20)[:, None], np.arange(3)[None, :])).all()
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and abs(np.corrcoef(z.T) - np.eye(3)).max() < 0.06
+    walk = simulate.walks(config.Forecast(), "score", np.arange(50), 90)
+    assert np.abs(walk.mean(axis=1)).max() < 1e-12
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
