@@ -167,6 +167,68 @@ FROM (SELECT lev.*, (CASE WHEN sparse THEN 0.7 WHEN c >= 5 THEN {_clip("s", 0.05
         NOT sparse AND n_days >= 400 AND prior > 0 AND recent > 0 AS yearly, NOT sparse AND n_days >= 120 AS sloped
     FROM lev LEFT JOIN spread USING ({_K}) LEFT JOIN line USING ({_K}))"""
 
+SEASONED = f"""{PROFILE},
+profile AS (SELECT {_K}, 'week' AS kind, slot, factor FROM week UNION ALL SELECT {_K}, 'dow', slot, factor FROM dow),
+seasoned AS (SELECT l.*, coalesce(w.factor * d.factor, 1.0) AS season, value / coalesce(w.factor * d.factor, 1.0) AS d FROM long l
+    LEFT JOIN week w ON w.segment_key = l.segment_key AND w.metric = l.metric AND w.slot = weekofyear(date)
+    LEFT JOIN dow d ON d.segment_key = l.segment_key AND d.metric = l.metric AND d.slot = isodow(date) - 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY date DESC) AS back, row_number() OVER (PARTITION BY {_K} ORDER BY date) AS t, max(date) OVER (PARTITION BY {_K}) AS last_day FROM seasoned),
+piece AS (SELECT {_K}, d AS x, 'recent' AS piece FROM ranked WHERE back <= 56 UNION ALL SELECT {_K}, d, 'every' FROM ranked
+    UNION ALL SELECT {_K}, value, 'raw' FROM ranked UNION ALL SELECT {_K}, d, 'year' FROM ranked WHERE date BETWEEN last_day - 393 AND last_day - 337),
+ends AS (SELECT {_K}, piece, quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi FROM piece GROUP BY ALL),
+trimmed AS (SELECT {_K}, piece, avg(least(greatest(x, lo), hi)) AS w FROM piece JOIN ends USING ({_K}, piece) GROUP BY ALL),
+flatter AS (SELECT {_K}, max(w) FILTER (WHERE piece = 'recent') AS recent, max(w) FILTER (WHERE piece = 'every') AS every, max(w) FILTER (WHERE piece = 'raw') AS raw,
+    coalesce(max(w) FILTER (WHERE piece = 'year'), 0) AS prior FROM trimmed GROUP BY ALL),
+sizes AS (SELECT {_K}, count(*) AS n_days, count(*) FILTER (WHERE value > 0) AS n_positive, avg(value) AS mean_value, sum(value) AS total FROM long GROUP BY ALL),
+levels AS (SELECT *, n_days < 28 OR n_positive < 8 OR total <= 0 AS sparse,
+    CASE WHEN n_days < 28 OR n_positive < 8 OR total <= 0 THEN raw WHEN recent > 0 THEN recent ELSE greatest(every, 1e-6) END AS level FROM sizes JOIN flatter USING ({_K})),
+wide_logs AS (SELECT {_K}, count(*) AS c, stddev_pop(ln(d / level)) AS s FROM ranked JOIN levels USING ({_K}) WHERE back <= 56 AND d > 0 AND level > 0 GROUP BY ALL),
+moving AS (SELECT {_K}, t, CASE WHEN count(*) OVER w >= 5 THEN avg(greatest(d, 1e-9)) OVER w END AS m FROM ranked WINDOW w AS (PARTITION BY {_K} ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+lines AS (SELECT {_K}, regr_slope(ln(coalesce(m, f)), t) AS slope FROM moving JOIN (SELECT {_K}, m AS f FROM moving WHERE t = 5) USING ({_K}) GROUP BY ALL),
+parts AS (SELECT levels.*, (CASE WHEN sparse THEN 0.7 WHEN c >= 5 THEN {_clip("s", 0.05, 2.0)} ELSE 0.5 END)::DOUBLE AS sig, slope,
+    NOT sparse AND n_days >= 400 AND prior > 0 AND recent > 0 AS yearly, NOT sparse AND n_days >= 120 AS sloped
+    FROM levels LEFT JOIN wide_logs USING ({_K}) LEFT JOIN lines USING ({_K})),
+models AS (SELECT {_K}, level, CASE WHEN sparse THEN 0.5 ELSE {_clip("sig / sqrt(greatest(least(n_days, 56) / 5.0, 1.0))", 0.02, 0.6)} END AS level_log_sigma,
+    CASE WHEN yearly THEN {_clip("recent / prior - 1", -0.5, 0.8)} WHEN sloped THEN {_clip("(exp(365.0 * slope) - 1) * least(n_days / 400.0, 1.0)", -0.4, 0.6)} ELSE 0 END AS growth_annual,
+    CASE WHEN yearly THEN 0.15 WHEN sloped OR sparse THEN 0.25 ELSE 0.2 END AS growth_sigma, sig AS resid_log_sigma, mean_value, n_days, n_positive, sparse FROM parts)"""
+PRIORS = f"""{PROFILE},
+profile AS (SELECT {_K}, 'week' AS kind, slot, factor FROM week UNION ALL SELECT {_K}, 'dow', slot, factor FROM dow),
+weights AS (SELECT segment_key, greatest(sum(revenue), 1.0) AS w FROM seg GROUP BY 1),
+scoped AS (SELECT split_part(segment_key, '::', 2) AS scope, metric, kind, slot, factor, w FROM profile JOIN weights USING (segment_key)
+    UNION ALL SELECT '*', metric, kind, slot, factor, w FROM profile JOIN weights USING (segment_key)),
+pooled AS (SELECT scope, metric, kind, slot, exp(sum(w * ln(factor)) / sum(w)) AS f FROM scoped GROUP BY ALL)"""
+#: The expected path of each metric over the next 90 days, and segments' spend plans.
+AHEAD = f""",
+ahead AS (SELECT m.{_K.replace(", ", ", m.")}, day, level * {_MULT.format(g="growth_annual", d="day")} * coalesce(w.factor * d.factor, 1.0) AS path
+    FROM models m CROSS JOIN range(1, 91) r(day) CROSS JOIN edge
+    LEFT JOIN week w ON w.segment_key = m.segment_key AND w.metric = m.metric AND w.slot = weekofyear(origin + day::INT)
+    LEFT JOIN dow d ON d.segment_key = m.segment_key AND d.metric = m.metric AND d.slot = isodow(origin + day::INT) - 1),
+base AS (SELECT segment_key, split_part(segment_key, '::', 1) AS platform, day, greatest(path, 1e-9) AS base FROM ahead WHERE metric = 'spend')"""
+RANKED = """,
+mean_spend AS (SELECT segment_key, avg(base) AS spend FROM base WHERE day <= 30 GROUP BY 1),
+returns AS (SELECT segment_key, spend, CASE WHEN spend > 0 AND scale IS NOT NULL THEN scale * beta * pow(spend, beta - 1) END AS marginal_roas FROM mean_spend JOIN fit USING (segment_key)),
+placed_returns AS (SELECT *, row_number() OVER (ORDER BY marginal_roas DESC NULLS LAST, segment_key) AS place FROM returns)"""
+
+
+def _budget(horizon: int, scale: str) -> str:
+    """Window spend of a plan: ``scale`` is an expression over ``whole``, ``by_platform`` and ``by_segment`` sums of the window."""
+    over = f"sum(CASE WHEN day <= {horizon} THEN base END) OVER"
+    return f"""{BASE}{SEG}{SEASONED}{AHEAD},
+        sums AS (SELECT *, {over} () AS whole, {over} (PARTITION BY platform) AS by_platform, {over} (PARTITION BY segment_key) AS by_segment FROM base)
+        SELECT platform, round(sum(base), 4) AS baseline_spend, round(sum(base * {_clip(scale, 0.0, 10.0)}), 4) AS planned_spend FROM sums WHERE day <= {horizon} GROUP BY 1"""
+
+
+#: Monday number n of a month, by its first day.
+_MONDAY = "({first} + CAST((8 - isodow({first})) % 7 AS INT) + 7 * ({n} - 1))"
+_nth = lambda month, n: _MONDAY.format(first=f"make_date(y, {month}, 1)", n=n)
+HOLIDAYS = f"""{_DAYS},
+years AS (SELECT y::INT AS y FROM range(2017, 2029) r(y)),
+fixed AS (SELECT make_date(y, m, d) AS h FROM years, (VALUES (1, 1, 0), (7, 4, 0), (11, 11, 0), (12, 25, 0), (6, 19, 2021)) v(m, d, since) WHERE y >= since),
+found AS (SELECT h FROM fixed UNION SELECT CASE isodow(h) WHEN 6 THEN h - 1 WHEN 7 THEN h + 1 ELSE h END FROM fixed
+    UNION SELECT {_nth(1, 3)} FROM years UNION SELECT {_nth(2, 3)} FROM years UNION SELECT {_MONDAY.format(first="make_date(y, 5, 25)", n=1)} FROM years
+    UNION SELECT {_nth(9, 1)} FROM years UNION SELECT {_nth(10, 2)} FROM years UNION SELECT {_FOURTH.format(y="y")} FROM years)
+SELECT date FROM days WHERE date IN (SELECT h::DATE FROM found)"""
+
 ORACLES = {
     "panel_canonical": f"WITH {PANEL} SELECT platform, campaign_id, campaign_name, channel_type_raw, count(*) AS n_rows, round(sum(spend)::DOUBLE, 4) AS spend, round(sum(revenue)::DOUBLE, 4) AS revenue, sum(clicks) AS clicks, sum(impressions) AS impressions, sum(conversions) AS conversions FROM panel GROUP BY ALL",
     "panel_taxonomy": f"WITH {PANEL}{TYPED} SELECT platform, channel_type_raw, campaign_name, campaign_type, brand_intent, segment_key, campaign_uid, count(*) AS n_rows FROM keyed GROUP BY ALL",
@@ -202,4 +264,27 @@ ORACLES = {
     "backtest_actual_windows": f"{BASE}{ORIGINS}, w AS (SELECT day0::DATE AS origin, h AS horizon, platform, revenue FROM starts JOIN (VALUES (30), (60), (90)) v(h) ON true JOIN kept ON date > day0 AND date <= day0 + h) SELECT origin, horizon, CASE WHEN platform IS NULL THEN 'aggregate' ELSE 'channel' END AS level, coalesce(platform, 'blended') AS channel, round(sum(revenue)::DOUBLE, 4) AS actual FROM w GROUP BY GROUPING SETS ((origin, horizon), (origin, horizon, platform))",
     "trailing_actuals": f"{BASE} SELECT coalesce(platform, 'blended') AS channel, round(sum(revenue)::DOUBLE, 4) AS revenue, round(sum(spend)::DOUBLE, 4) AS spend, round(sum(revenue)::DOUBLE / sum(spend)::DOUBLE, 4) AS roas FROM kept, edge WHERE date > origin - 30 GROUP BY GROUPING SETS ((), (platform))",
     "trailing_roas_watch": f"{BASE} SELECT coalesce(platform, 'blended') AS channel FROM kept, edge WHERE date > origin - 30 GROUP BY GROUPING SETS ((), (platform)) HAVING sum(revenue)::DOUBLE / sum(spend)::DOUBLE < 25",
+    "us_holidays": HOLIDAYS,
+    "pooled_prior": f"{BASE}{SEG}{PRIORS} SELECT scope, metric, kind, slot::INT AS slot, round(f / exp(avg(ln(f)) OVER (PARTITION BY scope, metric, kind)), 5) AS factor FROM pooled",
+    # The prior of a segment that the model was fitted on is its own profile, and so is the blend.
+    "blended_profile": f"{BASE}{SEG}{SEASONED} SELECT {_K}, kind, slot::INT AS slot, round(factor, 5) AS factor FROM profile",
+    "decomposition": f"{BASE}{SEG}{SEASONED} SELECT {_K}, round(level, 4) AS level, round(level_log_sigma, 4) AS level_log_sigma, round(growth_annual, 4)::DOUBLE AS growth_annual, round(growth_sigma, 4)::DOUBLE AS growth_sigma, round(resid_log_sigma, 4) AS resid_log_sigma, round(mean_value, 4) AS mean_value, (CASE WHEN sparse OR n_days < 10 THEN 1 ELSE least(n_days, 120) END)::INT AS block, n_days::INT AS n_days, n_positive::INT AS n_positive, sparse FROM models",
+    "movers": f"{BASE}{SEG}{SEASONED}, up AS (SELECT segment_key, growth_annual, level, 'growing' AS direction, row_number() OVER (ORDER BY growth_annual DESC, segment_key) AS place FROM models WHERE metric = 'revenue' AND level > 0 AND growth_annual > 0.05), down AS (SELECT segment_key, growth_annual, level, 'declining' AS direction, row_number() OVER (ORDER BY growth_annual, segment_key) AS place FROM models WHERE metric = 'revenue' AND level > 0 AND growth_annual < -0.05) SELECT segment_key, round(growth_annual, 4)::DOUBLE AS growth_annual, round(level, 4) AS level, direction, place::INT AS place FROM (SELECT * FROM up UNION ALL SELECT * FROM down) WHERE place <= 4",
+    "expected_spend_path": f"{BASE}{SEG}{SEASONED}{AHEAD} SELECT segment_key, day::INT AS day, round(path, 3) AS path FROM ahead WHERE metric = 'spend'",
+    "marginal_roas_rank": f"{BASE}{SEG}{SEASONED}{AHEAD}{ELASTIC}{RANKED} SELECT segment_key, place::INT AS place, round(spend, 4) AS spend, round(marginal_roas, 4) AS marginal_roas FROM placed_returns",
+    "opportunities": f"{BASE}{SEG}{SEASONED}{AHEAD}{ELASTIC}{RANKED}, known AS (SELECT *, row_number() OVER (ORDER BY place DESC) AS from_end FROM placed_returns WHERE marginal_roas IS NOT NULL) SELECT 'scale_up' AS action, place::INT AS place, segment_key FROM known WHERE place <= 3 UNION ALL SELECT 'review', place::INT, segment_key FROM known WHERE from_end <= 2",
+    "budget_multiplier": _budget(30, "1.3"),
+    "budget_channel": _budget(30, "CASE WHEN platform = 'meta' THEN 5000.0 / by_platform ELSE 1.0 END"),
+    "budget_total": _budget(60, "20000.0 / whole"),
+    "budget_segment": _budget(30, "CASE WHEN segment_key = 'google::Search' THEN 900.0 / by_segment ELSE 1.0 END"),
+    "seasonal_index": f"""{BASE}{SEG}{SEASONED},
+        spans AS (SELECT m.segment_key, greatest(level, 0) AS weight, growth_annual, level, h AS horizon, k AS day, (origin + k::INT)::DATE AS date
+            FROM models m CROSS JOIN (VALUES (30), (60), (90)) v(h) CROSS JOIN range(-89, 91) r(k) CROSS JOIN edge WHERE metric = 'revenue' AND k BETWEEN 1 - h AND h),
+        lit AS (SELECT s.*, coalesce(w.factor * d.factor, 1.0) AS season, {_MULT.format(g="growth_annual", d="greatest(day, 0)")} AS mult FROM spans s
+            LEFT JOIN week w ON w.segment_key = s.segment_key AND w.metric = 'revenue' AND w.slot = weekofyear(s.date)
+            LEFT JOIN dow d ON d.segment_key = s.segment_key AND d.metric = 'revenue' AND d.slot = isodow(s.date) - 1)
+        SELECT horizon, round(sum(weight * season) FILTER (WHERE day >= 1) / sum(weight) FILTER (WHERE day >= 1), 5) AS season_next,
+            round(sum(weight * season) FILTER (WHERE day < 1) / sum(weight) FILTER (WHERE day < 1), 5) AS season_last,
+            round(sum(mult * level) FILTER (WHERE day >= 1 AND level > 0) / sum(level) FILTER (WHERE day >= 1 AND level > 0), 5) AS growth
+        FROM lit GROUP BY horizon""",
 }
