@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Copies of a node's least neighbour that its links are dealt to, so that a hub's links spread.
+SALTS = 16
+
+
+def _joined(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Links (u, v) with ``m``, the least of ``u``."""
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, (F.col("u") == F.col("x")) & (dealt["salt"] == copies["salt"]))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); ``root`` is the component's least node.
 
@@ -26,11 +37,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = state
         both = now.union(now.select("v", "u"))
         least = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.where("u <> v").distinct(), "links")
         # Now every pair has its larger node first.
         least = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _joined(large, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         now = cut(small.distinct(), "links")
     else:

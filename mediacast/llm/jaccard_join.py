@@ -10,8 +10,8 @@ shares with a group of documents, and only groups that can still hold a partner
 2. The others are partitioned into small groups of similar documents by the least hash of their
    shared tokens. The matrix has a row for each token and group; documents and groups meet over
    their rarest tokens alone, of which linked documents share one at least.
-3. Where two groups meet, each document's overlap with the other group's token union bounds its
-   similarity; if that suffices, the group is opened and its members are compared exactly.
+3. Where two groups meet, the overlap of each document that has such a token with the token union of
+   the other group's bounds its similarity; if that suffices, they are compared exactly.
 
 Copies with equal token sets are one class throughout. Only spanning links leave a pair of groups.
 """
@@ -268,12 +268,17 @@ def _links(shared: DataFrame, num: int, den: int, group: int) -> DataFrame:
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     part = F.pmod(F.xxhash64("mark"), F.ceil(F.col("size") / group).cast("long"))
     grouped = cut(shared.join(sizes, "key").withColumn("g", F.xxhash64("key", part)).drop("key", "size"), "jaccard-groups")
-    matrix = cut(grouped.select("g", F.explode("rare").alias("token")).distinct(), "jaccard-matrix")
-    pairs = matrix.join(matrix.select("token", F.col("g").alias("h")), "token").where("g < h").select("g", "h").distinct()
-    within = grouped.groupBy("g").count().where("count > 1").select("g", F.col("g").alias("h"))
-    units = cut(pairs.union(within).withColumn("unit", F.xxhash64("g", "h")), "jaccard-units")
-    free(matrix)
-    sides = units.select("unit", "g", F.lit(0).alias("side")).union(units.where("g <> h").select("unit", "h", F.lit(1)))
+    rare = cut(grouped.select("g", "mark", F.explode("rare").alias("token")), "jaccard-matrix")
+    matrix = rare.select("g", "token").distinct()
+    meets = matrix.join(matrix.select("token", F.col("g").alias("h")), "token").where("g < h")
+    meets = cut(meets.withColumn("unit", F.xxhash64("g", "h")), "jaccard-meets")
+    # Of two groups that meet, only the members that have one of the tokens they meet over are compared.
+    side = lambda name, k: meets.select("unit", F.col(name).alias("g"), "token", F.lit(k).alias("side"))
+    between = side("g", 0).union(side("h", 1)).join(rare, ["g", "token"]).select("unit", "side", "g", "mark").distinct()
+    within = grouped.groupBy("g").count().where("count > 1").select(F.xxhash64("g", "g").alias("unit"), F.lit(0).alias("side"), "g")
+    members = cut(between.union(within.join(grouped.select("g", "mark"), "g").select("unit", "side", "g", "mark")), "jaccard-members")
+    free(rare)
+    free(meets)
 
     def open_(t: pa.Table) -> pa.Table:
         sides = [[], []]
@@ -285,7 +290,7 @@ def _links(shared: DataFrame, num: int, den: int, group: int) -> DataFrame:
         ends = [pa.array([link[end][k] for link in found], kind) for end in (0, 1) for k, kind in ((0, pa.int64()), (1, pa.binary()))]
         return pa.Table.from_arrays(ends, names=["u_id", "u_mark", "v_id", "v_mark"])
 
-    met = sides.join(grouped.select("g", "id", "mark", "n", "tokens"), "g")
+    met = members.join(grouped.select("g", "id", "mark", "n", "tokens"), ["g", "mark"])
     found = met.groupBy("unit").applyInArrow(open_, "u_id long, u_mark binary, v_id long, v_mark binary")
     node = lambda x: F.struct(F.isnull(f"{x}_id").alias("none"), F.col(f"{x}_id").alias("id"), F.col(f"{x}_mark").alias("mark"))
     return found.select(node("u").alias("u"), node("v").alias("v"))
