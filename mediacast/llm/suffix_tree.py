@@ -1,15 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree (operator 8).
 
 The symbols are words and the end of a text; words unknown to the training documents are one more
-symbol. The root of the tree has the corpus' smoothed word frequencies. A context of one or two
+symbol. The root of the tree has the corpus' smoothed word frequencies. A context of one, two or three
 words is kept if what follows it in training diverges from what its parent, the context without its
 oldest word, expects; each word is scored in the state of the longest suffix kept, whose
 distribution is smoothed with its parent's.
 
 Documents are cut into blocks of some MB, in which words are numbers. A block sends its distinct
 words, compressed, to the vocabulary's shards by their hash; these answer with ids that follow the
-words' counts in the whole corpus. Then every block sends its word triples,
-compressed, to the shards of their middle word; a shard holds the whole subtree of the contexts
+words' counts in the whole corpus. Then every block sends its words with the three
+before each, compressed, to the shards of the nearest of these; a shard holds the whole subtree of the contexts
 that end in its words, tests them, and answers with what each document gains over the root. Words
 too frequent for one shard are dealt by the word before them; the counts of what follows such a
 word are summed over its shards first, so that its context is tested like any other.
@@ -239,43 +239,46 @@ def _summed(k: np.ndarray, key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
 
 
 def subtree(
-    a: np.ndarray, b: np.ndarray, n: np.ndarray, count: np.ndarray, counts: Counts, hot: np.ndarray, min_gain: float, shared: np.ndarray | None = None
+    z: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, count: np.ndarray, counts: Counts, hot: np.ndarray, min_gain: float,
+    shared: np.ndarray | None = None,
 ):
-    """For occurrences of word ``n`` after ``a b``, with training counts: the natural log of its probability, and of the root's.
+    """For occurrences of word ``n`` after ``z a b``, with training counts: the natural log of its probability, and of the root's.
 
-    ``b`` and ``a b`` are kept by their test: the gain in log-likelihood of their own smoothed
-    distribution over the parent's, each occurrence left out of the counts that predict it, so that
-    a context seen once gains nothing. Of a hot ``b`` only some occurrences are here, so the
+    ``b``, ``a b`` and ``z a b`` are kept by their test: the gain in log-likelihood of their own
+    smoothed distribution over the parent's, each occurrence left out of the counts that predict it,
+    so that a context seen once gains nothing. Of a hot ``b`` only some occurrences are here, so the
     probability of ``n`` in its state is given by ``shared``.
     """
-    order, new = _groups(b, a, n)
-    triple = np.empty(len(order), np.int64)
-    triple[order] = np.cumsum(new) - 1
+    order, new = _groups(b, a, z, n)
+    whole = np.empty(len(order), np.int64)
+    whole[order] = np.cumsum(new) - 1
     at = order[new]
-    a, b, n, hot = a[at], b[at], n[at], hot[at]
-    shared = None if shared is None else shared[at]
-    c = np.bincount(triple, weights=count, minlength=len(at))
+    z, a, b, n, hot = z[at], a[at], b[at], n[at], hot[at]
+    c = np.bincount(whole, weights=count, minlength=len(at))
     p = counts.root(n)
     root = p.copy()
 
-    def state(p: np.ndarray, c: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """``p`` moved to the contexts that pass; ``context`` numbers those of (next word, count) rows."""
-        total = np.bincount(context, weights=c)[context]
-        kinds = np.bincount(context, weights=c > 0)[context]
-        gain = np.bincount(context, weights=_gains(p, c, total, kinds))[context]
-        return np.where((gain >= min_gain) & (total > 1), _smoothed(p, c, total, kinds), p)
+    def state(p: np.ndarray, *context: np.ndarray) -> np.ndarray:
+        """``p`` moved to the contexts that pass their test; rows that differ in older words alone count as one."""
+        order, new = _groups(*context, n)
+        row = np.empty(len(order), np.int64)
+        row[order] = np.cumsum(new) - 1
+        first = order[new]
+        p, times = p[first], np.bincount(row, weights=c)
+        of = np.zeros(len(first), np.int64)
+        of[1:] = np.cumsum(np.any([x[first][1:] != x[first][:-1] for x in context], axis=0))
+        total = np.bincount(of, weights=times)[of]
+        kinds = np.bincount(of, weights=times > 0)[of]
+        gain = np.bincount(of, weights=_gains(p, times, total, kinds))[of]
+        return np.where((gain >= min_gain) & (total > 1), _smoothed(p, times, total, kinds), p)[row]
 
     if len(at):
-        by_pair, new_pair = _groups(b, n)
-        pair = np.empty(len(at), np.int64)
-        pair[by_pair] = np.cumsum(new_pair) - 1
-        one = by_pair[new_pair]
-        words = np.cumsum(np.r_[True, b[one][1:] != b[one][:-1]]) - 1
-        moved = state(p[one], np.bincount(pair, weights=c), words)
-        p = moved[pair] if shared is None else np.where(hot, shared, moved[pair])
-        longer = np.cumsum(np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])]) - 1
-        p = state(p, c, longer)
-    return np.log(p)[triple], np.log(root)[triple]
+        p = state(p, b)
+        if shared is not None:
+            p = np.where(hot, shared[at], p)
+        p = state(p, b, a)
+        p = state(p, b, a, z)
+    return np.log(p)[whole], np.log(root)[whole]
 
 
 def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -318,14 +321,12 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "ids", "lengths", "tokens"])
 
     def opened(row: dict) -> tuple[np.ndarray, ...]:
-        """A block's words with the two before each, the document of each, and whether that is held out."""
+        """A block's words with the three before each, the document of each, and whether that is held out."""
         n = _joined(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint32).astype(np.int64)
         lengths = np.array(row["lengths"])
-        starts = np.cumsum(lengths) - lengths
-        b, a = np.roll(n, 1), np.roll(n, 2)
-        b[starts] = a[starts] = before
-        a[np.minimum(starts + 1, len(a) - 1)] = np.where(lengths > 1, before, a[np.minimum(starts + 1, len(a) - 1)])
-        return a, b, n, np.repeat(np.arange(len(lengths)), lengths), np.array([held_out(x) for x in row["ids"]])
+        place = np.arange(len(n)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        z, a, b = (np.where(place >= k, np.roll(n, k), before) for k in (3, 2, 1))
+        return z, a, b, n, np.repeat(np.arange(len(lengths)), lengths), np.array([held_out(x) for x in row["ids"]])
 
     def dealt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (_mixed(np.where(b < hottest, b * np.int64(0x10001) + a, b)) % np.uint64(shards)).astype(np.int64)
@@ -363,7 +364,7 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
         """A block's own sums, and its triples for every shard."""
         out = []
         pack = zstandard.ZstdCompressor(level=3).compress
-        a, b, n, doc, held = opened(row)
+        z, a, b, n, doc, held = opened(row)
         lengths = np.array(row["lengths"])
         starts = np.cumsum(lengths) - lengths
         c = counts.of(n)
@@ -372,7 +373,7 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
         out.append((int(row["block"] % shards), row["block"], OWN, pickle.dumps(own)))
         use = np.flatnonzero((b == before) | useful(b, n, c, ~held[doc]))
         del c
-        a, b, n, doc = a[use], b[use], n[use], doc[use]
+        z, a, b, n, doc = z[use], a[use], b[use], n[use], doc[use]
         shard = dealt(a, b)
         order = np.lexsort((n, a, b, shard))
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -381,7 +382,7 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
             if len(at):
                 # Sorted pairs as gaps, and bytes of one weight together: most high bytes are 0.
                 gaps = np.diff(b[at] << 32 | a[at], prepend=0)
-                planes = [_planes(x) for x in (gaps, n[at].astype(np.uint32), doc[at].astype(np.uint32))]
+                planes = [_planes(x) for x in (gaps, *(y[at].astype(np.uint32) for y in (n, z, doc)))]
                 out.append((k, row["block"], OCCURRENCES, pack(pickle.dumps((planes, np.packbits(held))))))
         return out
 
@@ -390,7 +391,7 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
 
     def ask(row: dict) -> list[tuple]:
         """The pairs of a hot word and the next that each shard has from a block, with training counts."""
-        a, b, n, doc, held = opened(row)
+        _, a, b, n, doc, held = opened(row)
         use = np.flatnonzero(b < hottest)
         k, key, c = _summed(dealt(a[use], b[use]), b[use] << 32 | n[use], ~held[doc[use]])
         return messages(k % few, row["block"], k, key, c)
@@ -439,11 +440,11 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
             else:
                 planes, held = pickle.loads(zstandard.ZstdDecompressor().decompress(row["data"]))
                 pairs = np.cumsum(_joined(planes[0], np.int64))
-                n, doc = (_joined(x, np.uint32) for x in planes[1:])
+                n, z, doc = (_joined(x, np.uint32) for x in planes[1:])
                 blobs.append((row["block"], doc))
-                occurrences.append((pairs, n, np.unpackbits(held)[doc] == 0))
+                occurrences.append((pairs, n, z, np.unpackbits(held)[doc] == 0))
         if blobs:
-            pairs, n, train = (np.concatenate(x) for x in zip(*occurrences, strict=True))
+            pairs, n, z, train = (np.concatenate(x) for x in zip(*occurrences, strict=True))
             occurrences.clear()
             a, b, n = pairs & 0xFFFFFFFF, pairs >> 32, n.astype(np.int64)
             del pairs
@@ -454,7 +455,7 @@ def score(docs: DataFrame, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_
                 p = np.where(hot_kept[of], _smoothed(p, c, counts.of(of), hot_kinds[of]), p)
                 shared = np.zeros(len(b))
                 shared[hot] = p[np.searchsorted(key, b[hot] << 32 | n[hot])]
-            lp, root = subtree(a, b, n, train.astype(np.float64), counts, hot, min_gain, shared)
+            lp, root = subtree(z, a, b, n, train.astype(np.float64), counts, hot, min_gain, shared)
             gain = np.rint((lp - root) / np.log(10) * UNIT)
             at = 0
             for block, doc in blobs:

@@ -249,6 +249,35 @@ def test_suffix_tree_keeps_contexts_of_frequent_words(spark):
     assert many == one
 
 
+def brute_tree(words, held, min_gain, depth=3):
+    """log10 probabilities by a tree of dictionaries: every context of up to ``depth`` words with its test."""
+    from collections import Counter, defaultdict
+
+    count = Counter(x for w, h in zip(words, held, strict=True) if not h for x in w)
+    total, kinds = sum(count.values()), len(count)
+    known = [[x if x in count else None for x in w] for w in words]
+    after = defaultdict(Counter)
+    for w, h in zip(known, held, strict=True):
+        padded = ["^"] * depth + w
+        for k in range(depth, len(padded) if not h else 0):
+            for n in range(1, depth + 1):
+                after[tuple(padded[k - n : k])][padded[k]] += 1
+    kept = {}
+
+    def p(context, x):
+        if not context:
+            return (count[x] + 0.1) / (total + 0.1 * (kinds + 1))
+        table, above = after.get(context, {}), p(context[1:], x)
+        size, different = sum(table.values()), len(table)
+        if context not in kept:
+            own = lambda y, c: (c - 1 + different * p(context[1:], y)) / max(size - 1 + different, 1) / p(context[1:], y)
+            kept[context] = size > 1 and sum(c * math.log(own(y, c)) for y, c in table.items()) >= min_gain
+        return (table[x] + different * above) / (size + different) if kept[context] else above
+
+    padded = [["^"] * depth + w for w in known]
+    return [sum(math.log10(p(tuple(w[k - depth : k]), w[k])) for k in range(depth, len(w))) for w in padded]
+
+
 def test_suffix_tree_equals_the_tree_of_all_occurrences(spark):
     """Words that training has twice are contexts too: two near copies of rare words, beside frequent and single ones."""
     random.seed(9)
@@ -257,22 +286,9 @@ def test_suffix_tree_equals_the_tree_of_all_occurrences(spark):
     texts = [*(f"{say(5)} {r} {say(5)}" for r in rare * 2), *(say(random.randint(0, 40)) for _ in range(100))]
     words = [[*t.encode().split(), b"\n"] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
-    count = {}
-    for w, h in zip(words, held, strict=True):
-        for x in w:
-            count[x] = count.get(x, 0) + (not h)
-    order = sorted((x for x in count if count[x]), key=lambda x: -count[x])
-    ids = {x: i for i, x in enumerate(order)}
-    counts = suffix_tree.Counts([(c, sum(count[x] == c for x in order)) for c in {count[x] for x in order}])
-    rows = []
-    for i, w in enumerate(words):
-        n = [counts.known + 1] * 2 + [ids.get(x, counts.known) for x in w]
-        rows += [(*n[k - 2 : k + 1], not held[i], i) for k in range(2, len(n))]
-    a, b, n, train, doc = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    lp, _ = suffix_tree.subtree(a, b, n, train.astype(float), counts, np.zeros(len(a), bool), 3.0)
-    expected = np.bincount(doc, weights=lp / np.log(10))
+    expected = brute_tree(words, held, suffix_tree.MIN_GAIN)
     found = {r.doc_id: r for r in suffix_tree.score(make(spark, texts), block_bytes=1500).collect()}
-    assert [found[i].score for i in range(len(texts))] == pytest.approx(list(expected))
+    assert [found[i].score for i in range(len(texts))] == pytest.approx(expected)
     assert sum(found[i].score - found[i].base_score > 5 for i in range(60)) > 40
 
 
@@ -280,17 +296,17 @@ def test_suffix_tree_is_a_distribution():
     rng = np.random.default_rng(0)
     n = rng.integers(0, 5, 4000)
     n[1:][rng.random(3999) < 0.5] = 0
-    a, b, c = n[:-2], n[1:-1], n[2:]
+    z, a, b, c = n[:-3], n[1:-2], n[2:-1], n[3:]
     kinds = sorted((int((n == k).sum()), 1) for k in range(5))
     order = np.argsort([-(n == k).sum() for k in range(5)], kind="stable")
     rank = np.empty(5, np.int64)
     rank[order] = np.arange(5)
-    a, b, c = rank[a], rank[b], rank[c]
+    z, a, b, c = rank[z], rank[a], rank[b], rank[c]
     counts = suffix_tree.Counts([(k, 1) for k, _ in kinds])
     for x in range(5):
         for y in range(5):
             extra = np.arange(6)
-            args = [np.concatenate(z) for z in ((a, np.full(6, x)), (b, np.full(6, y)), (c, extra), (np.ones(len(a)), np.zeros(6)))]
+            args = [np.concatenate(v) for v in ((z, np.full(6, y)), (a, np.full(6, x)), (b, np.full(6, y)), (c, extra), (np.ones(len(a)), np.zeros(6)))]
             lp, _ = suffix_tree.subtree(*args, counts, np.zeros(len(args[0]), bool), 3.0)
             assert np.exp(lp[-6:]).sum() == pytest.approx(1.0)
 
