@@ -174,20 +174,45 @@ def test_urls(spark):
     assert all(v == ("block" if i % 3 else "allow") for i, v in verdicts.items())
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     big = "é<p>" * 60
     rows = [(3, "http://a\r\nX: y", big), (1, None, big), (2, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (None, "u", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write(pages, str(tmp_path / "w"))
+    warc.write(pages, str(tmp_path / "w"), date="2024-05-06T07:08:09Z")
     got = warc.read(spark, str(tmp_path / "w")).select("*", *[c.alias(k) for k, c in warc.fields(F.col("header")).items()]).collect()
     by = {r.page_id: r for r in got}
     assert {k: (r.record_type, r.refers_to) for k, r in by.items()} == {
         1: ("response", None), 3: ("revisit", 1), 2: ("response", None), 4: ("response", None), 5: ("response", None), None: ("revisit", 1),
     }
+    ids = set()
     for i, _, html in rows:
-        payload = (html or "").encode()
-        assert by[i].payload_digest == hashlib.sha256(payload).hexdigest() and by[i].payload_bytes == len(payload)
-        assert bytes(by[i].record) == bytes(by[i].header) + payload + b"\r\n\r\n"
+        r, payload = by[i], (html or "").encode()
+        assert r.payload_digest == hashlib.sha256(payload).hexdigest() and r.payload_bytes == len(payload)
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        named = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        # As the standard asks: the mandatory fields, and a block of the stated length before two line ends.
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= {*named} and named["WARC-Date"] == "2024-05-06T07:08:09Z"
+        block = rest[: int(named["Content-Length"])]
+        assert rest[len(block) :] == b"\r\n\r\n" and bytes(r.header) == head + b"\r\n\r\n"
+        http = block.partition(b"\r\n\r\n")[0]
+        assert http.startswith(b"HTTP/1.1 200") and f"Content-Length: {len(payload)}".encode() in http
+        assert bytes(r.original) == http + b"\r\n\r\n" + payload
+        assert block == (http + b"\r\n\r\n" if r.record_type == "revisit" else bytes(r.original))
+        ids.add(named["WARC-Record-ID"])
+        if r.record_type == "revisit":
+            assert named["WARC-Refers-To"] == dict(x.split(": ", 1) for x in bytes(by[1].header).decode().split("\r\n")[1:] if x)["WARC-Record-ID"]
+    assert len(ids) == len(rows)
+    monkeypatch.setattr(warc, "SERVED", 2)
+    again = pages.union(pages).withColumn("header", F.lit(1)).withColumn("digest", F.lit("x"))
+    warc.write(again, str(tmp_path / "x"))
+    assert warc.read(spark, str(tmp_path / "x")).count() == 2 * len(rows)
+    warc.write(pages.limit(0), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+    (spark.createDataFrame([("0" * 64, bytearray(b"x"), 1)], "digest string, payload binary, copies int").write.parquet(str(tmp_path / "bad" / "payloads")))
+    head = spark.createDataFrame([("0" * 64, 0, bytearray(b"h"), bytearray(b"t"), False)], "digest string, copy int, header binary, http binary, revisit boolean")
+    head.write.parquet(str(tmp_path / "bad" / "headers"))
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.read(spark, str(tmp_path / "bad")).collect()
 
 
 def test_html():
