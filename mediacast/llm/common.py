@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a folder of our own is made and set.
+    Only a local session, as in tests, gets a folder of its own where that is unset.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="mediacast-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -41,10 +43,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    later_gone(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def later_gone(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the driver's Python ends."""
+    atexit.register(_remove, spark, path)
+
+
 def free(df: DataFrame) -> None:
     """Delete the files of a ``cut`` that nothing will read again."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -21,7 +21,8 @@ from .common import ship
 
 WIDTH = 2048
 OPEN_BINS = 256
-REMEMBERED = 250_000
+#: Words of up to so many characters that a Python worker remembers; beyond it the memory starts anew.
+REMEMBERED, SHORT = 250_000, 64
 
 
 class Packer:
@@ -105,9 +106,10 @@ class Words:
             found = (self._model(letters.lower()) if letters else b"") + (self._model(rest) if rest else b"")
         else:
             found = self._plain(word)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = found
+        if len(word) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def encode(self, text: str) -> bytes:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, html_text, jaccard_join, kneser_ney, packing, quality_rules, suffix_tree, topk, url_filters, warc
-from .common import shared_dir, table
+from .common import later_gone, shared_dir, table
 
 #: The rule list of op2: (verdict, host/path).
 URL_RULES = [
@@ -43,6 +43,7 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    later_gone(spark, path)
     warc.write(table(spark, sf_dir, "pages"), path)
     found = warc.fields(F.col("header"))
     return warc.read(spark, path).select(
