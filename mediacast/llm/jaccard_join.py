@@ -299,13 +299,13 @@ def _links(shared: DataFrame, num: int, den: int, group: int) -> DataFrame:
 def _representatives(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, h, text) of one row for each open class, that with the least id; texts are read again, not carried along.
 
-    The list of representatives is a table with a known size: Spark broadcasts it where it is small
-    and otherwise shuffles both sides by id and text hash.
+    The list of representatives grows with the corpus, so it is never broadcast: both sides are
+    shuffled by id and text hash at every size.
     """
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("x")
     chosen = rows.where("open").groupBy("mark").agg(first)
     chosen = cut(chosen.select(F.col("x.doc_id").alias("i"), F.col("x.h").alias("x")), "jaccard-chosen")
-    left = docs.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("x")), "left_semi")
+    left = docs.join(chosen.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("x")), "left_semi")
     # Only rows that repeat whole can be chosen more than once.
     repeats = rows.where("open").groupBy("doc_id", "h").count().where("count > 1")
     return left if repeats.isEmpty() else left.dropDuplicates(["id", "h"])
@@ -366,7 +366,8 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Dat
     own = docs.columns
     dropped = cut(found.where("gone").select(F.col("doc_id").alias("i"), F.col("h").alias("x")).distinct(), "jaccard-dropped")
     i, x = F.col("doc_id").cast("long"), F.xxhash64("text")
-    out = docs.join(dropped, (i == F.col("i")) & (x == F.col("x")), "left_anti")
+    # The list grows with the corpus: never broadcast.
+    out = docs.join(dropped.hint("merge"), (i == F.col("i")) & (x == F.col("x")), "left_anti")
     # Only rows that repeat, whole or but for case and white space, stand for a component more than once.
     kept = found.where("not gone and doc_id is not null and n_shingles > 0")
     again = kept.groupBy(F.col("doc_id").alias("j"), F.col("name").alias("m")).agg(F.min("h").alias("least"), F.count(F.lit(1)).alias("times"))
