@@ -23,7 +23,7 @@ SCALE = 64
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 4096
 #: Shares of each list read by the end of a round; after the last the lists are read whole.
-ROUNDS = (0.5, 0.9)
+ROUNDS = (0.75, 0.9, 0.95)
 #: A query stops once no more than this many times k candidates are left.
 NEAR = 4
 NO_ID = np.iinfo(np.int64).max
