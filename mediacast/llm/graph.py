@@ -13,10 +13,10 @@ SALTS = 16
 
 
 def _joined(links: DataFrame, least: DataFrame) -> DataFrame:
-    """Links (u, v) with ``m``, the least of ``u``."""
+    """Links (u, v) with ``m``, the least of ``u``. The copies compress well, so their size in bytes would make them look fit to broadcast."""
     copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return dealt.join(copies, (F.col("u") == F.col("x")) & (dealt["salt"] == copies["salt"]))
+    return dealt.join(copies.hint("merge"), (F.col("u") == F.col("x")) & (dealt["salt"] == copies["salt"]))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -347,7 +347,8 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int, group: int, block_byt
     named = classes.join(linked, "mark", "left").where("copies > 1 or root is not null")
     named = named.select("mark", F.coalesce("root", "least").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int")
-    out = rows.withColumn("salt", salt).join(cut(named, "jaccard-named"), ["mark", "salt"], "left")
+    # The copies compress well, so their size in bytes would make them look fit to broadcast.
+    out = rows.withColumn("salt", salt).join(cut(named, "jaccard-named").hint("merge"), ["mark", "salt"], "left")
     return out.select(
         "doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("root.id")).alias("component_id"),
         (F.col("root").isNull() | (F.col("root.mark") == F.col("mark"))).alias("first"), F.coalesce("root.mark", "mark").alias("name"),
