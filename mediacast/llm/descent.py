@@ -31,18 +31,18 @@ from .common import cut, free, ship
 
 K = 20
 #: Neighbours in a node's list, beyond the ``k`` that a search returns.
-SPARE = 4
+SPARE = 20
 #: Neighbours of a node, of each age and direction, that meet in a round.
-SAMPLE = 10
+SAMPLE = 20
 #: Rounds end when a smaller share of all list entries is new.
-SETTLED = 0.01
+SETTLED = 0.03
 #: Nodes of a block in which the first lists are searched whole.
 BLOCK = 512
 #: Nodes that a task's group works on together.
 GROUP = 2048
 #: Best nodes that a query opens, and how many at a time.
-BEAM = 48
-OPENED = 16
+BEAM = 144
+OPENED = 48
 #: Where queries that are no nodes begin.
 ENTRIES = 64
 #: Best nodes that are scored again in double precision, beyond ``k``.
@@ -274,7 +274,7 @@ def _both_ways(lists: DataFrame, most: int) -> DataFrame:
 
 
 def _opened(asked: DataFrame, found: DataFrame, groups: int, beam: int, opened: int) -> DataFrame:
-    """One more step of all searches. ``asked``: (q, half, seen, sims, open, todo); ``found``: (q, node, half) newly met nodes."""
+    """One more step of all searches. ``asked``: (q, half, seen, sims, open, todo); ``found``: (p, node, half) newly met nodes of search ``p``."""
 
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         q = a["q"].to_numpy()
@@ -284,7 +284,7 @@ def _opened(asked: DataFrame, found: DataFrame, groups: int, beam: int, opened:
         sims, done = _flat(a["sims"], np.float32)[1], _flat(a["open"], bool)[1]
         of = np.repeat(np.arange(len(q)), lengths)
         if b.num_rows:
-            at = np.searchsorted(q, b["q"].to_numpy())
+            at = np.searchsorted(q, b["p"].to_numpy())
             x, y = _matrix(a["half"]), _matrix(b["half"])
             width = min(x.shape[1], y.shape[1])
             s = np.einsum("ij,ij->i", x[at, :width], y[:, :width])
@@ -303,9 +303,9 @@ def _opened(asked: DataFrame, found: DataFrame, groups: int, beam: int, opened:
             "open": _lists(sizes, done | todo, pa.bool_()), "todo": _lists(np.bincount(of[todo], minlength=len(q)), seen[todo], pa.int64()),
         })
 
-    g = lambda df: df.groupBy(F.pmod(F.xxhash64("q"), F.lit(groups)).alias("g"))
+    g = lambda df, q: df.groupBy(F.pmod(F.xxhash64(q), F.lit(groups)).alias("g"))
     schema = "q long, half binary, seen array<long>, sims array<float>, open array<boolean>, todo array<long>"
-    return cut(g(asked.select("q", "half", "seen", "sims", "open")).cogroup(g(found)).applyInArrow(run, schema), "searches")
+    return cut(g(asked.select("q", "half", "seen", "sims", "open"), "q").cogroup(g(found, "p")).applyInArrow(run, schema), "searches")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM) -> DataFrame:
@@ -346,13 +346,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     )
     first = True
     while True:
-        if first:
-            near = state.select("q", F.explode("todo").alias("node"))
-        else:
-            doors = state.select("q", F.explode("todo").alias("node"))
-            near = doors.join(edges, "node").select("q", F.explode("nbrs").alias("node")).groupBy("q").agg(F.collect_set("node").alias("near"))
-            near = near.join(state.select("q", "seen"), "q").select("q", F.explode(F.array_except("near", "seen")).alias("node"))
-        after = _opened(state, near.join(halves, "node").select("q", "node", "half"), groups, beam, OPENED)
+        near = state.select(F.col("q").alias("p"), F.explode("todo").alias("node"))
+        if not first:
+            near = near.join(edges, "node").select("p", F.explode("nbrs").alias("node")).groupBy("p").agg(F.collect_set("node").alias("near"))
+            near = near.join(state.select(F.col("q").alias("p"), "seen"), "p").select("p", F.explode(F.array_except("near", "seen")).alias("node"))
+        after = _opened(state, near.join(halves, "node").select("p", "node", "half"), groups, beam, OPENED)
         free(state)
         state, first = after, False
         if state.where(F.size("todo") > 0).limit(1).count() == 0:
