@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, ship
+from .common import cut, ship, words
 
 #: The training sample: at most so many documents, and texts of so many bytes (the last one whole).
 MAX_DOCS, MAX_BYTES = 4_000, 8_000_000
@@ -28,7 +28,7 @@ MAX_DOCS, MAX_BYTES = 4_000, 8_000_000
 HELD_OUT = 4
 #: A language's threshold is this quantile of its held-out trusted documents.
 QUANTILE = 0.99
-#: Tokens of the language's mean that every document's mean is weighed with, so that few tokens say little.
+#: Least number of tokens of the language's mean that every document's mean is weighed with; held-out documents may ask for more.
 SHRINK = 50
 #: A language with fewer held-out documents takes the threshold of all.
 ENOUGH = 20
@@ -185,8 +185,7 @@ def scores(docs: DataFrame, model: Model | None, block_bytes: int = BLOCK_BYTES,
     ship(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
     if model is None:
-        size = F.udf(lambda t: len(_tokens(t)), "long")
-        return slim.select("doc_id", "lang", "h", size("text").alias("n_tokens"), F.lit(0.0).alias("log10_prob"))
+        return slim.select("doc_id", "lang", "h", F.size(words(F.col("text"))).cast("long").alias("n_tokens"), F.lit(0.0).alias("log10_prob"))
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-int(size) // group_bytes))
     shared = spark.sparkContext.broadcast((model.words, model.one))
@@ -287,13 +286,38 @@ def _joined(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
 
 
-def _shrunk(nats: Column, n: Column, mean: Column) -> Column:
-    """A document's mean log-perplexity, weighed with ``SHRINK`` tokens of its language's mean."""
-    return (nats + SHRINK * mean) / (n + SHRINK)
+def _shrunk(nats: Column, n: Column, scale: Column) -> Column:
+    """A document's log-perplexity a token, weighed with ``scale.tokens`` tokens of its language's mean.
+
+    In units of a document of the language's usual length, which has its own: of shorter ones less is
+    known, so they are closer to the mean, of longer ones more.
+    """
+    mean, usual, tokens = scale["mean"], scale["usual"], scale["tokens"]
+    return mean + (nats - n * mean) * (tokens + usual) / (usual * (n + tokens))
+
+
+def _scale() -> Column:
+    """(mean, usual, tokens) of a group of held-out documents.
+
+    The squared distance of a document's mean from the group's is, of n tokens, on average
+    ``between + within / n``: a line over 1 / n, fitted by least squares. ``within / between`` is how many
+    tokens say as much of a document as that it is one of its group. Where all that documents differ by is
+    what so many tokens differ by, ``between`` is nothing and only a document's whole surprise counts.
+    """
+    x, u, n = F.col("nats") / F.col("n_tokens"), 1 / F.col("n_tokens"), F.count(F.lit(1))
+    mean = F.sum("nats") / F.sum("n_tokens")
+    away = F.avg(x * x) - 2 * mean * F.avg(x) + mean * mean
+    away_u = F.avg(x * x * u) - 2 * mean * F.avg(x * u) + mean * mean * F.avg(u)
+    spread = F.avg(u * u) - F.avg(u) * F.avg(u)
+    within = F.when(spread > 1e-12, (away_u - away * F.avg(u)) / spread)
+    between = F.greatest(F.coalesce(away - within * F.avg(u), F.lit(0.0)), away * 1e-6)
+    within = F.when(between > away * 1e-6, within).otherwise(away / F.avg(u))
+    tokens = F.when(between > 0, F.greatest(within / between, F.lit(float(SHRINK)))).otherwise(float(SHRINK))
+    return F.struct(mean.alias("mean"), F.avg("n_tokens").alias("usual"), tokens.alias("tokens"), n.alias("n")).alias("scale")
 
 
 def limits(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """(lang, mean, threshold) of the held-out trusted documents; the row with null ``lang`` is of all languages.
+    """(lang, scale, threshold) of the held-out trusted documents; the row with null ``lang`` is of all languages.
 
     The quantile is read off counts in bins of 0.01, so partial sums of a few numbers are all that
     moves, however many documents there are. No row without a held-out document that has a word.
@@ -302,20 +326,20 @@ def limits(scored: DataFrame, labels: DataFrame) -> DataFrame:
     # Both scales, the language's own and that of all, come from one short table.
     held = cut(scored.where("n_tokens > 0").join(held, "doc_id", "left_semi").select("lang", "nats", "n_tokens"), "kn-held-out")
     sides = held.where("lang is not null").union(held.select(F.lit(None).cast("string"), "nats", "n_tokens"))
-    means = sides.groupBy("lang").agg((F.sum("nats") / F.sum("n_tokens")).alias("mean"), F.count(F.lit(1)).alias("n"))
-    means = means.where((F.col("n") >= ENOUGH) | F.col("lang").isNull()).withColumnRenamed("lang", "of")
-    value = _shrunk(F.col("nats"), F.col("n_tokens"), F.col("mean"))
-    bins = sides.join(means, F.col("lang").eqNullSafe(F.col("of"))).groupBy("lang", "mean", "n", F.floor(value / BIN).alias("bin")).count()
+    scales = sides.groupBy("lang").agg(_scale())
+    scales = scales.where((F.col("scale.n") >= ENOUGH) | F.col("lang").isNull()).withColumnRenamed("lang", "of")
+    value = _shrunk(F.col("nats"), F.col("n_tokens"), F.col("scale"))
+    bins = sides.join(scales, F.col("lang").eqNullSafe(F.col("of"))).groupBy("lang", "scale", F.floor(value / BIN).alias("bin")).count()
     upto = Window.partitionBy("lang").orderBy("bin")
-    placed = bins.withColumn("upto", F.sum("count").over(upto)).where(F.col("upto") >= QUANTILE * F.col("n"))
-    return placed.groupBy("lang", "mean").agg(((F.min("bin") + 1) * BIN).alias("threshold"))
+    placed = bins.withColumn("upto", F.sum("count").over(upto)).where(F.col("upto") >= QUANTILE * F.col("scale.n"))
+    return placed.groupBy("lang", "scale").agg(((F.min("bin") + 1) * BIN).alias("threshold"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, lang, h, n_tokens, log10_prob, perplexity, threshold, kept for every row of ``docs``.
 
-    ``perplexity`` is shrunk towards the language's by ``SHRINK`` tokens, so a null or empty text has
-    the language's own and is kept. A null language, or one with few held-out trusted documents,
+    ``perplexity`` is shrunk towards the language's, by as many tokens as the held-out documents' spread
+    at their own lengths asks for, so a null or empty text has the language's own and is kept. A null language, or one with few held-out trusted documents,
     takes mean and threshold of all. Where no document is held out or none is fitted on, all are kept
     and ``threshold`` is null. Repeated rows come back as often; a null id is never trusted; columns
     beside doc_id, text and lang are not read.
@@ -325,10 +349,12 @@ def judge(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_byte
     scored = scored.withColumn("nats", -F.col("log10_prob") * float(np.log(10)))
     # A row a language: read back, its size is known, and Spark broadcasts it.
     found = cut(limits(scored, labels).coalesce(1), "kn-limits")
-    every = found.where("lang is null").agg(F.max("mean").alias("m"), F.max("threshold").alias("t")).first()
+    every = found.where("lang is null").agg(F.max("scale").alias("s"), F.max("threshold").alias("t")).first()
     out = scored.join(found.where("lang is not null"), "lang", "left")
-    mean, threshold = (F.coalesce(c, F.lit(x).cast("double")) for c, x in (("mean", every["m"]), ("threshold", every["t"])))
-    value = _shrunk(F.col("nats"), F.col("n_tokens"), mean)
+    of_all = F.struct(*[F.lit(every["s"] and every["s"][c]).cast("double").alias(c) for c in ("mean", "usual", "tokens")])
+    scale = F.when(F.col("scale").isNotNull(), F.struct(*[F.col("scale")[c].alias(c) for c in ("mean", "usual", "tokens")])).otherwise(of_all)
+    threshold = F.coalesce("threshold", F.lit(every["t"]).cast("double"))
+    value = _shrunk(F.col("nats"), F.col("n_tokens"), scale)
     known = F.lit(model is not None) & threshold.isNotNull()
     return out.select(
         "doc_id", "lang", "h", "n_tokens", "log10_prob", F.exp(value).alias("perplexity"), F.exp(threshold).alias("threshold"),
