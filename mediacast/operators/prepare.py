@@ -77,34 +77,45 @@ def daily(panel: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dense(series: DataFrame, keys: list[str], origins: DataFrame) -> DataFrame:
-    """Every day from a key's first active date (else its first) to the run's origin; gaps are 0."""
-    first = series.groupBy(*keys).agg(F.coalesce(F.min(F.when(_active(), F.col("date"))), F.min("date")).alias("start"))
-    grid = first.join(F.broadcast(origins.select("run_id", "origin")), "run_id").where("start <= origin")
-    grid = grid.select(*keys, F.explode(F.sequence("start", "origin")).alias("date"))
-    filled = grid.join(series, [*keys, "date"], "left")
-    return filled.select(*keys, "date", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in config.METRICS])
+    """Every day from a key's first active date (else its first) to the run's origin; gaps are 0.
 
+    One shuffle by key and one sorted pass: a row makes the days up to the next row's, so that only
+    gaps are exploded and no grid is joined.
+    """
+    by = Window.partitionBy(*keys)
+    placed = series.join(F.broadcast(origins.select("run_id", "origin")), "run_id").withColumns({
+        "start": F.coalesce(F.min(F.when(_active(), F.col("date"))).over(by), F.min("date").over(by)), "next": F.lead("date").over(by.orderBy("date")),
+    })
+    days = F.sequence("date", F.least(F.coalesce(F.date_sub("next", 1), F.col("origin")), F.col("origin")))
+    filled = placed.where("start <= date and date <= origin").withColumn("day", F.explode(days))
+    own = F.col("day") == F.col("date")
+    return filled.select(*keys, F.col("day").alias("date"), *[F.when(own, F.coalesce(m, F.lit(0.0))).otherwise(0.0).alias(m) for m in config.METRICS])
+
+
+def campaign_meta(days: DataFrame, names: DataFrame, origins: DataFrame) -> DataFrame:
+    """A row for each campaign uid of ``days`` (``daily`` sums, no grid): totals, sums of the last 90 days, shares of its segment with their fallback.
 
-def campaign_meta(campaigns: DataFrame, names: DataFrame, origins: DataFrame) -> DataFrame:
-    """A row for each campaign uid: totals, sums of the last 90 days, shares of its segment with their fallback."""
-    c = campaigns.join(F.broadcast(origins.select("run_id", "origin")), "run_id")
+    A campaign's days run from its first active one (else its first) to the origin; those before hold
+    no spend or revenue. Segments' totals are partial sums first, and come back as a table with a row a
+    run and segment, which platforms and types bound; no segment's campaigns meet in one task.
+    """
+    c = days.join(F.broadcast(origins.select("run_id", "origin")), "run_id").where("date <= origin")
     recent = F.col("date") > F.date_sub("origin", config.SHARE_WINDOW)
     total = c.groupBy(*CAMPAIGN).agg(
-        F.sum("spend").alias("total_spend"), F.sum("revenue").alias("total_revenue"), F.count_distinct("date").alias("n_days"),
-        F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+        F.sum("spend").alias("total_spend"), F.sum("revenue").alias("total_revenue"),
+        F.coalesce(F.min(F.when(_active(), F.col("date"))), F.min("date")).alias("first_day"), F.max("origin").alias("last_day"),
         F.max(F.when(_active(), F.col("date"))).alias("last_active_day"),
         F.coalesce(F.sum(F.when(recent, F.col("spend"))), F.lit(0.0)).alias("recent_spend"),
         F.coalesce(F.sum(F.when(recent, F.col("revenue"))), F.lit(0.0)).alias("recent_revenue"),
-        F.max("origin").alias("origin"),
     )
-    by = Window.partitionBy("run_id", "segment_key")
-    share = lambda x: F.when(F.sum(x).over(by) > 0, F.col(x) / F.sum(x).over(by))
-    fallback = F.coalesce(share("total_revenue"), 1.0 / F.count(F.lit(1)).over(by))
-    out = total.withColumns({
-        "rev_share": F.coalesce(share("recent_revenue"), fallback), "spend_share": F.coalesce(share("recent_spend"), fallback),
-        "days_since_active": F.datediff("origin", "last_day"),
-    })
-    return out.join(names, ["run_id", "campaign_uid"], "left").drop("origin")
+    total = total.withColumns({"n_days": (F.datediff("last_day", "first_day") + 1).cast("long"), "days_since_active": F.lit(0)})
+    summed = ("total_revenue", "recent_revenue", "recent_spend")
+    segments = total.groupBy("run_id", "segment_key").agg(*[F.sum(x).alias(f"all_{x}") for x in summed], F.count(F.lit(1)).alias("campaigns"))
+    both = total.join(F.broadcast(segments), ["run_id", "segment_key"])
+    share = lambda x: F.when(F.col(f"all_{x}") > 0, F.col(x) / F.col(f"all_{x}"))
+    fallback = F.coalesce(share("total_revenue"), 1.0 / F.col("campaigns"))
+    out = both.withColumns({"rev_share": F.coalesce(share("recent_revenue"), fallback), "spend_share": F.coalesce(share("recent_spend"), fallback)})
+    return out.drop("campaigns", *[f"all_{x}" for x in summed]).join(names, ["run_id", "campaign_uid"], "left")
 
 
 def top_campaigns(meta: DataFrame, n: int = config.MAX_CAMPAIGNS) -> DataFrame:
@@ -150,8 +161,8 @@ def prepare(panel: DataFrame) -> Prepared:
     edge = F.broadcast(origins.select("run_id", "cutoff"))
     panel = panel.join(edge, "run_id").where("cutoff is null or date < cutoff").drop("cutoff")
     segments = cut(dense(daily(panel, SEGMENT), SEGMENT, origins), "segments")
-    campaigns = dense(daily(panel, CAMPAIGN), CAMPAIGN, origins)
-    return Prepared(panel, origins, segments, campaigns, campaign_meta(campaigns, _names(panel), origins))
+    days = daily(panel, CAMPAIGN)
+    return Prepared(panel, origins, segments, dense(days, CAMPAIGN, origins), campaign_meta(days, _names(panel), origins))
 
 
 def replay(p: Prepared, runs: DataFrame) -> Prepared:

@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import scalars as S
+from ..functions.stage import ship
 
 SEGMENT = ["run_id", "segment_key"]
+FIT = pa.schema(
+    [("run_id", pa.string()), ("segment_key", pa.string()), ("beta", pa.float64()), ("scale", pa.float64()), ("n", pa.int64()), ("r2", pa.float64()),
+     ("spend_ref", pa.float64()), ("revenue_ref", pa.float64())]
+)
 
 
-def _line(rows: DataFrame) -> DataFrame:
-    """Least squares by segment; the least-norm line where all x are equal."""
-    fit = rows.groupBy(*SEGMENT).agg(
-        F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"), F.regr_r2("y", "x").alias("r2"),
-        F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count(F.lit(1)).alias("n"),
-    )
-    flat = F.col("my") / (F.col("mx") * F.col("mx") + 1)
-    return fit.select(*SEGMENT, F.coalesce("s", flat * F.col("mx")).alias("slope"), F.coalesce("i", flat).alias("intercept"), F.coalesce("r2", F.lit(0.0)).alias("r2"), "n")
+def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope, intercept and r2 by least squares; the least-norm line where all x are equal."""
+    mx, my = x.mean(), y.mean()
+    if x.min() == x.max():
+        flat = my / (mx * mx + 1)
+        return flat * mx, flat, 0.0
+    dx, dy = x - mx, y - my
+    xx, xy, yy = dx @ dx, dx @ dy, dy @ dy
+    return xy / xx, my - xy / xx * mx, xy * xy / (xx * yy) if yy > 0 else 1.0
+
+
+def _robust(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, int]:
+    """The line through the points that aren't far from the first line, and how many these are."""
+    slope, intercept, _ = _line(x, y)
+    e = y - intercept - slope * x
+    off = np.abs(e - np.median(e))
+    mad = np.median(off)
+    near = (off <= 3 * 1.4826 * mad) | (mad <= 0)
+    if near.sum() >= 5:
+        x, y = x[near], y[near]
+    return *_line(x, y), len(x)
 
 
 def fit_elasticity(segments: DataFrame) -> DataFrame:
@@ -27,27 +46,27 @@ def fit_elasticity(segments: DataFrame) -> DataFrame:
 
     Two passes: points further than three scaled median deviations from the first line's median
     residual are left out of the second, if five stay. Under ten usable days beta is the default.
+    A segment's days, some thousands, meet once, and all medians and both lines come from their arrays.
     """
-    usable = segments.where("spend > 0 and revenue > 0").select(*SEGMENT, "spend", "revenue", F.log("spend").alias("x"), F.log("revenue").alias("y"))
-    refs = usable.groupBy(*SEGMENT).agg(F.median("spend").alias("spend_ref"), F.median("revenue").alias("revenue_ref"), F.count(F.lit(1)).alias("days"))
-    resid = usable.join(_line(usable), SEGMENT).withColumn("e", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
-    middle = resid.groupBy(*SEGMENT).agg(F.median("e").alias("m"))
-    off = resid.join(middle, SEGMENT).withColumn("off", F.abs(F.col("e") - F.col("m")))
-    mad = off.groupBy(*SEGMENT).agg(F.median("off").alias("mad"))
-    near = off.join(mad, SEGMENT).withColumn("near", (F.col("mad") <= 0) | (F.col("off") <= 3 * 1.4826 * F.col("mad")))
-    enough = F.sum(F.col("near").cast("int")).over(Window.partitionBy(*SEGMENT)) >= 5
-    last = _line(near.withColumn("enough", enough).where("near or not enough").select(*SEGMENT, "x", "y"))
-    keys = segments.select(*SEGMENT).distinct()
-    out = keys.join(refs, SEGMENT, "left").join(last, SEGMENT, "left")
-    known = F.coalesce(F.col("days"), F.lit(0)) >= 10
-    return out.select(
-        *SEGMENT,
-        F.when(known, S.clip(F.col("slope"), *config.BETA_BOUNDS)).otherwise(config.BETA_DEFAULT).alias("beta"),
-        F.when(known, F.exp("intercept")).alias("scale"),
-        F.when(known, F.col("n")).otherwise(F.coalesce("days", F.lit(0))).alias("n"),
-        F.when(known, F.col("r2")).otherwise(0.0).alias("r2"),
-        F.coalesce("spend_ref", F.lit(0.0)).alias("spend_ref"), F.coalesce("revenue_ref", F.lit(0.0)).alias("revenue_ref"),
-    )
+    low, high = config.BETA_BOUNDS
+
+    def run(t: pa.Table) -> pa.Table:
+        spend, revenue = (t[c].to_numpy().astype(float) for c in ("spend", "revenue"))
+        usable = (spend > 0) & (revenue > 0)
+        spend, revenue = spend[usable], revenue[usable]
+        days = len(spend)
+        beta, scale, n, r2 = config.BETA_DEFAULT, None, days, 0.0
+        if days >= 10:
+            slope, intercept, r2, n = _robust(np.log(spend), np.log(revenue))
+            beta, scale = min(max(slope, low), high), float(np.exp(intercept))
+        refs = [float(np.median(v)) if days else 0.0 for v in (spend, revenue)]
+        row = [t["run_id"][0].as_py(), t["segment_key"][0].as_py(), beta, scale, n, r2, *refs]
+        return pa.table({f.name: pa.array([v], f.type) for f, v in zip(FIT, row, strict=True)})
+
+    ship(segments.sparkSession)
+    return segments.select(*SEGMENT, "spend", "revenue").groupBy(*SEGMENT).applyInArrow(
+        run, "run_id string, segment_key string, beta double, scale double, n long, r2 double, spend_ref double, revenue_ref double"
+    )
 
 
 def response_curve(fits: DataFrame, spends: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Monte-Carlo paths on a counter-based generator: a draw is a hash of what it is for.
 
+The generator is defined in whole numbers modulo 2^64 alone: any engine that can multiply and take a
+remainder, SQL among them, draws the same (``oracles_draws``).
+
 No draw depends on partitions, order or other segments. The scenario isn't part of a draw's name,
 so the two runs of a comparison share their random numbers; a backtest's origin is. A task gets
 segments' parameters and a range of simulations, and sums their daily paths before they leave it.
@@ -12,9 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import scalars as S
@@ -29,20 +31,6 @@ GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111E
 NAMES = ["run_id", "segment_key", "platform", "campaign_type"]
 
 
-def uniform(rng: str, seed: int, stream: str, *names: Column) -> Column:
-    """In (0, 1), as a column. ``md5`` can be recomputed by any SQL engine."""
-    if rng == "md5":
-        text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[n.cast("string") for n in names])
-        return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    bits = F.xxhash64(F.lit(seed), F.lit(stream), *names).bitwiseAND(F.lit((1 << 53) - 1))
-    return (bits.cast("double") + 0.5) / float(1 << 53)
-
-
-def normal(rng: str, seed: int, stream: str, *names: Column) -> Column:
-    u, v = uniform(rng, seed, stream + "-r", *names), uniform(rng, seed, stream + "-a", *names)
-    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
-
-
 def key(seed: int, stream: str, *names: str) -> int:
     """The 64-bit key of a stream of draws: the head of the MD5 of its name."""
     return int(hashlib.md5("|".join([str(seed), stream, *names]).encode()).hexdigest()[:16], 16)
@@ -88,15 +76,43 @@ def expected(models: DataFrame, profile: DataFrame, origins: DataFrame, days: in
     return joined.select("run_id", "segment_key", "metric", "day", "season", path.alias("path"))
 
 
-def common_shock(runs: DataFrame, cfg: config.Forecast, days: int, sigma: float = SIGMA) -> DataFrame:
-    """(run_id, sim, day, shock): ``walks`` as a table, with draws from the generator of ``cfg.rng``."""
-    sims = F.explode(F.sequence(F.lit(0), F.lit(cfg.n_sims - 1)))
-    grid = runs.select("run_id", "draw_id").distinct().select("*", sims.alias("sim"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
-    step = normal(cfg.rng, cfg.seed, "macro", F.col("draw_id"), F.col("sim"), F.col("day")) * (sigma / 30.0**0.5)
-    by = Window.partitionBy("run_id", "sim")
-    walk = grid.withColumn("step", step).withColumn("walk", F.sum("step").over(by.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
-    return walk.select("run_id", "sim", "day", (F.col("walk") - F.avg("walk").over(by)).alias("shock"))
+def shocks(runs: DataFrame, cfg: config.Forecast, days: int) -> DataFrame:
+    """(run_id, sim, day, shock): ``walks`` of ``runs`` (run_id) as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run_id, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sims = np.arange(first, min(first + CHUNK, cfg.n_sims))
+                yield _by_day({"run_id": run_id}, sims, days, "shock", walks(cfg, run_id, sims, days))
+
+    ship(runs.sparkSession)
+    return _chunked(runs.select("run_id").distinct(), cfg).mapInArrow(run, "run_id string, sim int, day int, shock double")
+
+
+def segment_normals(keys: DataFrame, cfg: config.Forecast, stream: str, days: int) -> DataFrame:
+    """(run_id, segment_key, sim, day, z): what a stream of draws holds for ``keys`` (run_id, segment_key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run_id, segment, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sims = np.arange(first, min(first + CHUNK, cfg.n_sims))
+                z = normals(cfg.seed, stream, (run_id, segment), sims[:, None], np.arange(1, days + 1)[None, :])
+                yield _by_day({"run_id": run_id, "segment_key": segment}, sims, days, "z", z)
+
+    ship(keys.sparkSession)
+    work = _chunked(keys.select("run_id", "segment_key").distinct(), cfg)
+    return work.mapInArrow(run, "run_id string, segment_key string, sim int, day int, z double")
+
+
+def _chunked(keys: DataFrame, cfg: config.Forecast) -> DataFrame:
+    return keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_sims - 1), F.lit(CHUNK))).alias("first"))
+
+
+def _by_day(own: dict[str, str], sims: np.ndarray, days: int, name: str, values: np.ndarray) -> pa.RecordBatch:
+    n = len(sims) * days
+    columns = {k: pa.array([v] * n, pa.string()) for k, v in own.items()}
+    columns |= {"sim": np.repeat(sims, days).astype(np.int32), "day": np.tile(np.arange(1, days + 1), len(sims)).astype(np.int32), name: values.ravel()}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def simulate(

@@ -145,7 +145,6 @@ fit AS (SELECT k.segment_key, coalesce(days, 0) >= 10 AS known, CASE WHEN days >
     CASE WHEN days >= 10 THEN exp(l2.i) END AS scale, CASE WHEN days >= 10 THEN l2.n ELSE coalesce(days, 0) END AS n, CASE WHEN days >= 10 THEN r2 ELSE 0.0 END AS r2,
     coalesce(spend_ref, 0) AS spend_ref, coalesce(revenue_ref, 0) AS revenue_ref
     FROM (SELECT DISTINCT segment_key FROM seg) k LEFT JOIN l1 USING (segment_key) LEFT JOIN l2 USING (segment_key))"""
-_U = "((('0x' || substr(md5('20260712|' || {name}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
 _MULT = _clip("pow(1 + {g}, (1 - pow(0.9, {d} / 30.0)) / (1 - 0.9) / 12.0)", 0.4, 2.5)
 NODES = """,
 monthly AS (SELECT platform, campaign_type, year(date) * 12 + month(date) AS sim, sum(revenue) AS revenue, sum(spend) AS spend FROM seg GROUP BY ALL),
@@ -251,8 +250,6 @@ ORACLES = {
     "response_curve": f"{BASE}{SEG}{ELASTIC} SELECT segment_key, round(s, 3) AS spend, round(scale * pow(s, beta - 1) * s, 3) AS revenue, round(scale * pow(s, beta - 1), 3) AS average_roas, round(scale * beta * pow(s, beta - 1), 3) AS marginal_roas FROM (SELECT *, greatest(0.2 * spend_ref, 1.0) + (3 * spend_ref + 1 - greatest(0.2 * spend_ref, 1.0)) * k / 39 AS s FROM fit, range(0, 40) r(k))",
     "growth_multiplier_table": f"SELECT day::DOUBLE AS day, (g / 10.0)::DOUBLE AS growth, round({_MULT.format(g='(g / 10.0)', d='day')}, 6) AS multiplier FROM range(1, 366) a(day), range(-6, 10) b(g)",
     "response_multiplier_table": "WITH v(x) AS (VALUES (-1.0::DOUBLE), (0.0), (1.0), (50.0), (100.0), (200.0), (1000.0)), b(beta) AS (VALUES (0.15::DOUBLE), (0.65), (1.05)), g AS (SELECT s.x AS spend, d.x AS base, beta, CASE WHEN d.x > 0 AND s.x > 0 THEN pow(s.x / d.x, beta) ELSE 1.0 END AS m FROM v s, v d, b) SELECT spend, base, beta, round(m, 6) AS multiplier, round(CASE WHEN base > 0 AND spend <= 0 THEN 0.0 ELSE m END, 6) AS strict FROM g",
-    "rng_normals_md5": f"SELECT sim::INT AS sim, day::INT AS day, round(sqrt(-2 * ln({_U.format(name=chr(39) + 'check-r|google::Search|' + chr(39) + ' || sim || ' + chr(39) + '|' + chr(39) + ' || day')})) * cos(2 * pi() * {_U.format(name=chr(39) + 'check-a|google::Search|' + chr(39) + ' || sim || ' + chr(39) + '|' + chr(39) + ' || day')}), 8) AS z FROM range(0, 50) a(sim), range(0, 100) b(day)",
-    "macro_shock_md5": f"WITH z AS (SELECT sim, day, sqrt(-2 * ln({_U.format(name=chr(39) + 'macro-r|score|' + chr(39) + ' || sim || ' + chr(39) + '|' + chr(39) + ' || day')})) * cos(2 * pi() * {_U.format(name=chr(39) + 'macro-a|score|' + chr(39) + ' || sim || ' + chr(39) + '|' + chr(39) + ' || day')}) * (0.08 / sqrt(30.0)) AS z FROM range(0, 20) a(sim), range(1, 91) b(day)), w AS (SELECT sim, day, sum(z) OVER (PARTITION BY sim ORDER BY day) AS walk FROM z) SELECT sim::INT AS sim, day::INT AS day, round(walk - avg(walk) OVER (PARTITION BY sim), 8) AS shock FROM w",
     "hierarchy_rollup": f"{BASE}{SEG}{NODES} SELECT level, channel, campaign_type, sim::INT AS sim, round(revenue, 4) AS revenue, round(spend, 4) AS spend, round(roas, 4) AS roas FROM nodes",
     "conformal_summary": f"""{BASE}{SEG}{NODES}, m AS (SELECT level, channel, 'revenue' AS metric, revenue AS x FROM nodes UNION ALL SELECT level, channel, 'spend', spend FROM nodes UNION ALL SELECT level, channel, 'roas', roas FROM nodes),
         c AS (SELECT *, quantile_cont(x, 0.5) OVER (PARTITION BY level, channel, metric) AS mid, CASE WHEN level = 'channel' THEN 1.4 ELSE 1.2 END AS k FROM m WHERE level IN ('aggregate', 'channel') AND x IS NOT NULL),

@@ -11,12 +11,16 @@ from . import config
 from .functions import scalars as S
 from .operators import backtest, budget, decompose, hierarchy, insights, model, prepare, response, seasonality, simulate
 from .oracles import ORACLES
+from .oracles_draws import WATCHED
+from .oracles_draws import oracles as drawn
 from .plans import score as plans
 from .sources import star
 
 FLAGSHIP = "prediction_table"
-#: Few draws, for what SQL recomputes; all else takes production's.
-MD5 = config.Forecast(n_sims=20, rng="md5")
+#: Few draws of the same generator and paths, for what SQL draws again; all else takes production's.
+FEW = config.Forecast(n_sims=40)
+#: Interval scales by level (None: any other) and horizon, in place of a backtest's.
+FEW_SCALES = {("channel", 30): 1.4, (None, 60): 1.2, ("campaign", 30): 0.8}
 FULL = config.Forecast()
 BACKTEST = config.Forecast(n_sims=config.BACKTEST_SIMS)
 
@@ -185,15 +189,79 @@ def marginal_roas_rank(spark, sf_dir):
 
 
 def rng_normals_md5(spark, sf_dir):
-    """The generator that simulations draw from, in the form that SQL can recompute."""
-    grid = spark.range(5000).select((F.col("id") % 50).cast("int").alias("sim"), F.floor(F.col("id") / 50).cast("int").alias("day"))
-    draw = simulate.normal("md5", config.SEED, "check", F.lit("google::Search"), F.col("sim"), F.col("day"))
-    return grid.select("sim", "day", F.round(draw, 8).alias("z"))
+    """What a stream of the simulation's generator, keyed by MD5, holds for each segment."""
+    keys = _prepared(spark, sf_dir).segment_daily.select("run_id", "segment_key")
+    return _rounded(simulate.segment_normals(keys, FEW, "check", 10).drop("run_id"), 8, "z")
 
 
 def macro_shock_md5(spark, sf_dir):
-    runs = spark.createDataFrame([("score", "score")], "run_id string, draw_id string")
-    return _rounded(simulate.common_shock(runs, MD5, 90).select("sim", "day", "shock"), 8, "shock")
+    """The common shock that every segment's paths take."""
+    return _rounded(simulate.shocks(_prepared(spark, sf_dir).origins, FEW, 90).drop("run_id"), 8, "shock")
+
+
+def _few_work(spark, sf_dir):
+    p, models, profile, betas = _segments(spark, sf_dir)
+    return p, models, profile, simulate.simulate(models, profile, betas, p.origins, FEW)
+
+
+def mc_periods_few(spark, sf_dir):
+    rows = simulate.periods(_few_work(spark, sf_dir)[3], FEW)
+    return _rounded(rows.select("segment_key", "sim", "horizon", "revenue", "spend"), 2, "revenue", "spend")
+
+
+def cumulative_fan_few(spark, sf_dir):
+    rows = simulate.cumulative_fan(_few_work(spark, sf_dir)[3], FEW).drop("run_id")
+    return _rounded(rows, 2, *[c for c in rows.columns if c != "day"])
+
+
+def _few_score(spark, sf_dir):
+    p = _prepared(spark, sf_dir)
+    scales = spark.createDataFrame([(level, h, s) for (level, h), s in FEW_SCALES.items()], "level string, horizon int, scale double")
+    return p, plans.score(p, plans.replace_scales(model.fit_priors(p), scales), FEW)
+
+
+def prediction_table_few(spark, sf_dir):
+    rows = _few_score(spark, sf_dir)[1].predictions.drop("run_id")
+    return _rounded(rows, 2, "mean", "std", *[c for c in rows.columns if c[:1] == "p" and c[1:].isdigit()])
+
+
+def budget_deltas_few(spark, sf_dir):
+    p = _prepared(spark, sf_dir)
+    cfg = config.Forecast(n_sims=FEW.n_sims, horizons=(30,))
+    first, second = plans.what_if(p, model.fit_priors(p), budget.Scenario(30, channels={"meta": 5000.0}), cfg)
+    rows = budget.deltas(first.summary.where("level <> 'campaign'"), second.summary.where("level <> 'campaign'"))
+    return _rounded(_rounded(rows, 2, *[c for c in rows.columns if c.endswith(("_revenue", "_spend"))]), 4, "incremental_roas")
+
+
+def channel_summary_few(spark, sf_dir):
+    p, result = _few_score(spark, sf_dir)
+    rows = insights.channel_summary(result.nodes, p, 30).drop("run_id")
+    return _rounded(_rounded(rows, 2, "p50", "roas", "trailing_revenue", "trailing_roas"), 5, "change")
+
+
+def roas_watch_few(spark, sf_dir):
+    """The forecast's watch list at a threshold that some channels are below."""
+    p, result = _few_score(spark, sf_dir)
+    return _rounded(insights.roas_watch(insights.channel_summary(result.nodes, p, 30), WATCHED).select("channel", "roas"), 2, "roas")
+
+
+def outlook_few(spark, sf_dir):
+    p, result = _few_score(spark, sf_dir)
+    rows = insights.outlook(result.nodes, p, result.models, result.profile, config.HORIZONS).drop("run_id")
+    effects = ["total", "season", "trend", "spend_and_mix", "interval_width"]
+    return _rounded(_rounded(rows, 2, "p10", "p50", "p90", "roas", "spend", "trailing_revenue", "trailing_roas"), 5, *effects)
+
+
+def elasticity_priors(spark, sf_dir):
+    """The elasticities that short segments fall back on: their type's, and all segments'."""
+    rows = model.fit_priors(_prepared(spark, sf_dir)).elasticity.where("scope not like '%::%'")
+    return _rounded(rows.select("scope", "beta", F.col("n").cast("long").alias("n")), 6, "beta")
+
+
+def residual_blocks(spark, sf_dir):
+    """The residuals that simulations draw blocks of."""
+    rows = _segments(spark, sf_dir)[1].select("segment_key", "metric", F.posexplode("resid_block").alias("place", "residual"))
+    return _rounded(rows, 5, "residual")
 
 
 def _score(spark, sf_dir, short=False):
@@ -320,7 +388,8 @@ def queries() -> dict:
         panel_canonical, panel_taxonomy, brand_mix, active_series_per_day, ragged_edge_trim, segment_daily_dense, campaign_daily_dense,
         campaign_meta_shares, top_campaigns_per_segment, calendar_events, calendar_frame, us_holidays, window_events, pooled_prior, blended_profile,
         decomposition, decomposition_flat, elasticity_fit, response_curve, growth_multiplier_table, response_multiplier_table,
-        expected_spend_path, marginal_roas_rank, rng_normals_md5, macro_shock_md5, mc_periods, hierarchy_rollup, conformal_summary,
+        expected_spend_path, marginal_roas_rank, rng_normals_md5, macro_shock_md5, mc_periods_few, cumulative_fan_few,
+        prediction_table_few, budget_deltas_few, channel_summary_few, roas_watch_few, outlook_few, elasticity_priors, residual_blocks, mc_periods, hierarchy_rollup, conformal_summary,
         prediction_table, cumulative_fan, backtest_origins, backtest_actual_windows, backtest_metrics, conformal_scales, budget_deltas,
         trailing_actuals, trailing_roas_watch, roas_watch, outlook, seasonal_index, movers, channel_summary, opportunities,
     )
@@ -336,4 +405,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(ORACLES) | drawn(FEW.n_sims, FEW_SCALES)

@@ -100,9 +100,11 @@ def test_untouched_channels_cancel(spark, panel):
 
 
 def test_draws_do_not_depend_on_partitions(spark):
-    draw = simulate.normal("xxhash64", 1, "s", F.col("id"))
-    a, b = (sorted(r.z for r in spark.range(0, 4000, 1, n).select(draw.alias("z")).collect()) for n in (1, 7))
-    assert a == b and abs(sum(a) / 4000) < 0.06 and abs(sum(x * x for x in a) / 4000 - 1) < 0.1
+    keys = spark.createDataFrame([("score", f"s{k}") for k in range(5)], "run_id string, segment_key string")
+    cfg = config.Forecast(n_sims=80)
+    a, b = (sorted(map(tuple, simulate.segment_normals(keys.repartition(n), cfg, "check", 10).collect())) for n in (1, 7))
+    z = np.array([r[4] for r in a])
+    assert a == b and len(a) == 4000 and abs(z.mean()) < 0.06 and abs((z * z).mean() - 1) < 0.1
 
 
 def test_calibration_keeps_the_median(spark):
