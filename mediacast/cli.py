@@ -29,7 +29,9 @@ def settings() -> config.Forecast:
 
 
 def features(spark: SparkSession, data: str, path: str) -> None:
-    prepare.prepare(exports.load(spark, data)).save(path)
+    panel, quarantine = exports.load_checked(spark, data)
+    prepare.prepare(panel).save(path)
+    quarantine.write.mode("overwrite").parquet(f"{path}/quarantine")
     log.info("features in %s", path)
 
 
@@ -40,18 +42,25 @@ def train(spark: SparkSession, data: str, path: str) -> None:
 
 
 def predict(spark: SparkSession, path: str, trained: str, output: str) -> plans.Result:
-    """The predictions as one CSV, and beside it forecast_summary.json with the headline."""
+    """The predictions as one CSV, and beside it forecast_summary.json with the headline; the latter can fail without harm."""
     p, cfg = prepare.Prepared.load(spark, path), settings()
     result = plans.score(p, model.Model.load(spark, trained), cfg)
     plans.write_predictions(result.predictions, output)
-    summary = {"forecast_origin": str(p.origins.first()["origin"]), "model_version": model.VERSION, "horizons": list(cfg.horizons), "headline": plans.headline(result.predictions)}
-    folder = output.rpartition("/")[0] or "."
-    write_text(spark, f"{folder}/forecast_summary.json", json.dumps(summary, indent=2))
-    for days, x in summary["headline"].items():
-        log.info("%s revenue p50=%.0f [p10=%.0f .. p90=%.0f] roas p50=%.2f", days, x["revenue_p50"], x["revenue_p10"], x["revenue_p90"], x["roas_p50"] or 0)
+    try:
+        _summarise(spark, p, result, cfg, output.rpartition("/")[0] or ".")
+    except Exception as why:  # noqa: BLE001  the predictions stand without their summary
+        log.warning("no forecast_summary.json: %s", why)
     return result
 
 
+def _summarise(spark: SparkSession, p: prepare.Prepared, result: plans.Result, cfg: config.Forecast, folder: str) -> None:
+    found = plans.headline(result.predictions)
+    summary = {"forecast_origin": str(p.origins.first()["origin"]), "model_version": model.VERSION, "horizons": list(cfg.horizons), "headline": found}
+    write_text(spark, f"{folder}/forecast_summary.json", json.dumps(summary, indent=2))
+    for days, x in found.items():
+        log.info("next %s: revenue of %.0f (%.0f to %.0f), return of %.2f", days, x["revenue_p50"], x["revenue_p10"], x["revenue_p90"], x["roas_p50"] or 0)
+
+
 def briefing(spark: SparkSession, path: str, trained: str, output: str) -> str:
     p, cfg = prepare.Prepared.load(spark, path), settings()
     result = plans.score(p, model.Model.load(spark, trained), cfg)

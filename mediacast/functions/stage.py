@@ -27,10 +27,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    later_gone(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def later_gone(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the driver's Python ends."""
+    atexit.register(_remove, spark, path)
+
+
+def free(df: DataFrame) -> None:
+    """Delete the files of a ``cut`` that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,26 +55,44 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """What the driver holds as one file, replacing what is there, in any store that Hadoop knows."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    """What the driver holds as one file, in any store that Hadoop knows; readers see the old file or the new one, whole."""
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(aside)
     try:
-        out.write(bytearray(data))
-    finally:
-        out.close()
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        publish(spark, aside, path)
+    except BaseException:
+        _remove(spark, aside)
+        raise
+
+
+def publish(spark: SparkSession, aside: str, path: str) -> None:
+    """Rename ``aside`` over ``path`` in one step, as far as the store has that."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    make = jvm.org.apache.hadoop.fs.Path
+    source, target = (make(x).getFileSystem(conf).makeQualified(make(x)) for x in (aside, path))
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(source, target, how)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header at ``path``, replacing what is there. For results of a bounded size: one task writes."""
+    """One CSV file with a header at ``path``, replacing what is there in one step. For results of a bounded size: one task writes."""
     spark = df.sparkSession
     folder = f"{path}.parts-{uuid.uuid4().hex}"
-    df.coalesce(1).write.option("header", True).csv(folder)
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in fs.listStatus(make(folder)) if f.getPath().getName().startswith("part-"))
-    fs.delete(make(path), True)
-    fs.rename(part, make(path))
-    fs.delete(make(folder), True)
+    try:
+        df.coalesce(1).write.option("header", True).csv(folder)
+        make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        part = next(f.getPath() for f in fs.listStatus(make(folder)) if f.getPath().getName().startswith("part-"))
+        publish(spark, part.toString(), path)
+    finally:
+        _remove(spark, folder)
 
 
 _shipped: set[str] = set()

@@ -100,6 +100,8 @@ def campaign_meta(days: DataFrame, names: DataFrame, origins: DataFrame) -> Data
     run and segment, which platforms and types bound; no segment's campaigns meet in one task.
     """
     c = days.join(F.broadcast(origins.select("run_id", "origin")), "run_id").where("date <= origin")
+    # In order of date, so that sums are the same to the last digit however the days arrive.
+    c = c.repartition(*CAMPAIGN).sortWithinPartitions(*CAMPAIGN, "date")
     recent = F.col("date") > F.date_sub("origin", config.SHARE_WINDOW)
     total = c.groupBy(*CAMPAIGN).agg(
         F.sum("spend").alias("total_spend"), F.sum("revenue").alias("total_revenue"),

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import logging
+import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.stage import shared_dir, write_bytes
+from ..functions.stage import later_gone, shared_dir, write_bytes
 
 log = logging.getLogger(__name__)
 #: What counts as missing, as data-frame readers take it.
@@ -109,27 +111,75 @@ def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([(line or "").lstrip("\ufeff")], delimiter=sep), []))
 
 
+def _malformed(sep: str, fields: int) -> Column:
+    """Whether a line has more fields than the header, or a quote that isn't closed."""
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    return bare.contains('"') | (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) > (fields - 1) * len(sep))
+
+
+def _broken(spark: SparkSession, paths: list[str], sep: str, fields: int) -> dict[str, str]:
+    """Files that cannot be read to their end or don't parse, with the reason.
+
+    All files are read by one job, which counts each file's malformed lines. Where a read
+    fails, the files are halved until those that fail are alone; so one broken file among n costs about
+    2 log n more jobs, and none where nothing is broken.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), _malformed(sep, fields).cast("long").alias("bad"))
+    try:
+        found = lines.groupBy("file").agg(F.sum("bad").alias("bad")).where("bad > 0").collect()
+    except Exception as why:  # noqa: BLE001  whatever the store raises
+        if len(paths) == 1:
+            return {paths[0]: f"unreadable: {_reason(why)}"}
+        half = len(paths) // 2
+        return _broken(spark, paths[:half], sep, fields) | _broken(spark, paths[half:], sep, fields)
+    counts = {_plain(r["file"]): r["bad"] for r in found}
+    return {p: f"{counts[_plain(p)]} malformed lines" for p in paths if _plain(p) in counts}
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme's slashes, of which Spark and Hadoop write different numbers, and without escapes."""
+    scheme, _, rest = unquote(path).partition(":")
+    return f"{scheme}:/{rest.lstrip('/')}"
+
+
+def _reason(why: Exception) -> str:
+    """The first line of the innermost cause."""
+    causes = re.findall(r"Caused by: ([^\n]+)", str(why))
+    return (causes[-1] if causes else str(why).split("\n")[0])[:300]
+
+
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """All exports under ``folder``: one read for each kind of header, as text, which ``normalise`` types.
+    """All readable exports under ``folder`` as one panel; see ``load_checked``."""
+    return load_checked(spark, folder)[0]
+
+
+def load_checked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(panel, quarantine (file, reason)): one read for each kind of header, as text, which ``normalise`` types.
 
-    Files of an unknown format and unreadable ones are skipped with a warning.
+    Files of an unknown format, unreadable ones, those that break while they are read and those with
+    malformed lines go to quarantine whole, with a warning; the others make the panel. Every file is read
+    once more than its panel is, to tell.
     """
     alike: dict[tuple, list[str]] = {}
+    gone: dict[str, str] = {}
     for path in find_files(spark, folder):
         sep = "\t" if path.lower().endswith(".tsv") else ","
         try:
             header = _header(spark, path, sep)
         except Exception as why:  # noqa: BLE001  one broken file doesn't stop the others
-            log.warning("%s: %s, skipped", path, why)
+            gone[path] = f"unreadable: {_reason(why)}"
             continue
         if (platform := detect(list(header), path.rsplit("/", 1)[-1])) is None:
-            log.warning("%s: unknown format, skipped", path)
+            gone[path] = "unknown format"
         else:
             alike.setdefault((platform.name, header, sep), []).append(path)
-    if not alike:
-        raise ValueError("no file has a known format")
     out = None
     for (name, header, sep), paths in alike.items():
+        broken = _broken(spark, paths, sep, len(header))
+        gone |= broken
+        paths = [p for p in paths if p not in broken]
+        if not paths:
+            continue
         platform = next(p for p in config.PLATFORMS if p.name == name)
         # Columns by place: headers may hold names that differ in case alone.
         schema = ", ".join(f"c{k} string" for k in range(len(header)))
@@ -138,12 +188,17 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
         raw = raw.select(*[F.col(f"c{header.index(c)}").alias(c) for c in wanted if c in header])
         panel = normalise(raw, platform)
         out = panel if out is None else out.unionByName(panel)
-    return out
+    for path, why in gone.items():
+        log.warning("%s: %s, skipped", path, why)
+    if out is None:
+        raise ValueError("no file has a known format")
+    return out, spark.createDataFrame(sorted(gone.items()), "file string, reason string")
 
 
 def from_bytes(spark: SparkSession, files: dict[str, bytes]) -> DataFrame:
-    """Uploaded files (name, content), by way of the shared folder."""
+    """Uploaded files (name, content), by way of the shared folder, from where they go when the driver ends."""
     folder = f"{shared_dir(spark)}/upload-{uuid.uuid4().hex}"
+    later_gone(spark, folder)
     for name, content in files.items():
         write_bytes(spark, f"{folder}/{name.rsplit('/', 1)[-1]}", content)
     return load(spark, folder)

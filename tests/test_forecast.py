@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mediacast import cli, config, queries
 from mediacast.functions import scalars as S
-from mediacast.operators import budget, hierarchy, insights, model, prepare, simulate
+from mediacast.functions import stage
+from mediacast.operators import budget, hierarchy, insights, model, prepare, response, simulate
 from mediacast.plans import score as plans
 from mediacast.sources import exports
 
@@ -214,6 +215,98 @@ def test_draws_depend_on_names_alone():
     assert np.abs(walk.mean(axis=1)).max() < 1e-12
 
 
+def test_broken_files_go_to_quarantine(spark, tmp_path):
+    """A file cut short after its checksum was written breaks while it is read; one line too long makes a file malformed."""
+    _exports(tmp_path)
+    good = sorted(map(str, exports.load(spark, str(tmp_path)).collect()))
+    head = "campaign_id,segments_date,campaign_name,campaign_advertising_channel_type,metrics_cost_micros,metrics_conversions_value\n"
+    rows = "".join(f"g9,2024-01-{1 + k % 28:02d},Search_NTM_9,SEARCH,{1e7 + k},{30 + k % 3}\n" for k in range(2000))
+    stage.write_text(spark, str(tmp_path / "sub dir" / "cut.csv"), head + rows)
+    with open(tmp_path / "sub dir" / "cut.csv", "r+b") as f:
+        f.truncate(40_000)
+    (tmp_path / "long.csv").write_text(head + 'g8,2024-01-01,"Search, all",SEARCH,1,1\ng8,2024-01-01,x,SEARCH,1,1,7\n')
+    (tmp_path / "open.csv").write_text(head + 'g7,2024-01-01,"Search,SEARCH,1,1\n')
+    (tmp_path / "quoted.csv").write_text(head + 'g6,2024-01-01,"Search, ""all""",SEARCH,1,1\n')
+    (tmp_path / "other.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "void.csv").write_text("")
+    panel, quarantine = exports.load_checked(spark, str(tmp_path))
+    found = {r.file.rsplit("/", 1)[-1]: r.reason for r in quarantine.collect()}
+    assert found.keys() == {"cut.csv", "long.csv", "open.csv", "other.csv", "void.csv"}
+    assert found["cut.csv"].startswith("unreadable") and found["long.csv"] == "1 malformed lines" and found["other.csv"] == "unknown format"
+    kept = [r for r in panel.collect() if r.campaign_id != "g6"]
+    assert sorted(map(str, kept)) == good and panel.count() == len(good) + 1
+
+
+def test_files_are_replaced_whole(spark, tmp_path, monkeypatch):
+    text, table = str(tmp_path / "a.json"), str(tmp_path / "b.csv")
+    for k in (1, 2):
+        stage.write_text(spark, text, f"version {k}")
+        stage.write_csv(spark.range(k), table)
+    whole = {p.name: p.read_bytes() for p in tmp_path.iterdir() if not p.name.startswith(".")}
+    assert whole == {"a.json": b"version 2", "b.csv": b"id\n0\n1\n"}
+
+    def fails(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(stage, "publish", fails)
+    for write in (lambda: stage.write_text(spark, text, "half"), lambda: stage.write_csv(spark.range(9), table)):
+        with pytest.raises(OSError, match="lost"):
+            write()
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir() if not p.name.startswith(".")} == whole
+
+
+def test_a_summary_that_fails_stops_nothing(spark, tmp_path, monkeypatch, caplog):
+    done = []
+    monkeypatch.setattr(cli.prepare.Prepared, "load", classmethod(lambda *a: None))
+    monkeypatch.setattr(cli.model.Model, "load", staticmethod(lambda *a: None))
+    monkeypatch.setattr(plans, "score", lambda *a: type("R", (), {"predictions": None})())
+    monkeypatch.setattr(plans, "write_predictions", lambda found, path: done.append(path))
+    monkeypatch.setattr(plans, "headline", lambda found: 1 / 0)
+    assert cli.predict(spark, "p", "m", str(tmp_path / "x.csv")) is not None
+    assert done == [str(tmp_path / "x.csv")] and "no forecast_summary.json" in caplog.text
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString() and df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange " in line and "Broadcast" not in line for line in plan.splitlines()), plan
+
+
+def test_plans_of_preparation(spark, panel):
+    """A grid takes one shuffle, shares no window over a segment's campaigns, the robust fit one exchange."""
+    p = prepare.prepare(panel)
+    days = stage.cut(prepare.daily(p.panel, prepare.CAMPAIGN), "days")
+    n, plan = _exchanges(prepare.dense(days, prepare.CAMPAIGN, p.origins))
+    assert n == 1 and "SortMergeJoin" not in plan
+    assert "Window" not in _exchanges(prepare.campaign_meta(days, prepare._names(p.panel), p.origins))[1]
+    assert _exchanges(response.fit_elasticity(p.segment_daily))[0] == 1
+
+
+def test_gaps_are_filled(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    rows = [("r", "a", day(1), 0.0, 0.0), ("r", "a", day(3), 2.0, None), ("r", "a", day(6), 0.0, 5.0), ("r", "a", day(12), 1.0, 1.0), ("r", "b", day(2), 0.0, 0.0), ("r", "c", day(11), 1.0, 1.0)]
+    series = spark.createDataFrame(rows, "run_id string, segment_key string, date date, spend double, revenue double").withColumns({m: F.lit(1.0) for m in ("clicks", "impressions", "conversions")})
+    origins = spark.createDataFrame([("r", day(8))], "run_id string, origin date")
+    found = sorted((r.segment_key, r.date.day, r.spend, r.revenue, r.clicks) for r in prepare.dense(series, ["run_id", "segment_key"], origins).collect())
+    a = [("a", 3, 2.0, 0.0, 1.0), ("a", 4, 0.0, 0.0, 0.0), ("a", 5, 0.0, 0.0, 0.0), ("a", 6, 0.0, 5.0, 1.0), ("a", 7, 0.0, 0.0, 0.0), ("a", 8, 0.0, 0.0, 0.0)]
+    assert found == a + [("b", k, 0.0, 0.0, float(k == 2)) for k in range(2, 9)]
+
+
+def test_robust_fit_by_hand(spark):
+    """A power law with outliers comes back; too few days, equal spends and idle segments have defined results."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        spend = float(np.exp(rng.normal(3, 1)))
+        rows.append(("r", "law", spend, 5 * spend**0.6 * (40.0 if k % 20 == 0 else float(np.exp(rng.normal(0, 0.01))))))
+    rows += [("r", "few", 2.0, 3.0)] * 9 + [("r", "flat", 4.0, 8.0)] * 12 + [("r", "idle", 0.0, 3.0)] * 20
+    fits = {r.segment_key: r for r in response.fit_elasticity(spark.createDataFrame(rows, "run_id string, segment_key string, spend double, revenue double")).collect()}
+    assert abs(fits["law"].beta - 0.6) < 0.01 and abs(fits["law"].scale - 5) < 0.2 and fits["law"].n == 57 and fits["law"].r2 > 0.99
+    assert (fits["few"].beta, fits["few"].scale, fits["few"].n) == (config.BETA_DEFAULT, None, 9)
+    assert (fits["idle"].beta, fits["idle"].n, fits["idle"].spend_ref) == (config.BETA_DEFAULT, 0, 0.0)
+    flat = np.log(8) / (np.log(4) ** 2 + 1)
+    assert fits["flat"].beta == pytest.approx(min(max(flat * np.log(4), 0.15), 1.05)) and fits["flat"].r2 == 0
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
