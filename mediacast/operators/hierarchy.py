@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import scalars as S
-from ..functions.stage import ship
+from ..functions.stage import cut
 
 NODE = ["run_id", "level", "channel", "campaign_type", "campaign_id", "campaign_name"]
 METRICS = ["revenue", "spend", "roas"]
+#: Ranges in which a node's draws are counted.
+BINS = 256
 
 
 def reconcile(period: DataFrame) -> DataFrame:
@@ -54,37 +55,67 @@ def with_scale(nodes: DataFrame, scales: DataFrame | None) -> DataFrame:
     return out.withColumn("scale", F.coalesce("own", "every", F.lit(1.0))).drop("own", "every")
 
 
+def _at(quantiles: tuple[float, ...], found: Column, n: Column, of) -> list[Column]:
+    """``of`` the order statistics in the map ``found``, linear between the two about each position."""
+    out = []
+    for q in quantiles:
+        place = (n - 1) * F.lit(q)
+        low = F.floor(place)
+        a, b = of(F.element_at(found, low)), of(F.element_at(found, F.least(low + 1, n - 1)))
+        out.append(a + (b - a) * (place - low))
+    return out
+
+
+def order_statistics(rows: DataFrame, keys: list[str], quantiles: tuple[float, ...], bins: int = BINS) -> DataFrame:
+    """(keys, n, mean, found): of each key's ``x`` the order statistics about ``quantiles``, as a map from rank (from 0) to value.
+
+    Exact, by counting in two rounds: the first counts each key's values in equal ranges between its
+    least and greatest, the second sorts what lies in the few ranges that hold a wanted rank. Values
+    leave their tasks as counts alone; no task ever has a key's values together. What is broadcast has a
+    row for each key and wanted range.
+    """
+    span = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    span = cut(span, "spans")
+    width = F.col("hi") - F.col("lo")
+    at = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    counts = rows.join(F.broadcast(span.select(*keys, "lo", "hi")), keys).groupBy(*keys, at.alias("bin")).count()
+    upto = F.sum("count").over(Window.partitionBy(*keys).orderBy("bin"))
+    counts = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("count")).join(F.broadcast(span), keys)
+    ranks = [r for q in quantiles for low in [F.floor((F.col("n") - 1) * F.lit(q))] for r in (low, F.least(low + 1, F.col("n") - 1))]
+    wanted = F.filter(F.array_distinct(F.array(*ranks)), lambda r: (F.col("before") <= r) & (r < F.col("upto")))
+    ranges = counts.select(*keys, "bin", "before", "lo", "hi", wanted.alias("ranks")).where(F.size("ranks") > 0)
+    ranges = cut(ranges, "ranges")
+    near = rows.join(F.broadcast(ranges.select(*keys, F.col("bin").alias("at"), "lo", "hi")), keys).where(at == F.col("at"))
+    near = near.groupBy(*keys, F.col("at").alias("bin"), "x").count()
+    upto = F.sum("count").over(Window.partitionBy(*keys, "bin").orderBy("x"))
+    placed = near.withColumn("upto", upto).join(F.broadcast(ranges.select(*keys, "bin", "before", "ranks")), [*keys, "bin"])
+    end = F.col("before") + F.col("upto")
+    held = F.filter("ranks", lambda r: (end - F.col("count") <= r) & (r < end))
+    picked = placed.select(*keys, F.explode(held).alias("rank"), "x")
+    found = picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("found"))
+    return span.select(*keys, "n", "mean").join(F.broadcast(found), keys)
+
+
 def summarise(nodes: DataFrame, scales: DataFrame | None, quantiles: tuple[float, ...] = config.QUANTILES) -> DataFrame:
     """(NODE, horizon, metric, mean, std, p05 ...): the mean of the raw draws, the rest after calibration.
 
-    A group is the draws of one node and horizon, as many as there are simulations. Draws without a
-    value (a return without spend) are left out; a metric without any is null throughout.
+    Calibration keeps the order of draws, so that its quantiles are those of the raw draws' order
+    statistics, calibrated. Draws without a value (a return without spend) are left out; a metric without
+    any is null throughout. Nodes are few, as platforms and types bound them; their draws are not.
     """
-    names = ["mean", "std", *[f"p{round(100 * q):02d}" for q in quantiles]]
-
-    def run(t: pa.Table) -> pa.Table:
-        scale = t["scale"][0].as_py()
-        found = [_summary(t[m].drop_null().to_numpy(), scale, quantiles) for m in METRICS]
-        own = {c: pa.array([t[c][0].as_py()] * len(METRICS), t.schema.field(c).type) for c in (*NODE, "horizon")}
-        values = {name: pa.array([x[k] for x in found], pa.float64()) for k, name in enumerate(names)}
-        return pa.table(own | {"metric": pa.array(METRICS)} | values)
-
-    ship(nodes.sparkSession)
-    scaled = with_scale(nodes, scales).select(*NODE, "horizon", "scale", *METRICS)
-    schema = ", ".join([*(f"{c} string" for c in NODE), "horizon int", "metric string", *(f"{c} double" for c in names)])
-    return scaled.groupBy(*NODE, "horizon").applyInArrow(run, schema)
-
-
-def _summary(x: np.ndarray, scale: float, quantiles: tuple[float, ...]) -> list[float | None]:
-    """Mean of the draws; spread and quantiles of ``conformal``'s values, as one array."""
-    if not len(x):
-        return [None] * (2 + len(quantiles))
-    middle = float(np.median(x))
-    if scale == 1 or not middle > 0:
-        y = np.maximum(x, 0.0)
-    else:
-        y = middle * np.power(np.where(x > 0, x / middle, 1e-9), scale)
-    return [float(x.mean()), float(y.std()), *np.quantile(y, quantiles).tolist()]
+    keys = [*NODE, "horizon", "metric"]
+    values = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS]))
+    rows = nodes.select(*NODE, "horizon", values)
+    every = rows.select(*keys).distinct()
+    rows = rows.where("x is not null")
+    found = with_scale(order_statistics(rows, keys, (*quantiles, 0.5)), scales)
+    found = cut(found.withColumn("middle", _at((0.5,), F.col("found"), F.col("n"), lambda x: x)[0]), "order-statistics")
+    calibrated = lambda x: conformal(x, F.col("middle"), F.col("scale"))
+    spread = rows.join(F.broadcast(found.select(*keys, "middle", "scale")), keys).groupBy(*keys).agg(F.stddev_pop(calibrated(F.col("x"))).alias("std"))
+    names = [f"p{round(100 * q):02d}" for q in quantiles]
+    at = _at(quantiles, F.col("found"), F.col("n"), calibrated)
+    whole = found.select(*keys, "mean", *[c.alias(name) for c, name in zip(at, names, strict=True)]).join(F.broadcast(spread), keys)
+    return every.join(F.broadcast(whole), keys, "left").select(*keys, "mean", "std", *names)
 
 
 def as_campaigns(nodes: DataFrame) -> DataFrame:

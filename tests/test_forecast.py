@@ -307,6 +307,35 @@ def test_robust_fit_by_hand(spark):
     assert fits["flat"].beta == pytest.approx(min(max(flat * np.log(4), 0.15), 1.05)) and fits["flat"].r2 == 0
 
 
+def test_order_statistics_are_exact(spark):
+    """Heavy tails, ties, one value, two values; any number of ranges."""
+    rng = np.random.default_rng(8)
+    groups = {"tail": np.exp(rng.normal(0, 4, 3001)), "ties": rng.integers(0, 4, 1000).astype(float), "one": np.array([2.5]), "two": np.array([-1.0, 7.0]), "same": np.full(50, 3.0)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k string, x double").repartition(5)
+    for bins in (1, 7, 256):
+        found = {r.k: r for r in hierarchy.order_statistics(rows, ["k"], (0.05, 0.5, 0.9), bins).collect()}
+        for k, v in groups.items():
+            v = np.sort(v)
+            assert found[k].n == len(v) and found[k]["mean"] == pytest.approx(v.mean())
+            ranks = {min(int(q * (len(v) - 1)) + d, len(v) - 1) for q in (0.05, 0.5, 0.9) for d in (0, 1)}
+            assert found[k].found == {r: v[r] for r in ranks}
+
+
+def test_summary_of_draws(spark):
+    rng = np.random.default_rng(9)
+    draws = np.exp(rng.normal(0, 1, 500)) * (rng.random(500) > 0.1)
+    rows = [("r", "aggregate", "blended", "all", "all", "all", 30, k, float(x), 0.0, None) for k, x in enumerate(draws)]
+    nodes = spark.createDataFrame(rows, "run_id string, level string, channel string, campaign_type string, campaign_id string, campaign_name string, horizon int, sim int, revenue double, spend double, roas double")
+    scales = spark.createDataFrame([("aggregate", 30, 1.5)], "level string, horizon int, scale double")
+    found = {r.metric: r for r in hierarchy.summarise(nodes, scales).collect()}
+    middle = np.median(draws)
+    y = middle * np.where(draws > 0, draws / middle, 1e-9) ** 1.5
+    assert [found["revenue"][f"p{round(100 * q):02d}"] for q in config.QUANTILES] == pytest.approx(np.quantile(y, config.QUANTILES).tolist())
+    assert found["revenue"]["mean"] == pytest.approx(draws.mean()) and found["revenue"]["std"] == pytest.approx(y.std())
+    assert found["spend"].p95 == 0 and found["roas"].p50 is None and found["roas"]["mean"] is None
+    assert "Arrow" not in _exchanges(hierarchy.summarise(nodes, scales))[1]
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
