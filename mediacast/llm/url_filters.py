@@ -2,8 +2,8 @@
 
 A url is cut into tokens (host labels, path segments, query keys). FP-growth finds the token
 combinations that are frequent among labelled urls; those that imply the bad label with enough
-confidence become rules. Both kinds of rule are looked up through an inverted index, a map from a
-host or an anchor token to the few rules filed there, so a url is judged by its own tokens alone.
+confidence become rules. Both kinds of rule are looked up through an inverted index: a map from a host to
+the caller's few listed rules, and a table of mined rules by an anchor token that urls' tokens are joined with.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ascii_lower, cut, free_name
 
@@ -37,28 +38,60 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(part("h:", F.split(host, r"\.")), part("p:", F.split(path, "/")), part("q:", keys)))
 
 
-def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT) -> DataFrame:
-    """Rules (items, confidence, support) of ``labelled`` (items array<string>, bad boolean).
+def classes(labelled: DataFrame, least: float) -> DataFrame:
+    """(token, rep): the tokens of at least ``least`` rows of ``labelled`` (row, items); those that occur in exactly the same rows share ``rep``, the least of them.
 
-    Every labelled url counts. A frequent combination holds for ``min_support`` of them, and a url
-    of L tokens has 2^L combinations at most, so there are at most 2^L / min_support rules: a bound
-    that doesn't grow with the table. A rule is dropped if one with fewer items is as confident.
+    Rows are compared by 128 bits summed over them and their number. A row of L tokens has L at most, so
+    there are L * rows / ``least`` of them on average: a bound that doesn't grow with the table.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"m{k}") for k in (1, 2)]
+    found = labelled.select("row", F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *marks)
+    found = found.where(F.col("n") >= least)
+    return found.select("token", F.min("token").over(Window.partitionBy("n", "m1", "m2")).alias("rep"))
+
+
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+    """Rules (items, confidence, support) of ``labelled`` (items array<string>, bad boolean), and the ``classes`` whose representatives they are of.
+
+    Every labelled url counts. Tokens that always occur together are one item: a rule with two of
+    them is no surer than with one, so a url that is repeated, however long, adds one item. A frequent
+    combination holds for ``min_support`` of the urls, and with C such items in a url there are at most
+    2^C / min_support of them, whatever the table's size. A rule is dropped if one with fewer items is as confident.
     """
     spark = labelled.sparkSession
     n = labelled.count()
     empty = spark.createDataFrame([], "items array<string>, confidence double, support double")
     if n < min_count:
-        return empty
-    baskets = labelled.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
+        return empty, spark.createDataFrame([], "token string, rep string")
+    share = max(min_support, min_count / n)
+    rows = labelled.withColumn("row", F.monotonically_increasing_id())
+    same = cut(classes(rows, share * n), "url-classes")
+    folded = rows.select("row", "bad", F.explode("items").alias("token")).join(F.broadcast(same), "token").groupBy("row", "bad").agg(F.collect_set("rep").alias("items"))
+    # Urls without a frequent token still count.
+    rest = rows.join(folded.select("row"), "row", "left_anti").select("bad", F.array().cast("array<string>").alias("items"))
+    folded = cut(folded.select("bad", "items").union(rest), "url-folded")
+    baskets = folded.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1) == BAD)
     rules = cut(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules")
+    # A rule is compared with those that begin with one of its items.
     less = rules.select(F.col("items").alias("fewer"), F.col("confidence").alias("as_sure"), F.element_at("items", 1).alias("t"))
     wide = rules.select("*", F.explode("items").alias("t"))
     worse = wide.join(less, "t").where(
         (F.size("fewer") < F.size("items")) & (F.size(F.array_except("fewer", "items")) == 0) & (F.col("as_sure") >= F.col("confidence"))
     )
-    return rules.join(worse.select("items").distinct(), "items", "left_anti")
+    kept = cut(rules.join(worse.select("items").distinct(), "items", "left_anti"), "url-kept")
+    used = kept.select(F.explode("items").alias("rep")).distinct()
+    return kept, same.join(used, "rep", "left_semi").select("token", "rep")
+
+
+def _held(out: DataFrame, t: str, rules: DataFrame, same: DataFrame) -> DataFrame:
+    """(t, best): for each distinct array of tokens that holds all items of a rule, the surest such rule; the index is joined by anchor."""
+    anchored = rules.withColumn("anchor", F.element_at("items", 1))
+    own = out.select(F.col(t).alias("t")).distinct()
+    named = own.select("t", F.explode("t").alias("token")).join(same, "token").groupBy("t").agg(F.collect_set("rep").alias("reps"))
+    met = named.select("t", "reps", F.explode("reps").alias("anchor")).join(anchored, "anchor").where(F.size(F.array_except("items", "reps")) == 0)
+    return met.groupBy("t").agg(F.max(F.struct("confidence", "items")).alias("best"))
 
 
 def _rule_index(spark: SparkSession, listed: list[tuple[str, str]]) -> Column:
@@ -88,18 +121,18 @@ def judge(pages: DataFrame, labels: DataFrame, listed: list[tuple[str, str]], id
         F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False)))).alias("bad")
     )
     marked = out.select(id_col, F.col(t).alias("items")).join(bad, id_col).select("items", "bad")
-    rules = mine(cut(marked, "url-baskets"), **limits)
-    filed = rules.groupBy(F.element_at("items", 1).alias("anchor")).agg(F.collect_list(F.struct("confidence", "items")).alias("rules"))
-    mined_index = filed.agg(F.map_from_entries(F.collect_list(F.struct("anchor", "rules"))).alias("m"))
-    out = out.withColumns({li: _rule_index(spark, listed), mi: cut(mined_index, "url-index").scalar()})
+    rules, same = mine(cut(marked, "url-baskets"), **limits)
+    out = out.withColumn(li, _rule_index(spark, listed))
+    best_rule = _held(out, t, rules, same).select(F.col("t").alias(t), F.col("best").alias(mi))
+    out = out.join(cut(best_rule, "url-held"), t, "left")
 
     labels_of = F.split(F.col("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels_of)), lambda i: F.array_join(F.slice(labels_of, i, F.size(labels_of)), "."))
     known = lambda m: lambda k: F.coalesce(F.try_element_at(F.col(m), k), F.array())
     fits = F.filter(F.flatten(F.transform(suffixes, known(li))), lambda r: F.startswith(F.col("path"), r["path"]))
     best = F.array_min(F.transform(fits, lambda r: F.struct((-F.length(r["rule"])).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    held = F.filter(F.flatten(F.transform(F.col(t), known(mi))), lambda r: F.size(F.array_except(r["items"], F.col(t))) == 0)
-    out = out.withColumns({li: best, mi: F.array_max(held)})
+    out = out.withColumn(li, best)
     mined = F.when(F.col(f"{li}.rule").isNull(), F.col(f"{mi}.items"))
     verdict = F.coalesce(F.col(f"{li}.verdict"), F.when(F.col(f"{mi}.items").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return out.withColumns({"rule": F.col(f"{li}.rule"), "verdict": verdict, "mined": mined}).drop(t, li, mi)
+    out = out.withColumns({"rule": F.col(f"{li}.rule"), "verdict": verdict, "mined": mined})
+    return out.select(*pages.columns, *[c for c in ("host", "path", "rule", "verdict", "mined") if c not in pages.columns])

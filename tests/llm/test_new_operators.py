@@ -1,6 +1,7 @@
 """Lexical search, periodic runs and nearest neighbours against brute force, and their edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediacast.llm import descent, lexical, periodic_runs, queries
+from mediacast.llm import descent, lexical, periodic_runs, queries, url_filters
 
 DOCS = "doc_id long, text string, lang string, score string, rank string, key string"
 ITEMS = "item_id long, text string, score string"
@@ -178,3 +179,54 @@ def test_descent_edges(spark):
     assert by[0] == [None, *range(1, 20)] and by[20] == [None, *range(19)]
     assert by[200] == [201]
     assert by[100] == [None, *range(19)]
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def url_tokens(url):
+    rest = url.partition("://")[2]
+    host, _, path = rest.partition("/")
+    return frozenset(["h:" + x for x in host.lower().split(".") if x] + ["p:" + x for x in path.split("/") if x])
+
+
+def mined_blocks(urls, bad, labelled, confidence, least):
+    """Every combination of tokens, its support and confidence; what the sure ones block."""
+    sets = [url_tokens(u) for u in urls]
+    counts, bads = Counter(), Counter()
+    for i in labelled:
+        for k in range(1, len(sets[i]) + 1):
+            for c in itertools.combinations(sorted(sets[i]), k):
+                counts[c] += 1
+                bads[c] += bad[i]
+    sure = [frozenset(c) for c, n in counts.items() if bads[c] >= least and bads[c] / n >= confidence]
+    return {i for i, s in enumerate(sets) if any(c <= s for c in sure)}
+
+
+def test_mined_rules_against_all_combinations(spark):
+    rng = random.Random(12)
+    urls, bad = [], []
+    for i in range(400):
+        host, path = rng.choice(["a.org", "b.org", "c.net"]), [rng.choice("uvwxyz") for _ in range(rng.randint(0, 4))]
+        if rng.random() < 0.3:
+            path += ["win", "now", rng.choice(["big", "small"])]
+        urls.append(f"http://{host}/{'/'.join(path)}")
+        bad.append(int(("win" in path and rng.random() < 0.9) or (host == "c.net" and "u" in path and rng.random() < 0.95)))
+    urls += ["http://z.org/now", "http://z.org/win/q", "http://c.net/u/q", "http://a.org/u"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - bad[i], 0) for i in range(300)], LABELS)
+    for confidence, count in ((0.8, 10), (0.95, 5)):
+        got = url_filters.judge(pages, labels, [], min_confidence=confidence, min_count=count, min_support=0.0).collect()
+        want = mined_blocks(urls, bad, range(300), confidence, count)
+        assert {r.page_id for r in got if r.verdict == "block"} == want and want
+
+
+@pytest.mark.parametrize("segments", [16, 40])
+def test_a_long_url_that_is_repeated(spark, segments):
+    """All tokens that only this url has are one item, so its length doesn't matter."""
+    long = "http://www.bad.org/" + "/".join(f"s{k}" for k in range(segments))
+    urls = [long] * 20 + [f"http://www.good.org/{i % 7}" for i in range(80)] + ["http://x.net/s3", "http://x.net/t"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 20), 0) for i in range(100)], LABELS)
+    got = {r.page_id: r.verdict for r in url_filters.judge(pages, labels, []).collect()}
+    assert all((got[i] == "block") == (i < 20 or i == 100) for i in range(102))
