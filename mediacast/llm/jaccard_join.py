@@ -126,12 +126,12 @@ def _exchange(docs: DataFrame, n: int, shards: int, bits: int, share: float, rep
             if share < 1:
                 at = np.flatnonzero(mixed >> np.uint64(32) < below)
                 flat, doc, mixed = flat[at], doc[at], mixed[at]
-            # Forty bits tell a text from its copies.
-            short = np.array([int.from_bytes(m[:5], "little") for m in marks], np.uint64)
+            # Half of a mark, 64 bits, tells a text from its copies.
+            short = np.array([int.from_bytes(m[:8], "little") for m in marks], np.uint64)
             shard = (mixed % np.uint64(shards)).astype(np.int64)
             for k, (t, d) in _cut_up(shard, shards, flat, doc):
                 gaps, of = np.diff(t, prepend=np.uint64(0)), np.unique(d)
-                out.append((k, block, False, pack(pickle.dumps((_packed(gaps), _packed(d), _packed(short[of])[: 5 * len(of)], _packed(of))))))
+                out.append((k, block, False, pack(pickle.dumps((_packed(gaps), _packed(d), _packed(short[of]), _packed(of))))))
             return _table(out)
 
         for batch in batches:
@@ -153,7 +153,7 @@ def _exchange(docs: DataFrame, n: int, shards: int, bits: int, share: float, rep
                 continue
             gaps, doc, short, of = pickle.loads(zstandard.ZstdDecompressor().decompress(row["data"]))
             doc, of = _unpacked(doc, np.uint32), _unpacked(of, np.uint32)
-            short = _unpacked(short + bytes(3 * len(of)), np.uint64)
+            short = _unpacked(short, np.uint64)
             held.append((row["block"], np.cumsum(_unpacked(gaps, np.uint64), dtype=np.uint64), doc, short[np.searchsorted(of, doc)]))
         if held:
             token = np.concatenate([x[1] for x in held])
