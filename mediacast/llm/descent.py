@@ -39,7 +39,9 @@ SETTLED = 0.03
 #: Nodes of a block in which the first lists are searched whole.
 BLOCK = 512
 #: Nodes that a task's group works on together.
-GROUP = 2048
+GROUP = 1024
+#: Searches that a task's group works on together; each meets some thousand nodes in a step.
+SEARCHES = 64
 #: Best nodes that a query opens, and how many at a time.
 BEAM = 144
 OPENED = 48
@@ -337,7 +339,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     entries = entries.withColumn("place", F.row_number().over(spread)).where(F.col("place") <= ENTRIES).groupBy("dim").agg(F.collect_list("node").alias("entries"))
     started = started.join(entries, "dim").select("q", "v", F.when(F.col("node").isNotNull(), F.array("node")).otherwise(F.col("entries")).alias("first"))
     n = distinct.count()
-    groups = max(1, -(-n // 512))
+    groups = max(1, -(-n // SEARCHES))
     # The query's added component is zero, so that all nodes' products with it are theirs with its vector, scaled.
     none = "cast(array() as array<{}>) as {}"
     state = cut(
