@@ -225,15 +225,12 @@ def _met(state: DataFrame, groups: int, most: int, sample: int) -> DataFrame:
             near &= (real[:, :, None] & real[:, None, :]) & (fresh[place][:, :, None] | fresh[place][:, None, :])
             near &= ~np.eye(width, dtype=bool)[None]
             g, i, j = np.nonzero(near)
-            out.append((node[place[g, i]], node[place[g, j]], s[g, i, j]))
-        owner, other, sims = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        at = _once(owner, other, -sims)
-        owner, other, sims = owner[at], other[at], sims[at]
-        at = _ranked(owner, other, sims, most)
-        owner, other, sims = owner[at], other[at], sims[at]
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(owner)])
-        return pa.table({"node": owner[starts], "nbrs": _lists(sizes, other, pa.int64()), "sims": _lists(sizes, sims, pa.float32())})
+            # A row for each node of a meeting that met nearer ones: so many rows a node at most, whatever the number of groups.
+            first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])]) if len(g) else g
+            out.append((node[place[g[first], i[first]]], np.diff(np.r_[first, len(g)]), node[place[g, j]], s[g, i, j]))
+        none = np.zeros(0, np.int64)
+        owner, sizes, other, sims = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (none, none, none, none.astype(np.float32))
+        return pa.table({"node": owner, "nbrs": _lists(sizes, other, pa.int64()), "sims": _lists(sizes, sims, pa.float32())})
 
     grouped = members.groupBy(F.pmod(F.xxhash64(F.lit("meet"), "at"), F.lit(groups)).alias("g"))
     return grouped.applyInArrow(run, "node long, nbrs array<long>, sims array<float>")
