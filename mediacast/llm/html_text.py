@@ -1,12 +1,15 @@
 """HTML extraction by tag-path ratios (operator 7).
 
-Every text node lies under a root-to-leaf path of tags. Text of a page's main article shares few
-paths, each with much text and punctuation a node; menus and notices share paths with little. For
-each path the text length and the punctuation a node are summed over the page, smoothed with the
-sums of the nearest enclosing section, and fused with what the path says of itself: a factor for
-regions whose tag or class names them as menus, adverts, comments and the like, and one for what the
-page marks as its article. The product is compared with the mean ratio of all the page's text; no
-text is left out before. A block of nothing but links has no bonus and is smoothed with such blocks alone.
+Every text node lies under a root-to-leaf path of tags; a region's step in a path has its first class
+word too, whatever that says. Text of a page's main article shares few paths, each with much text and
+punctuation a node; menus and notices share paths with little. For each path the text length and the
+punctuation a node are summed over the page and smoothed with the sums of its innermost region. That is
+fused with the region's weight: its share of the text of the page's heaviest region, where a region
+inside another has at least half of the outer one's weight, and all of it within one marked article.
+What names and marks say is a bounded prior, a factor on text and score: 3/100 where a tag, role or class
+names a menu, advert, comments and the like, 10 inside a marked article. A path stays if its score is
+a quarter of the mean over the page's text nodes; no text is left out before. A block of nothing but
+links has no bonus and is summed with such blocks alone.
 """
 
 from __future__ import annotations
@@ -40,10 +43,13 @@ SKIP_WORDS = frozenset(
     " respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 SECTIONS = frozenset("article main section div td body blockquote".split())
-#: A path stays if its smoothed score reaches this share of the page's mean.
+REGIONS = SECTIONS | frozenset("nav header footer aside form".split())
+#: A path stays if its fused score reaches this share of the page's mean.
 SHARE = 0.25
-#: Factors on the score of a path inside a marked article, and inside a region that is named as boilerplate.
-MARK, NAMED = 4.0, 0.001
+#: The prior's factors: inside a marked article, and inside a region that is named as boilerplate.
+MARK, NAMED = 10.0, 0.03
+#: Weight of a region, of that of the region around it.
+INNER = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"""[.,;:!?。，；！？…]""")
 TOKEN = re.compile(
@@ -53,6 +59,7 @@ TOKEN = re.compile(
 RAW_END = {tag: re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+CLASS = re.compile(r"""\bclass\s*=\s*["']?\s*([^\s"'>\d]+)""", re.I)
 
 
 def _skipped(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -77,14 +84,14 @@ def _skipped(tag: str, attributes: str) -> tuple[bool, bool]:
 
 def text_nodes(html: str) -> Iterator[tuple[str, tuple[str, ...], int, int]]:
     """(text, path, block number, mark) of all text in page order; the mark is 1 inside a marked article, -1 inside named boilerplate."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, skipped, in the article
+    stack: list[tuple[str, bool, bool, str]] = []  # tag, skipped, in the article, step of the path
     block, at, size = 0, 0, len(html)
     while at < size:
         found = TOKEN.search(html, at)
         end = found.start() if found else size
         if end > at:
-            above = stack[-1] if stack else ("", False, False)
-            yield html[at:end], tuple(x[0] for x in stack), block, -1 if above[1] else int(above[2])
+            above = stack[-1] if stack else ("", False, False, "")
+            yield html[at:end], tuple(x[3] for x in stack), block, -1 if above[1] else int(above[2])
         if not found:
             return
         at = found.end()
@@ -124,45 +131,70 @@ def text_nodes(html: str) -> Iterator[tuple[str, tuple[str, ...], int, int]]:
         if tag in VOID or attributes.endswith("/") and tag not in ENDS_P:
             continue
         skip, body = _skipped(tag, attributes)
-        above = stack[-1] if stack else ("", False, False)
-        stack.append((tag, above[1] or skip, above[2] or body))
+        above = stack[-1] if stack else ("", False, False, "")
+        named = CLASS.search(attributes) if tag in REGIONS else None
+        stack.append((tag, above[1] or skip, above[2] or body, f"{tag}.{named[1].lower()}" if named else tag))
 
 
-def extract(html: str | None, share: float = SHARE, named: float = NAMED) -> str:
-    """The main text: blocks in page order, white space within and between them made one space."""
-    nodes = [(unescape(t), path, block, mark) for t, path, block, mark in text_nodes(html or "")]
-    said = {block for t, path, block, _ in nodes if not t.isspace() and ("a" not in path or HEADINGS.intersection(path))}
-    nodes = [(t, (path, mark, block not in said), block) for t, path, block, mark in nodes]
-    # Keys: a path or section, its mark, whether its blocks are links alone.
-    sums: dict[tuple[tuple[str, ...], int, bool], list[int]] = {}
-    around: dict[tuple[tuple[str, ...], int, bool], list[int]] = {}
-    section_of: dict[tuple[tuple[str, ...], int, bool], tuple[tuple[str, ...], int, bool]] = {}
-    for t, key, _ in nodes:
+#: What sums are kept for: a path or region, its mark, whether its blocks are links alone.
+Key = tuple[tuple[str, ...], int, bool]
+
+
+def path_scores(texts: list[tuple[str, Key]], mark: float = MARK, named: float = NAMED) -> tuple[dict[Key, float], float]:
+    """The fused score of each path that has text, and the mean score of the text nodes."""
+    sums: dict[Key, list[int]] = {}
+    around: dict[Key, list[int]] = {}
+    region_of: dict[Key, Key] = {}
+    for t, key in texts:
         n = len(t.strip())
         if not n:
             continue
+        if key not in region_of:
+            region_of[key] = (_region(key[0]), *key[1:])
         marks = len(PUNCTUATION.findall(t))
-        if key not in section_of:
-            path = key[0]
-            k = next((k for k in range(len(path) - 1, -1, -1) if path[k] in SECTIONS), -1)
-            section_of[key] = (path[: k + 1], *key[1:])
-        for held, at in ((sums, key), (around, section_of[key])):
+        for held, at in ((sums, key), (around, region_of[key])):
             x = held.setdefault(at, [0, 0, 0])
             x[0] += n
             x[1] += marks
             x[2] += 1
     if not sums:
-        return ""
+        return {}, 0.0
 
     def ratio(x: list[int]) -> float:
         return (x[0] / x[2]) * (1 + x[1] / x[2])
 
-    def factor(key: tuple[tuple[str, ...], int, bool]) -> float:
-        return named if key[1] < 0 else MARK if key[1] > 0 and not key[2] else 1.0
+    def prior(key: Key) -> float:
+        return named if key[1] < 0 else mark if key[1] > 0 and not key[2] else 1.0
+
+    weights: dict[Key, float] = {}
+
+    def weight(region: Key) -> float:
+        if region not in weights:
+            own = around[region][0] * prior(region) if region in around else 0.0
+            if region[0]:
+                outer = _region(region[0][:-1])
+                own = max(own, *(weight((outer, m, region[2])) * (1.0 if m == region[1] > 0 else INNER) for m in {0, region[1]}))
+            weights[region] = own
+        return weights[region]
 
-    scores = {p: (ratio(x) + ratio(around[section_of[p]])) / 2 for p, x in sums.items()}
+    heaviest = max(weight(region) for region in around)
+    scores = {p: (ratio(x) + ratio(around[region_of[p]])) / 2 * weight(region_of[p]) / heaviest for p, x in sums.items()}
     mean = sum(scores[p] * x[2] for p, x in sums.items()) / sum(x[2] for x in sums.values())
-    stays = {key for key, score in scores.items() if score * factor(key) >= share * mean}
+    return {p: score * prior(p) for p, score in scores.items()}, mean
+
+
+def _region(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of the innermost region."""
+    return path[: next((k for k in range(len(path), 0, -1) if path[k - 1].partition(".")[0] in REGIONS), 0)]
+
+
+def extract(html: str | None, share: float = SHARE, mark: float = MARK, named: float = NAMED) -> str:
+    """The main text: blocks in page order, white space within and between them made one space."""
+    nodes = [(unescape(t), path, block, kind) for t, path, block, kind in text_nodes(html or "")]
+    said = {block for t, path, block, _ in nodes if not t.isspace() and ("a" not in path or HEADINGS.intersection(path))}
+    nodes = [(t, (path, kind, block not in said), block) for t, path, block, kind in nodes]
+    scores, mean = path_scores([(t, key) for t, key, _ in nodes], mark, named)
+    stays = {key for key, score in scores.items() if score >= share * mean}
     # White space alone goes with the paths that it stands between.
     blocks: dict[int, list[str]] = {}
     for t, key, block in nodes:

@@ -250,6 +250,90 @@ def test_html_ratios_decide_without_names(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def brute_html(page):
+    """Path sums, smoothing, weights and threshold as the docstring has them, from another parser; for pages with all end tags and no links."""
+    from html.parser import HTMLParser
+
+    regions = {"article", "main", "section", "div", "td", "body", "blockquote", "nav", "header", "footer", "aside", "form"}
+    said, stack = [], []
+
+    class Parser(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            first = (dict(attrs).get("class") or "").split()[:1]
+            outer = stack[-1][2] if stack else 0
+            names = {"nav", "footer", "aside"}
+            kind = -1 if outer < 0 or tag in names or first in (["ad"], ["comments"]) else 1 if outer > 0 or tag == "article" else 0
+            stack.append((tag, tag + "." + first[0] if first and tag in regions else tag, kind))
+
+        def handle_endtag(self, tag):
+            assert stack.pop()[0] == tag
+
+        def handle_data(self, data):
+            if data.strip():
+                said.append((data, tuple(x[1] for x in stack), stack[-1][2]))
+
+    Parser().feed(page)
+    inner = lambda path: next((path[:k] for k in range(len(path), 0, -1) if path[k - 1].split(".")[0] in regions), ())
+    prior = {-1: 0.03, 0: 1.0, 1: 10.0}
+
+    def total(match):
+        texts = [t for t, path, kind in said if match(path, kind)]
+        return sum(map(len, map(str.strip, texts))), sum(t.count(".") + t.count(",") for t in texts), len(texts)
+
+    def ratio(match):
+        n, marks, count = total(match)
+        return n / count * (1 + marks / count)
+
+    def weight(region, kind):
+        own = total(lambda p, m: inner(p) == region and m == kind)[0] * prior[kind]
+        for m in {0, kind} if region else ():
+            own = max(own, weight(inner(region[:-1]), m) * (1 if m == kind == 1 else 0.5))
+        return own
+
+    heaviest = max(weight(inner(p), m) for _, p, m in said)
+    plain = [
+        (ratio(lambda p, m, q=q, k=k: (p, m) == (q, k)) + ratio(lambda p, m, q=q, k=k: (inner(p), m) == (inner(q), k))) / 2 * weight(inner(q), k) / heaviest
+        for _, q, k in said
+    ]
+    mean = sum(plain) / len(plain)
+    return " ".join(t.strip() for (t, _, k), x in zip(said, plain, strict=True) if x * prior[k] >= 0.25 * mean)
+
+
+def test_html_against_brute_force():
+    random.seed(7)
+    some = lambda most: " ".join(random.choices(WORDS, k=random.randint(1, most))) + random.choice([".", ", so.", ""])
+    parts = ["div", "div class=ad", "div class=comments", "div class=story", "section", "article", "nav", "footer", "aside", "blockquote", "ul"]
+
+    def grown(depth):
+        out = []
+        for _ in range(random.randint(1, 4)):
+            if depth and random.random() < 0.5:
+                part = random.choice(parts)
+                out.append(f"<{part}>{grown(depth - 1)}</{part.split()[0]}>")
+            else:
+                out.append(f"<p>{some(random.choice([2, 10, 60]))}</p>")
+        return "".join(out)
+
+    differ = 0
+    for _ in range(300):
+        page = f"<body>{grown(3)}</body>"
+        assert html_text.extract(page) == brute_html(page), page
+        differ += html_text.extract(page) != html_text.extract(page, share=0.0)
+    assert differ > 200
+
+
+def test_html_weights_of_regions():
+    """A footer as rich as the article's sentences goes by its region's small share of the text, whatever it is called; a quotation inside the article stays."""
+    say = "One sentence, then another; and so on. "
+    page = f"<body><div class=text><p>{say * 3}</p><p>{say * 4}</p><p>{say * 3}</p></div><div class=last>{say * 2}</div></body>"
+    assert html_text.extract(page) == " ".join((say * 10).split())
+    page = f"<body><article><p>{say * 9}</p><blockquote><p>{say}</p></blockquote><table><tr><td>{say}</table></article><div>{say}</div></body>"
+    assert html_text.extract(page) == " ".join((say * 11).split())
+    # The prior is bounded: a page that is nearly all in a region with a telling name keeps it.
+    page = f"<body><div>Up</div><div class=widget><p>{say * 30}</p><p>{say * 30}</p></div></body>"
+    assert html_text.extract(page) == " ".join((say * 60).split())
+
+
 def test_suffix_tree(spark, texts):
     rows = {r.doc_id: r for r in suffix_tree.score(make(spark, texts), block_bytes=4000).collect()}
     words = {i: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), b"\n"] for i, t in enumerate(texts)}
