@@ -3,6 +3,7 @@
     python -m mediacast.cli run DATA MODEL OUTPUT.csv
 
 ``MEDIACAST_LOG`` sets the level of the log on standard error, ``MEDIACAST_SIMS`` the number of simulations.
+Both may stand in a file ``.env`` of the working folder; what the environment has goes before it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,21 @@ from .sources import exports
 log = logging.getLogger("mediacast")
 
 
+def read_env(path: str = ".env") -> None:
+    """Adds the ``NAME=value`` lines of a file to the environment where a name is not set; a file that cannot be read adds none."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            lines = f.read().splitlines()
+    except (OSError, UnicodeDecodeError):
+        return
+    for line in lines:
+        name, given, value = line.strip().removeprefix("export ").partition("=")
+        name, value = name.strip(), value.strip()
+        if given and name and not name.startswith("#"):
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "'\""
+            os.environ.setdefault(name, value[1:-1] if quoted else value)
+
+
 def settings() -> config.Forecast:
     return replace(config.Forecast(), n_sims=int(os.environ.get("MEDIACAST_SIMS", config.N_SIMS)))
 
@@ -86,6 +102,7 @@ def main(argv: list[str] | None = None) -> int:
         for x in names:
             command.add_argument(x)
     args = parser.parse_args(argv)
+    read_env()
     logging.basicConfig(level=os.environ.get("MEDIACAST_LOG", "INFO").upper(), format="%(asctime)s %(levelname)s %(name)s: %(message)s")
     spark = SparkSession.builder.appName("mediacast").getOrCreate()
     body, names = COMMANDS[args.command]

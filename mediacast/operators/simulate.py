@@ -174,7 +174,7 @@ def paths(row: dict, cfg: config.Forecast) -> tuple[np.ndarray, np.ndarray, np.n
         spend = np.array(row["plan"])[None, :] * np.exp(normals(cfg.seed, "execution", names, sims[:, None], days[None, :]) * 0.03)
     spend = np.maximum(spend, 0.0)
     ratio = spend / base
-    response = np.where(ratio > 0, np.power(np.where(ratio > 0, ratio, 1.0), row["beta"]), 1.0)
+    response = np.where(ratio > 0, np.power(np.where(ratio > 0, ratio, 1.0), row["beta"]), 0.0 if cfg.zero_spend == "strict" else 1.0)
     revenue = drawn("revenue", sims) * block("revenue") * response * np.exp(walks(cfg, row["draw_id"], sims, len(days)))
     return sims, np.maximum(revenue, 0.0), spend
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import config
 from .oracles import _EVENT, _FOURTH, _MULT, AHEAD, BASE, CAMP, ELASTIC, META, SEASONED, SEG
+from .operators.reports import EFFECTS
 from .operators.simulate import GOLDEN, MIX_A, MIX_B, SIGMA
 
 #: A return that some channels of the tables are below.
@@ -123,7 +124,7 @@ def _rounded(columns: list[str], places: int = 2) -> str:
 MODELS = f"{BASE}{SEG}{SEASONED}{AHEAD}{ELASTIC}"
 
 
-def _predictions(n_sims: int, scales: dict) -> str:
+def _predictions(n_sims: int, scales: dict, values: str = _rounded(_VALUES)) -> str:
     shared = ", ".join(f"CASE WHEN metric = 'roas' AND ws <= 0 AND wr <= 0 THEN 0.0 ELSE {v} * CASE metric WHEN 'revenue' THEN wr WHEN 'spend' THEN ws ELSE CASE WHEN ws > 0 THEN wr / ws END END END AS {v}" for v in _VALUES)
     whole = ", ".join(_VALUES)
     return f"""{MODELS}{CAMP}{META}{paths(n_sims)}{periods()}{nodes()}{summary(scales)},
@@ -133,7 +134,15 @@ def _predictions(n_sims: int, scales: dict) -> str:
         whole AS (SELECT level, channel, campaign_type, 'all' AS campaign_id, 'all' AS campaign_name, horizon, metric, {whole} FROM summary WHERE level <> 'campaign'
             UNION ALL SELECT level, channel, campaign_type, campaign_id, campaign_name, horizon, metric, {shared} FROM summary JOIN shares USING (channel, campaign_type) WHERE level = 'campaign')
         SELECT origin::VARCHAR AS forecast_origin, horizon::INT AS horizon_days, (origin + 1)::VARCHAR AS period_start, (origin + horizon::INT)::VARCHAR AS period_end, level, channel, campaign_type, campaign_id,
-            campaign_name, metric, CASE WHEN metric = 'roas' THEN 'ratio' ELSE 'USD' END AS currency, {_rounded(_VALUES)} FROM whole, edge"""
+            campaign_name, metric, CASE WHEN metric = 'roas' THEN 'ratio' ELSE 'USD' END AS currency, {values} FROM whole, edge"""
+
+
+def _largest(n_sims: int, scales: dict, level: str, k: int) -> str:
+    names = "channel, campaign_type, campaign_id, campaign_name"
+    of = ", ".join(f"max({c}) FILTER (WHERE metric = 'revenue') AS {c}" for c in ("p10", "p50", "p90"))
+    return f"""(SELECT *, row_number() OVER (ORDER BY p50 DESC NULLS LAST, {names})::INT AS place
+        FROM (SELECT {names}, {of}, max(p50) FILTER (WHERE metric = 'roas') AS roas FROM ({_predictions(n_sims, scales, ", ".join(_VALUES))})
+            WHERE level = '{level}' AND channel <> 'blended' AND horizon_days = 30 GROUP BY ALL) QUALIFY place <= {k})"""
 
 
 def _deltas(n_sims: int, horizon: int) -> str:
@@ -162,8 +171,11 @@ def _channels(n_sims: int) -> str:
             FROM found LEFT JOIN latest ON latest.channel = found.channel AND latest.horizon = 30)"""
 
 
-def _outlook(n_sims: int) -> str:
+def _outlook(n_sims: int, columns: str = "") -> str:
+    """The outlook, or ``columns`` of its unrounded rows."""
     labels = ", ".join(f"max(CASE WHEN e = '{e}' THEN '{label}' END)" for e, _, label in config.EVENTS)
+    told = f"""horizon::INT AS horizon, {_rounded(["p10", "p50", "p90", "roas", "spend", "trailing_revenue", "trailing_roas"])},
+            {_rounded(["total", "season", "trend", "interval_width", "spend_and_mix"], 5)}, events"""
     change = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} - 1 END"
     return f"""{MODELS}{paths(n_sims)}{periods()}{nodes()}{_TRAILING},
         total AS (SELECT horizon, quantile_cont(revenue, 0.1) AS p10, quantile_cont(revenue, 0.5) AS p50, quantile_cont(revenue, 0.9) AS p90, quantile_cont(roas, 0.5) AS roas, quantile_cont(spend, 0.5) AS spend
@@ -180,8 +192,15 @@ def _outlook(n_sims: int) -> str:
         events AS (SELECT horizon, concat_ws(', ', {labels}) AS events FROM named GROUP BY 1),
         whole AS (SELECT horizon, p10, p50, p90, roas, spend, trailing_revenue, trailing_roas, {change("p50", "trailing_revenue")} AS total, {change("next", "last")} AS season, trend, {change("p90", "p10")} AS interval_width, events
             FROM total JOIN drivers USING (horizon) JOIN events USING (horizon) LEFT JOIN latest USING (horizon) WHERE channel = 'blended')
-        SELECT horizon::INT AS horizon, {_rounded(["p10", "p50", "p90", "roas", "spend", "trailing_revenue", "trailing_roas"])},
-            {_rounded(["total", "season", "trend", "interval_width"], 5)}, round(exp(ln(1 + total) - ln(1 + season) - ln(1 + trend)) - 1, 5) AS spend_and_mix, events FROM whole"""
+        SELECT {columns or told} FROM (SELECT *, exp(ln(1 + total) - ln(1 + season) - ln(1 + trend)) - 1 AS spend_and_mix FROM whole)"""
+
+
+def _waterfall(n_sims: int) -> str:
+    """Each step is the running sum less the one before."""
+    upto = [f"100 * ({' + '.join(f'coalesce({e}, 0)' for e in EFFECTS[:k])})" for k in range(1, len(EFFECTS) + 1)]
+    steps = "horizon, " + ", ".join(f"{x} AS r{k}" for k, x in enumerate(upto, 1))
+    parts = " UNION ALL ".join(f"SELECT horizon, {k} AS place, '{e}' AS effect, r{k} - {f'r{k - 1}' if k > 1 else 0} AS change, r{k} AS reached FROM found" for k, e in enumerate(EFFECTS, 1))
+    return f"WITH found AS MATERIALIZED ({_outlook(n_sims, steps)}) SELECT horizon::INT AS horizon, place::INT AS place, effect, {_rounded(['change', 'reached'], 3)} FROM ({parts})"
 
 
 def oracles(n_sims: int, scales: dict) -> dict[str, str]:
@@ -198,6 +217,11 @@ def oracles(n_sims: int, scales: dict) -> dict[str, str]:
         "channel_summary_few": f"{_channels(n_sims)} SELECT channel, {_rounded(['p50', 'roas', 'trailing_revenue', 'trailing_roas'])}, round(change, 5) AS change FROM summary",
         "roas_watch_few": f"{_channels(n_sims)} SELECT channel, round(roas, 2) AS roas FROM summary WHERE roas < {WATCHED}",
         "outlook_few": _outlook(n_sims),
+        "top_campaigns_few": f"SELECT place, channel, campaign_type, campaign_id, campaign_name, {_rounded(['p10', 'p50', 'p90', 'roas'])} FROM {_largest(n_sims, scales, 'campaign', 15)}",
+        "top_types_few": f"SELECT place, channel, campaign_type, round(p50, 2) AS p50 FROM {_largest(n_sims, scales, 'campaign_type', 10)}",
+        "waterfall_few": _waterfall(n_sims),
+        "completeness_few": f"""SELECT level, metric, count(*) AS rows, sum({' + '.join(f'({c} IS NULL)::BIGINT' for c in config.PREDICTION_COLUMNS)})::BIGINT AS nulls,
+            sum(coalesce({' AND '.join(f'{v} = 0' for v in _VALUES)}, false)::BIGINT)::BIGINT AS idle FROM ({_predictions(n_sims, scales, ", ".join(_VALUES))}) GROUP BY ALL""",
         "residual_blocks": f"""{MODELS}, held AS (SELECT segment_key, metric, sparse OR n_days < 10 AS short, row_number() OVER (PARTITION BY segment_key, metric ORDER BY date) - 1 AS place, value / (season * level) AS residual
                 FROM ranked JOIN models USING (segment_key, metric) WHERE back <= 120)
             SELECT segment_key, metric, place::INT AS place, round(CASE WHEN short THEN 1.0 ELSE residual END, 5) AS residual FROM held WHERE NOT short OR place = 0""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions import scalars as S
-from .operators import backtest, budget, decompose, hierarchy, insights, model, prepare, response, seasonality, simulate
+from .operators import backtest, budget, decompose, hierarchy, insights, model, prepare, reports, response, seasonality, simulate
 from .oracles import ORACLES
 from .oracles_draws import WATCHED
 from .oracles_draws import oracles as drawn
@@ -252,6 +252,29 @@ def outlook_few(spark, sf_dir):
     return _rounded(_rounded(rows, 2, "p10", "p50", "p90", "roas", "spend", "trailing_revenue", "trailing_roas"), 5, *effects)
 
 
+def top_campaigns_few(spark, sf_dir):
+    """The dashboard's 15 largest campaigns of the next 30 days."""
+    rows = reports.largest(_few_score(spark, sf_dir)[1].predictions, "campaign", 30, 15).drop("run_id")
+    return _rounded(rows, 2, "p10", "p50", "p90", "roas")
+
+
+def top_types_few(spark, sf_dir):
+    """The dashboard's 10 largest channel and type pairs of the next 30 days."""
+    rows = reports.largest(_few_score(spark, sf_dir)[1].predictions, "campaign_type", 30, 10)
+    return _rounded(rows.select("place", "channel", "campaign_type", "p50"), 2, "p50")
+
+
+def waterfall_few(spark, sf_dir):
+    p, result = _few_score(spark, sf_dir)
+    rows = reports.waterfall(insights.outlook(result.nodes, p, result.models, result.profile, config.HORIZONS)).drop("run_id")
+    return _rounded(rows, 3, "change", "reached")
+
+
+def completeness_few(spark, sf_dir):
+    """Nulls in the scored table, and rows that are 0 throughout."""
+    return reports.completeness(_few_score(spark, sf_dir)[1].predictions).drop("run_id")
+
+
 def elasticity_priors(spark, sf_dir):
     """The elasticities that short segments fall back on: their type's, and all segments'."""
     rows = model.fit_priors(_prepared(spark, sf_dir)).elasticity.where("scope not like '%::%'")
@@ -389,7 +412,8 @@ def queries() -> dict:
         campaign_meta_shares, top_campaigns_per_segment, calendar_events, calendar_frame, us_holidays, window_events, pooled_prior, blended_profile,
         decomposition, decomposition_flat, elasticity_fit, response_curve, growth_multiplier_table, response_multiplier_table,
         expected_spend_path, marginal_roas_rank, rng_normals_md5, macro_shock_md5, mc_periods_few, cumulative_fan_few,
-        prediction_table_few, budget_deltas_few, channel_summary_few, roas_watch_few, outlook_few, elasticity_priors, residual_blocks, mc_periods, hierarchy_rollup, conformal_summary,
+        prediction_table_few, budget_deltas_few, channel_summary_few, roas_watch_few, outlook_few,
+        top_campaigns_few, top_types_few, waterfall_few, completeness_few, elasticity_priors, residual_blocks, mc_periods, hierarchy_rollup, conformal_summary,
         prediction_table, cumulative_fan, backtest_origins, backtest_actual_windows, backtest_metrics, conformal_scales, budget_deltas,
         trailing_actuals, trailing_roas_watch, roas_watch, outlook, seasonal_index, movers, channel_summary, opportunities,
     )

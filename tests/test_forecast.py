@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mediacast import cli, config, queries
 from mediacast.functions import scalars as S
 from mediacast.functions import stage
-from mediacast.operators import budget, hierarchy, insights, model, prepare, response, simulate
+from mediacast.operators import budget, hierarchy, insights, model, prepare, reports, response, simulate
 from mediacast.plans import score as plans
 from mediacast.sources import exports
 
@@ -336,6 +336,65 @@ def test_summary_of_draws(spark):
     assert "Arrow" not in _exchanges(hierarchy.summarise(nodes, scales))[1]
 
 
+def _work(plan=None):
+    one = {"level": 100.0, "level_log_sigma": 0.1, "growth_annual": 0.1, "growth_sigma": 0.1, "resid_block": [0.8, 1.2] * 10}
+    days = max(config.HORIZONS)
+    return {
+        "first": 0, "draw_id": "score", "segment_key": "s", "beta": 0.6, "spend_model": one, "revenue_model": one | {"level": 300.0},
+        "spend_season": [1.0] * days, "revenue_season": [1.0] * days, "spend_path": [100.0] * days, "plan": plan,
+    }
+
+
+def test_no_spend_is_neutral_or_ends_revenue():
+    idle = _work([0.0] * 45 + [100.0] * 45)
+    (_, neutral, spend), (_, strict, _) = (simulate.paths(idle, config.Forecast(n_sims=20, zero_spend=z)) for z in ("neutral", "strict"))
+    assert (spend[:, :45] == 0).all() and (neutral[:, :45] > 0).all() and (strict[:, :45] == 0).all()
+    assert (neutral[:, 45:] == strict[:, 45:]).all() and (neutral[:, 45:] > 0).all()
+
+
+def test_an_anchor_that_is_drawn_is_one_path_for_all_simulations():
+    (_, a, spend_a), (_, b, spend_b) = (simulate.paths(_work(), config.Forecast(n_sims=30, anchor=x)) for x in ("expected", "draw"))
+    ratio = (a / b) ** (1 / 0.6)
+    days = np.arange(1, 91)
+    months = (1 - 0.9 ** (days / 30)) / 0.1
+    z, g = (simulate.normals(config.SEED, f"spend-{x}", ("score", "s"), np.array([-1]))[0] for x in ("level", "growth"))
+    drawn = 100 * np.exp(0.1 * z) * (1 + np.clip(0.1 + 0.1 * g, -0.6, 0.9)) ** (months / 12)
+    assert (spend_a == spend_b).all() and ratio == pytest.approx(np.tile(drawn / 100, (30, 1)))
+
+
+def test_tables_of_the_dashboard(spark):
+    values = {v: 0.0 for v in reports.VALUES}
+    row = lambda level, channel, c, metric, p50, **more: {
+        **dict.fromkeys(config.PREDICTION_COLUMNS, "x"), "run_id": "r", "level": level, "channel": channel, "campaign_type": "t", "campaign_id": c, "campaign_name": c,
+        "metric": metric, "horizon_days": 30, **values, "p50": p50, **more,
+    }
+    rows = [row("campaign", "g", f"c{k}", "revenue", float(k // 2)) for k in range(8)] + [row("campaign", "g", f"c{k}", "roas", 9.0 - k) for k in range(7)]
+    rows += [row("campaign", "g", "none", "revenue", None), row("campaign", "g", "later", "revenue", 99.0, horizon_days=60)]
+    rows += [row("campaign_type", c, "all", "revenue", 5.0, p95=float("nan")) for c in ("g", "blended")]
+    schema = ", ".join(f"{c} {'int' if c == 'horizon_days' else 'double' if c in values else 'string'}" for c in ["run_id", *config.PREDICTION_COLUMNS])
+    table = spark.createDataFrame([tuple(r[c] for c in ["run_id", *config.PREDICTION_COLUMNS]) for r in rows], schema).repartition(4)
+    found = sorted((r.place, r.campaign_id, r.p50, r.roas) for r in reports.largest(table, "campaign", 30, 4).collect())
+    assert found == [(1, "c6", 3.0, 3.0), (2, "c7", 3.0, None), (3, "c4", 2.0, 5.0), (4, "c5", 2.0, 4.0)]
+    last = sorted((r.place, r.campaign_id) for r in reports.largest(table, "campaign", 30, 99).collect())[-1]
+    assert last == (9, "none") and [r.channel for r in reports.largest(table, "campaign_type", 30, 9).collect()] == ["g"]
+    whole = {(r.level, r.metric): (r.rows, r.nulls, r.idle) for r in reports.completeness(table).collect()}
+    assert whole == {("campaign", "revenue"): (10, 1, 2), ("campaign", "roas"): (7, 0, 0), ("campaign_type", "revenue"): (2, 2, 0)}
+    steps = spark.createDataFrame([("r", 30, 0.1, None, -0.05)], "run_id string, horizon int, season double, trend double, spend_and_mix double")
+    assert [(r.place, r.effect, round(r.change, 9), round(r.reached, 9)) for r in reports.waterfall(steps).orderBy("place").collect()] == [
+        (1, "season", 10.0, 10.0), (2, "trend", 0.0, 10.0), (3, "spend_and_mix", -5.0, 5.0),
+    ]
+
+
+def test_env_file_fills_what_the_environment_lacks(tmp_path, monkeypatch):
+    monkeypatch.setenv("MEDIACAST_LOG", "ERROR")
+    monkeypatch.setenv("MEDIACAST_SIMS", "1")
+    monkeypatch.delenv("MEDIACAST_SIMS")
+    (tmp_path / ".env").write_text("# a comment\n\nno value\nexport MEDIACAST_SIMS = '77'\nMEDIACAST_LOG=DEBUG\n")
+    cli.read_env(str(tmp_path / ".env"))
+    cli.read_env(str(tmp_path / "none"))
+    assert cli.settings().n_sims == 77 and cli.os.environ["MEDIACAST_LOG"] == "ERROR"
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
