@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,5 +43,6 @@ def waterfall(outlook: DataFrame) -> DataFrame:
 def completeness(predictions: DataFrame) -> DataFrame:
     """(run_id, level, metric, rows, nulls, idle): of the scored table, rows, cells that are null or not a number, and rows without any spend or revenue in view (all quantiles 0)."""
     missing = sum(F.col(c).isNull().cast("long") for c in config.PREDICTION_COLUMNS) + sum(F.coalesce(F.isnan(c), F.lit(False)).cast("long") for c in VALUES)
-    idle = F.coalesce(F.greatest(*[F.abs(c) for c in VALUES]) == 0, F.lit(False))
+    # Null where a value is null, as such a row isn't known to be idle.
+    idle = F.coalesce(reduce(Column.__and__, [F.col(c) == 0 for c in VALUES]), F.lit(False))
     return predictions.groupBy("run_id", "level", "metric").agg(F.count(F.lit(1)).alias("rows"), F.sum(missing).alias("nulls"), F.sum(idle.cast("long")).alias("idle"))
