@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,23 @@ def _chosen(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return otherwise if out is None else out.otherwise(otherwise)
 
 
+def hundredths(x: Column, precision: int) -> Column:
+    """A double as hundredths, rounded as a cast to decimal(precision, 2) rounds, which goes by way of text.
+
+    A double that equals whole hundredths needs no cast: no two numbers of so few digits are the same double.
+    """
+    near = F.rint(x * 100)
+    exact = (F.abs(near) < float(10**precision)) & (near / 100 == x)
+    return F.when(exact, near.cast("long")).otherwise((x.cast(f"decimal({precision},2)") * 100).cast("long"))
+
+
+def whole_sum(units: Column, places: int) -> Column:
+    """The sum of whole units of ``places`` decimal places as a decimal; upper and lower bits are summed apart, so that it can't overflow."""
+    high, low = F.sum(F.shiftright(units, 30)), F.sum(units.bitwiseAND((1 << 30) - 1))
+    whole = high.cast("decimal(19,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low.cast("decimal(19,0)")
+    return (whole * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(27,{places})")
+
+
 def campaign_type(raw: Column, name: Column) -> Column:
     """Native type if it is known, as written or in upper case with underscores; else the first name rule that matches."""
     trimmed = F.trim(raw)

@@ -43,9 +43,14 @@ def _active() -> Column:
     return (F.col("spend") > 0) | (F.col("revenue") > 0)
 
 
+def with_active(panel: DataFrame) -> DataFrame:
+    """``panel`` with ``active``: whether a row has spend or revenue, or one of the rows that it sums had."""
+    return panel if "active" in panel.columns else panel.withColumn("active", _active())
+
+
 def active_series(panel: DataFrame) -> DataFrame:
     """Per run and date with activity: active series, and their median over the last 28 such dates (null before 7)."""
-    counts = panel.where(_active()).groupBy("run_id", "date").agg(F.count_distinct("platform", "campaign_id").alias("n"))
+    counts = with_active(panel).where("active").groupBy("run_id", "date").agg(F.count_distinct("platform", "campaign_id").alias("n"))
     frame = "over (partition by run_id order by date rows between 27 preceding and current row)"
     return counts.withColumn("typical", F.expr(f"case when count(n) {frame} >= 7 then percentile(n, 0.5) {frame} end"))
 
@@ -154,11 +159,12 @@ class Prepared:
 
 
 def prepare(panel: DataFrame) -> Prepared:
-    """Sums come before the dense grid. A campaign with several names has the latest, and is one campaign."""
-    panel = add_taxonomy(with_run(panel).where("date is not null"))
-    keys = [*CAMPAIGN, "campaign_name", "channel_type_raw", "brand_intent", "date"]
+    """Sums come before names are classified and before the dense grid. A campaign with several names has the latest, and is one campaign."""
+    panel = with_active(with_run(panel).where("date is not null"))
+    keys = ["run_id", "platform", "campaign_id", "campaign_name", "channel_type_raw", "date"]
     # Days of campaigns from here on, however many rows the source has for them.
-    panel = cut(panel.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in config.METRICS]), "panel")
+    days = panel.groupBy(*keys).agg(F.bool_or("active").alias("active"), *[F.sum(m).alias(m) for m in config.METRICS])
+    panel = cut(add_taxonomy(days), "panel")
     origins = cut(trim_edge(panel), "origins")
     edge = F.broadcast(origins.select("run_id", "cutoff"))
     panel = panel.join(edge, "run_id").where("cutoff is null or date < cutoff").drop("cutoff")

@@ -40,12 +40,12 @@ def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
 def panel_canonical(spark, sf_dir):
     sums = [F.sum(m).cast("double").alias(m) for m in config.METRICS]
     days = _panel(spark, sf_dir).groupBy("platform", "campaign_id", "campaign_name", "channel_type_raw")
-    return _rounded(days.agg(F.count(F.lit(1)).alias("n_rows"), *sums), 4, "spend", "revenue")
+    return _rounded(days.agg(F.sum("n_rows").alias("n_rows"), *sums), 4, "spend", "revenue")
 
 
 def panel_taxonomy(spark, sf_dir):
     keys = ["platform", "channel_type_raw", "campaign_name", "campaign_type", "brand_intent", "segment_key", "campaign_uid"]
-    return prepare.add_taxonomy(_panel(spark, sf_dir)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return prepare.add_taxonomy(_panel(spark, sf_dir)).groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"))
 
 
 def brand_mix(spark, sf_dir):

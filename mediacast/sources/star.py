@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
+from ..functions import scalars as S
+
 #: p_type -> (native type of google and bing, name token)
 TYPES = {
     "ECONOMY": ("SEARCH", "Search"), "SMALL": ("SHOPPING", "Shopping"), "MEDIUM": ("PERFORMANCE_MAX", "Pmax"),
@@ -13,35 +16,43 @@ TYPES = {
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a line item. Money stays decimal until it is summed, so sums don't depend on their order."""
+    """One row a campaign and day: its line items' sums, their number, and whether one of them has spend or revenue.
+
+    Lines are summed by the short columns that they are joined with; names and types are made of what is
+    left. Money is whole ten-thousandths until it is summed, so sums don't depend on their order.
+    """
     read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
     region = read("nation", "n_nationkey", "n_regionkey").join(read("region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
-    supplier = read("supplier", "s_suppkey", "s_nationkey").join(region, F.col("s_nationkey") == F.col("n_nationkey"))
+    platform = F.when(F.col("r_name") == "AMERICA", "google").when(F.col("r_name") == "EUROPE", "meta").otherwise("bing")
+    supplier = read("supplier", "s_suppkey", "s_nationkey").join(region, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", platform.alias("platform"))
     part = read("part", "p_partkey", "p_brand", "p_type")
+    orders = read("orders", "o_orderkey", F.to_date("o_orderdate").alias("date"))
     line = read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     rows = (
-        line.join(read("orders", "o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    platform = F.when(F.col("r_name") == "AMERICA", "google").when(F.col("r_name") == "EUROPE", "meta").otherwise("bing")
+    price, tax, discount = S.hundredths(F.col("l_extendedprice"), 12), S.hundredths(F.col("l_tax"), 4), S.hundredths(F.col("l_discount"), 4)
+    rows = rows.select(
+        "date", "platform", "p_brand", "p_type", (price * tax).alias("spend"), (price * (100 - discount)).alias("revenue"),
+        F.col("l_quantity").alias("clicks"), (F.col("l_quantity") * 50).alias("impressions"),
+        F.when(F.col("l_returnflag") == "R", 0.0).otherwise(1.0).alias("conversions"),
+    )
+    active = F.bool_or((F.col("spend") > 0) | (F.col("revenue") > 0)).alias("active")
+    money = [S.whole_sum(F.col(m), 4).alias(m) for m in ("spend", "revenue")]
+    counts = [F.sum(m).alias(m) for m in ("clicks", "impressions", "conversions")]
+    days = rows.groupBy("date", "platform", "p_brand", "p_type").agg(F.count(F.lit(1)).alias("n_rows"), active, *money, *counts)
     mapped = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for p, v in TYPES.items() for x in (p, v[k])]), F.col("p_type"))
     number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
     token = F.when(number % 3 == 0, "TM").when(number % 3 == 1, "NTM").otherwise("Generic")
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    return rows.select(
-        F.to_date("o_orderdate").alias("date"),
-        platform.alias("platform"),
+    return days.select(
+        "date", "platform",
         F.concat_ws("-", "p_brand", "p_type").alias("campaign_id"),
         F.concat_ws("_", mapped(1), token, F.lit("Campaign"), number.cast("string")).alias("campaign_name"),
-        F.when(platform != "meta", mapped(0)).alias("channel_type_raw"),
-        (price * F.col("l_tax").cast("decimal(4,2)")).alias("spend"),
-        (price * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))).alias("revenue"),
-        F.col("l_quantity").alias("clicks"),
-        (F.col("l_quantity") * 50).alias("impressions"),
-        F.when(F.col("l_returnflag") == "R", 0.0).otherwise(1.0).alias("conversions"),
-        F.lit(None).cast("double").alias("budget_raw"),
-    )
+        F.when(F.col("platform") != "meta", mapped(0)).alias("channel_type_raw"),
+        *config.METRICS, F.lit(None).cast("double").alias("budget_raw"), "n_rows", "active",
+    )
 
 
 def short_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
